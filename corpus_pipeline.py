@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from docweave.llm._shared import materialise
 from docweave.llm.decontaminate import decontaminate
 from docweave.llm.exact_dedup import exact_dedup
+from docweave.llm.language_id import keep_identified
 from docweave.llm.mixing import mix_sources
 from docweave.llm.simhash import near_dedup
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is not found with enough certainty, go."""
+    return keep_identified(docs)
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return exact_dedup(docs)
@@ -40,13 +46,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language),
     ("exact_dedup", exact_duplicates),
     ("simhash_near_dedup", near_duplicates),
     ("decontamination", benchmark_leaks),
     ("mixing", mix),
 ]
 
-#: SQL cannot express the near-duplicate, leak and mixing stages; tests compare with brute force.
+#: SQL cannot express the language, near-duplicate, leak and mixing stages; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.llm.chat_format import chat_format, digest
 from docweave.llm.decontaminate import find_leaks
 from docweave.llm.exact_dedup import exact_groups
+from docweave.llm.language_id import identify
 from docweave.llm.mixing import mix_sources
 from docweave.llm.simhash import near_groups
 from docweave.llm.substring_dedup import dedup_windows
@@ -55,6 +56,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
@@ -63,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
