@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from docweave.llm.chat_format import chat_format, digest
 from docweave.llm.decontaminate import find_leaks
 from docweave.llm.exact_dedup import exact_groups
+from docweave.llm.html_extract import extract
 from docweave.llm.language_id import identify
+from docweave.llm.lm_score import lm_scores
 from docweave.llm.mixing import mix_sources
 from docweave.llm.simhash import near_groups
 from docweave.llm.substring_dedup import dedup_windows
@@ -38,6 +40,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -52,6 +58,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(chat_format(turns))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -65,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_html_extract": op5_html_extract,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_lm_score": op8_lm_score,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
