@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docweave.plans import retrieval
+
+MODULES = (retrieval,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
 FLAGSHIP = "hybrid_search"
