@@ -57,13 +57,15 @@ def reply_paths(nodes: DataFrame, top_paths: int | None = None) -> DataFrame:
         right = state.select(
             "conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("total").alias("more")
         )
-        return left.join(right, ["conv", "up"], "left").select(
+        # only what has not reached its root is joined again
+        moved = left.where("up is not null").join(right, ["conv", "up"]).select(
             "conv",
             *[c for c in left.columns if c in ("node", "leaf")],
             F.col("next").alias("up"),
-            F.concat(F.coalesce("above", F.array().cast(dict(state.dtypes)["path"])), "path").alias("path"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            F.concat("above", "path").alias("path"),
+            (F.col("total") + F.col("more")).alias("total"),
         )
+        return left.where("up is null").unionByName(moved)
 
     for _ in range(max(most, 1).bit_length()):
         if leaves.where("up is not null").isEmpty():
