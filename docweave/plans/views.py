@@ -109,7 +109,7 @@ def po_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy("l_orderkey", F.col("l_linenumber").alias("item_no")).agg(
         F.max(F.col("l_quantity").cast("int")).alias("quantity"),
-        F.round(F.max("l_extendedprice") / F.max("l_quantity"), 2).alias("unit_price"),
+        F.round(F.max("l_extendedprice") / F.max("l_quantity") + 1e-9, 2).alias("unit_price"),
     )
 
 
@@ -123,7 +123,7 @@ def po_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PO = """items as (
-  select l_orderkey, l_linenumber as item_no, max(cast(l_quantity as int)) as quantity, round(max(l_extendedprice) / max(l_quantity), 2) as unit_price
+  select l_orderkey, l_linenumber as item_no, max(cast(l_quantity as int)) as quantity, round(max(l_extendedprice) / max(l_quantity) + cast(1e-9 as double), 2) as unit_price
   from lineitem group by 1, 2),
 versions as (
   select o_custkey, o_orderkey, o_totalprice, o_orderdate, row_number() over w as version, lag(o_orderkey) over w as prev_orderkey, lag(o_totalprice) over w as prev_total
