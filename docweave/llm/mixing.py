@@ -138,11 +138,16 @@ def mix_sources(
         passes = min(max_repeat, int(target // total)) if total else 0
         rest = int(round(target)) - passes * total if passes < max_repeat else 0
         sizes, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        extra = np.zeros_like(counts)
         has = sizes > 0
         order = np.flatnonzero(has)[np.argsort(sizes[has], kind="stable")]
-        extra[order] = fit_budget(sizes[order], counts[order], rest)
-        return pdf[["source", "size", "source_size", "target"]].assign(passes=np.where(has, passes, 0), extra=extra)
+        size, n = sizes[order], counts[order]
+        took = passes * n + fit_budget(size, n, rest)
+        miss = lambda t: abs(int((t * size).sum()) - target)
+        if len(size) and miss(took) > size[0]:  # a few long documents: let passes over them differ from the rest
+            took = min(took, fit_budget(size, n * max_repeat, int(round(target))), key=miss)
+        copies = np.zeros_like(counts)
+        copies[order] = took
+        return pdf[["source", "size", "source_size", "target"]].assign(passes=copies // counts, extra=copies % counts)
 
     plan = (
         lengths.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
