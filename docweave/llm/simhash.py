@@ -154,7 +154,7 @@ def near_links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     cuts = np.linspace(0, 64, radius + 2).round().astype(int)
     parts = F.array(
         *[
-            F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1))
+            F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1 if b - a < 64 else -1))
             for a, b in zip(cuts[:-1], cuts[1:])
         ]
     )
