@@ -151,7 +151,7 @@ def sentence_packs(pages: DataFrame, id_col: str, text_col: str, most: int = 800
             F.struct(kept(acc).alias("done"), F.trim(F.concat_ws(" ", tail, s)).alias("now"))
         )
 
-    sentences = F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     packed = F.aggregate(sentences, F.expr(f"cast(named_struct('done', array(), 'now', '') as {state})"), add, kept)
     return pages.select(id_col, F.posexplode(packed).alias("n", "chunk"))
 

@@ -24,7 +24,7 @@ ORGANISATIONS = (r"\b([A-Z][a-zA-Z&\s]{2,40}(?:LLC|Inc|Corp|Ltd|Company|Co\.|LLP
 
 def found(text: Column, patterns: tuple[str, ...]) -> Column:
     """Distinct matches, pattern by pattern, in order."""
-    return F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit("(?im)" + p), F.lit(1)) for p in patterns]), F.trim))
+    return F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit("(?im)" + p), F.lit(1)) for p in patterns]), lambda x: F.trim(x)))
 
 
 def entities(docs: DataFrame, doc_col: str = "doc_key", text_col: str = "text") -> DataFrame:
