@@ -24,6 +24,8 @@ from docweave.llm._shared import materialise, sorted_groups
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
+#: Chunks are written once and moved once or twice: worth a higher compression level than pieces.
+CHUNK_LEVEL = 5
 NO_ID = np.iinfo(np.int64).max
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,8 +33,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeeze(raw: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def unsqueeze(raw: bytes) -> bytes:
@@ -133,7 +135,7 @@ def unpack(blob: bytes, kinds: list[type]) -> tuple[list[np.ndarray], bytes]:
     return arrays, raw[at:]
 
 
-def make_chunks(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFrame:
+def make_chunks(docs: DataFrame, id_col: str, text_col: str, tag: str, most: int = CHUNK_BYTES) -> DataFrame:
     """A written table (chunk, ids, lengths, blob, n_bytes): whole documents, by id, texts joined and compressed.
 
     Null text counts as empty, null ids come last. A document longer than a chunk is a chunk.
@@ -152,7 +154,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFr
             whole = b"".join(texts[i] for i in order)
             row = {
                 "chunk": number, "ids": [ids[i] for i in order], "lengths": [len(texts[i]) for i in order],
-                "blob": squeeze(whole), "n_bytes": len(whole),
+                "blob": squeeze(whole, CHUNK_LEVEL), "n_bytes": len(whole),
             }
             number, ids, texts = number + 1, [], []
             return pa.RecordBatch.from_pylist([row], pa.schema([
@@ -164,7 +166,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFr
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 text = text or b""
-                if ids and held + len(text) > CHUNK_BYTES:
+                if ids and held + len(text) > most:
                     yield flush()
                     held = 0
                 ids.append(key)
@@ -176,10 +178,10 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, tag: str) -> DataFr
     return materialise(slim.mapInArrow(run, schema), tag)
 
 
-def n_buckets(chunks: DataFrame, share: float = 1.0) -> int:
-    """Buckets of a bounded mean size for so much of the chunks' bytes."""
+def n_buckets(chunks: DataFrame, most: int = BUCKET_BYTES) -> int:
+    """Buckets that stand for so many of the chunks' bytes each."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(1, math.ceil(total * share / BUCKET_BYTES))
+    return max(1, math.ceil(total / most))
 
 
 class Chunk:
@@ -238,10 +240,12 @@ def gather(pieces: DataFrame, buckets: int, meet: Callable[[list[int], list[int]
 def answer_chunks(chunks: DataFrame, answers: DataFrame, tell: Callable[[Chunk, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Every chunk with all answers to it."""
 
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = right.column("answer").to_pylist()
         told = [batch for row in left.to_pylist() for batch in tell(Chunk(row), got)]
-        return pa.Table.from_batches(told, None if told else to_arrow_schema(StructType.fromDDL(schema)))
+        return pa.Table.from_batches(told, None if told else arrow)
 
     return (
         chunks.select("chunk", "ids", "lengths", "blob").groupBy("chunk")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.llm._chunks import (
-    Chunk, Rolling, answer_chunks, equal_groups, gather, make_chunks, n_buckets, pack, ranges, send, sliding_argmin,
+    BUCKET_BYTES, CHUNK_BYTES, Chunk, Rolling, answer_chunks, equal_groups, gather, make_chunks, n_buckets, pack, ranges, send, sliding_argmin,
     squeeze, unpack, unsqueeze,
 )
 
@@ -25,6 +25,8 @@ GRAM = 4
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SENT, TOLD = 0, 1
+#: A bucket is sorted in so many parts, so that a task holds the hashes of one part at a time.
+PARTS = 8
 
 
 class Words:
@@ -84,37 +86,59 @@ def _cut(chunk: Chunk, window: int, buckets: int) -> Iterator[tuple[int, int, by
     if len(told):
         yield int(chunk.number % buckets), TOLD, squeeze(told.tobytes())
     bucket = (minimiser % np.uint64(buckets)).astype(np.int64)
+    part = (minimiser // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
     mine = np.sort(lead)
-    mine = mine[np.argsort(bucket[mine], kind="stable")]
+    mine = mine[np.argsort(bucket[mine] * PARTS + part[mine], kind="stable")]
     doc = words.of[first]
     cuts = np.append(np.flatnonzero(np.diff(bucket[mine], prepend=-1)), len(mine))
     for a, z in zip(cuts[:-1], cuts[1:]):
         own = mine[a:z]
-        text = words.flat[ranges(begin[own], end[own] - begin[own] + 1)].tobytes()
+        size = end[own] - begin[own] + 1
+        text = words.flat[ranges(begin[own], size)].tobytes()
+        rows = np.bincount(part[own], minlength=PARTS)
+        head = np.concatenate([rows, np.bincount(part[own], size, PARTS).astype(np.int64)])
+        # differences of rising numbers, which compress well
         arrays = [
-            chunk.order_ids[doc[own]],
-            (first[own] - words.first_word[doc[own]]).astype(np.int32),
-            first[own].astype(np.int32),
+            np.diff(chunk.order_ids[doc[own]], prepend=0),
+            np.diff(words.first_word[doc[own]], prepend=0).astype(np.int32),
+            np.diff(first[own], prepend=0).astype(np.int32),
             (count[own] + window - 1).astype(np.int32),
         ]
-        yield int(bucket[own[0]]), SENT, pack(arrays, text)
+        yield int(bucket[own[0]]), SENT, pack(arrays, head.tobytes() + text)
 
 
 def _meet(numbers: list[int], kinds: list[int], pieces: list[bytes], window: int) -> Iterator[tuple[int, bytes]]:
-    got, texts, chunk_of = [], [], []
+    sent = []
     for number, kind, piece in zip(numbers, kinds, pieces):
         if kind == TOLD:
             yield number, piece
-            continue
-        arrays, text = unpack(piece, [np.int64, np.int32, np.int32, np.int32])
-        got.append(arrays)
-        texts.append(text)
-        chunk_of.append(np.full(len(arrays[0]), number, np.int64))
-    if not got:
-        return
-    doc, start, place, length = (np.concatenate(x) for x in zip(*got))
-    chunk = np.concatenate(chunk_of)
-    raw = b"".join(texts)
+        else:
+            arrays, text = unpack(piece, [np.int64, np.int32, np.int32, np.int32])
+            head = np.frombuffer(text, np.int64, 2 * PARTS).reshape(2, PARTS)
+            rows, byte = np.pad(np.cumsum(head, axis=1), ((0, 0), (1, 0)))
+            text = text[head.nbytes :]
+            doc, base, place = (np.cumsum(x, dtype=np.int64) for x in arrays[:3])
+            arrays = [doc, place - base, place, arrays[3]]
+            sent.append((number, arrays, text, rows, byte))
+    found: dict[int, list[np.ndarray]] = {}
+    for part in range(PARTS):
+        cut = [
+            (number, [x[rows[part] : rows[part + 1]] for x in arrays], text[byte[part] : byte[part + 1]])
+            for number, arrays, text, rows, byte in sent
+            if rows[part] < rows[part + 1]
+        ]
+        if cut:
+            for number, places in _repeats(cut, window):
+                found.setdefault(number, []).append(places)
+    for number, places in found.items():
+        yield number, squeeze(np.sort(np.concatenate(places)).tobytes())
+
+
+def _repeats(sent: list[tuple[int, list[np.ndarray], bytes]], window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, first words) of the windows that start earlier elsewhere among the packed strings sent."""
+    doc, start, place, length = (np.concatenate(x) for x in zip(*(arrays for _, arrays, _ in sent)))
+    chunk = np.concatenate([np.full(len(arrays[0]), number, np.int64) for number, arrays, _ in sent])
+    raw = b"".join(text for _, _, text in sent)
     ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     starts = np.append(0, ends[:-1] + 1)
     hashes = Rolling(Rolling(np.frombuffer(raw, np.uint8)).of(starts, ends) >> np.uint64(1)).windows(window)
@@ -141,10 +165,13 @@ def _meet(numbers: list[int], kinds: list[int], pieces: list[bytes], window: int
     by = np.argsort(to, kind="stable")
     cuts = np.append(np.flatnonzero(np.diff(to[by], prepend=-1)), len(by))
     for a, z in zip(cuts[:-1], cuts[1:]):
-        yield int(to[by[a]]), squeeze(np.sort(places[by[a:z]]).tobytes())
+        yield int(to[by[a]]), places[by[a:z]]
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def dedup_windows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
+    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
     """One row per input row: (id_col long, n_words, n_removed, kept_text, kept_sha256).
 
     Removes each word covered by a window of that many consecutive words that also starts earlier:
@@ -153,8 +180,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text has no words, texts shorter than a window lose none. Null ids come last; rows repeated
     under one id are ordered by where they were read. An empty table gives no rows.
     """
-    chunks = make_chunks(docs, id_col, text_col, "windows")
-    buckets = n_buckets(chunks)
+    chunks = make_chunks(docs, id_col, text_col, "windows", chunk_bytes)
+    buckets = n_buckets(chunks, bucket_bytes)
     answers = gather(send(chunks, lambda c: _cut(c, window, buckets)), buckets, lambda *a: _meet(*a, window))
 
     def tell(chunk: Chunk, got: list[bytes]) -> Iterator[pa.RecordBatch]:

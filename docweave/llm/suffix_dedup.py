@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.llm._chunks import (
-    PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, make_chunks, n_buckets, pack, pieces_of, ranges, send,
+    BUCKET_BYTES, CHUNK_BYTES, PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, make_chunks, n_buckets, pack, pieces_of, ranges, send,
     sliding_argmin, squeeze, unpack, unsqueeze,
 )
 
@@ -264,7 +264,10 @@ def _meet(numbers: list[int], kinds: list[int], pieces: list[bytes], min_len: in
         yield int(to[own[0]]), pack([s.astype(np.int32) for s in spans], b"")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = GRAM,
+    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
     """One row per input row: (id_col long, n_bytes, n_removed, n_spans, kept binary, kept_sha256).
 
     Removes each byte covered by a string of min_len bytes that also starts in a document with a
@@ -272,8 +275,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removed runs. Null text counts as empty, shorter texts lose nothing, null ids come last and rows
     repeated under one id count as one document. An empty table gives no rows.
     """
-    chunks = make_chunks(docs, id_col, text_col, "suffixes")
-    buckets = n_buckets(chunks)
+    chunks = make_chunks(docs, id_col, text_col, "suffixes", chunk_bytes)
+    buckets = n_buckets(chunks, bucket_bytes)
 
     def shared(numbers: list[int], kinds: list[int], pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
         bucket = kinds[0]
