@@ -26,4 +26,19 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 from rows r join groups g on r.norm = g.norm
 """
 
-ORACLES = {"op7_chat_format": OP7, "op9_exact_dedup": OP9}
+OP2 = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, s, array_to_string(w[s : s + 19], ' ') as t from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as s from words where len(w) >= 20)),
+again as (select doc_id, s from (select doc_id, s, row_number() over (partition by t order by doc_id, s) as n from windows) where n > 1),
+gone as (select distinct doc_id, unnest(generate_series(s, s + 19)) as p from again),
+kept as (select doc_id, p, word from (select doc_id, unnest(generate_series(1, len(w))) as p, unnest(w) as word from words) anti join gone using (doc_id, p)),
+left_over as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as t from kept group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from words left join left_over using (doc_id)
+"""
+
+ORACLES = {
+    "op2_substring_dedup": OP2,
+    "op7_chat_format": OP7,
+    "op9_exact_dedup": OP9,
+}
