@@ -87,7 +87,7 @@ def hops(edges: DataFrame, start: DataFrame, most: int, directed: bool = False)
     arcs = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
     if not directed:
         arcs = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    arcs = arcs.distinct()
+    arcs = checkpoint(arcs.distinct())
     seen = start.select("name", F.lit(0).alias("hop")).distinct()
     for hop in range(1, most + 1):
         front = seen.where(F.col("hop") == hop - 1)
@@ -97,10 +97,10 @@ def hops(edges: DataFrame, start: DataFrame, most: int, directed: bool = False)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A written table in the folder that the cluster shares (spark.checkpoint.dir), where one is named."""
+    """A written table in the folder that the cluster shares (spark.checkpoint.dir); where none is named, cached."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
+        return df.persist()
     path = f"{folder.rstrip('/')}/docweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -98,10 +98,9 @@ def diverse(ranked: DataFrame, k: int, cap: int = 2) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams of the first 500 characters, lower-cased; none below three."""
-    t = F.lower(F.substring(text, 1, 500))
-    return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: t.substr(i, F.lit(3))))
-    )
+    # one pass with a look-ahead: a substring per place would lower the text again for each
+    t = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500))
+    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
