@@ -171,19 +171,22 @@ def leaks_in(texts: list[bytes], shards: list[Shard], threshold: float, overlap:
         yield (text, key, *row)
 
 
-def _index(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[Shard]]:
-    """Shards in groups of bounded size. Items come to the driver in shard-sized pieces of a stated query set."""
+def _index(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[Shard]]:
+    """Shards in groups of bounded size, one group at a time in the driver; one empty group where there are no items.
+
+    The benchmark is the stated query set: each group meets all documents, with its own statistics.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    groups: list[list[Item]] = [[]]
+    group: list[Item] = []
     held = 0
     for row in items.where("key is not null").toLocalIterator():
         text = row["text"].encode()
         if held and held + len(text) > BROADCAST_BYTES:
-            groups.append([])
-            held = 0
-        groups[-1].append(Item(row["key"], words_of(text), *question_and_answer(text)))
+            yield build_shards(group)
+            group, held = [], 0
+        group.append(Item(row["key"], words_of(text), *question_and_answer(text)))
         held += len(text)
-    return [build_shards(g) for g in groups]
+    yield build_shards(group)
 
 
 def find_leaks(
