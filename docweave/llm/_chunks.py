@@ -237,6 +237,46 @@ def gather(pieces: DataFrame, buckets: int, meet: Callable[[list[int], list[int]
     )
 
 
+def keys_of(minimiser: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a minimiser in the high bits, and 32 of its own bits that stand for it there."""
+    return (minimiser % np.uint64(buckets)) << np.uint64(32) | minimiser >> np.uint64(32)
+
+
+def shared_minimisers(chunks: DataFrame, minimisers: Callable[[Chunk], np.ndarray], buckets: int) -> DataFrame:
+    """Rows (chunk, answer): which of a chunk's minimisers other chunks have too, as keys for known_keys().
+
+    Only keys of 32 bits travel; two minimisers with one key in a bucket are only kept in vain.
+    """
+
+    def own(chunk: Chunk) -> Iterator[tuple[int, int, bytes]]:
+        keys = np.unique(keys_of(minimisers(chunk), buckets))
+        bucket = (keys >> np.uint64(32)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            b = int(bucket[a])
+            yield b, b, pack([np.diff(keys[a:z].astype(np.uint32), prepend=np.uint32(0))], b"")
+
+    def meet(numbers: list[int], kinds: list[int], pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        keys = [np.cumsum(unpack(p, [np.uint32])[0][0], dtype=np.uint32) for p in pieces]
+        every = np.sort(np.concatenate(keys))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        for number, mine in zip(numbers, keys):
+            both = mine[np.isin(mine, twice, assume_unique=True)].astype(np.uint64)
+            if len(both):
+                yield number, pack([both | np.uint64(kinds[0] << 32)], b"")
+
+    return gather(send(chunks, own), buckets, meet)
+
+
+def repeating(keys: np.ndarray, answers: list[bytes], here: np.ndarray) -> np.ndarray:
+    """Places of the keys that other chunks have (by their answers) or that are in here."""
+    known = np.unique(np.concatenate([here, *(unpack(a, [np.uint64])[0][0] for a in answers)]))
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(known, keys)
+    return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == keys)
+
+
 def answer_chunks(chunks: DataFrame, answers: DataFrame, tell: Callable[[Chunk, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Every chunk with all answers to it."""
 

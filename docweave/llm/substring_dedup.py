@@ -3,7 +3,9 @@
 Every window of consecutive words has a minimiser, the smallest hash among the short word grams in
 it. Consecutive windows with the same minimiser travel as one packed string to the minimiser's
 bucket, where all windows are sorted and equal ones, compared byte for byte, are ordered by where
-they start. Strings that repeat within a chunk are sent once; the later ones are answered there.
+they start. Keys of the minimisers go first: the windows of a minimiser that is met once in all the
+corpus are met once and stay. Strings that repeat within a chunk are sent once; the later ones are
+answered there.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.llm._chunks import (
-    BUCKET_BYTES, CHUNK_BYTES, Chunk, Rolling, answer_chunks, equal_groups, gather, make_chunks, n_buckets, pack, ranges, send, sliding_argmin,
-    squeeze, unpack, unsqueeze,
+    BUCKET_BYTES, CHUNK_BYTES, PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, keys_of, make_chunks, n_buckets,
+    pack, pieces_of, ranges, repeating, shared_minimisers, sliding_argmin, squeeze, unpack, unsqueeze,
 )
 
 #: Words of the gram whose hash is the minimiser.
@@ -69,9 +71,13 @@ def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return at[head], np.diff(np.append(head, len(at))), grams[least[head]], rolling
 
 
-def _cut(chunk: Chunk, window: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _cut(chunk: Chunk, answers: list[bytes], window: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     words = Words(chunk)
     first, count, minimiser, rolling = super_kmers(words, window)
+    # a minimiser met once in all chunks is that of windows met once: they stay
+    key, met = np.unique(keys_of(minimiser, buckets), return_counts=True)
+    keep = repeating(keys_of(minimiser, buckets), answers, key[met > 1])
+    first, count, minimiser = first[keep], count[keep], minimiser[keep]
     if not len(first):
         return
     begin, end = words.starts[first], words.ends[first + count + window - 2]
@@ -182,7 +188,12 @@ def dedup_windows(
     """
     chunks = make_chunks(docs, id_col, text_col, "windows", chunk_bytes)
     buckets = n_buckets(chunks, bucket_bytes)
-    answers = gather(send(chunks, lambda c: _cut(c, window, buckets)), buckets, lambda *a: _meet(*a, window))
+    known = shared_minimisers(chunks, lambda c: super_kmers(Words(c), window)[2], buckets)
+
+    def cut(chunk: Chunk, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+        yield pieces_of([(b, chunk.number, k, p) for b, k, p in _cut(chunk, got, window, buckets)])
+
+    answers = gather(answer_chunks(chunks, known, cut, PIECES), buckets, lambda *a: _meet(*a, window))
 
     def tell(chunk: Chunk, got: list[bytes]) -> Iterator[pa.RecordBatch]:
         words = Words(chunk)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.llm._chunks import (
-    BUCKET_BYTES, CHUNK_BYTES, PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, make_chunks, n_buckets, pack, pieces_of, ranges, send,
-    sliding_argmin, squeeze, unpack, unsqueeze,
+    BUCKET_BYTES, CHUNK_BYTES, PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, keys_of, make_chunks, n_buckets, pack, pieces_of,
+    ranges, repeating, shared_minimisers, sliding_argmin, unpack,
 )
 
 GRAM = 20
@@ -53,41 +53,10 @@ def anchored_runs(chunk: Chunk, min_len: int, gram: int) -> Iterator[tuple[np.nd
         i = j
 
 
-def keys_of(minimiser: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of a minimiser, and the 32 bits that stand for it there."""
-    return (minimiser % np.uint64(buckets)).astype(np.int64), (minimiser >> np.uint64(32)).astype(np.uint32)
-
-
-def wide(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return bucket.astype(np.uint64) << np.uint64(32) | key.astype(np.uint64)
-
-
-def _own_keys(chunk: Chunk, min_len: int, gram: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    found = [wide(*keys_of(m, buckets)) for _, _, m, _, _ in anchored_runs(chunk, min_len, gram)]
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    bucket = (keys >> np.uint64(32)).astype(np.int64)
-    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
-    for a, z in zip(cuts[:-1], cuts[1:]):
-        low = keys[a:z].astype(np.uint32)
-        yield int(bucket[a]), SENT, pack([np.diff(low, prepend=np.uint32(0))], b"")
-
-
-def _shared_keys(numbers: list[int], kinds: list[int], pieces: list[bytes], bucket: int) -> Iterator[tuple[int, bytes]]:
-    keys = [np.cumsum(unpack(p, [np.uint32])[0][0], dtype=np.uint32) for p in pieces]
-    every = np.sort(np.concatenate(keys))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    for number, own in zip(numbers, keys):
-        both = own[np.isin(own, twice, assume_unique=True)]
-        if len(both):
-            yield number, pack([wide(np.full(len(both), bucket), both)], b"")
-
-
 def _cut(chunk: Chunk, answers: list[bytes], min_len: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    known = np.sort(np.concatenate([unpack(a, [np.uint64])[0][0] for a in answers])) if answers else np.zeros(0, np.uint64)
     parts = []
     for first, count, minimiser, rolling, base in anchored_runs(chunk, min_len, gram):
-        bucket, key = keys_of(minimiser, buckets)
-        parts.append((first + base, count, wide(bucket, key), rolling.of(first, first + count + min_len - 1)))
+        parts.append((first + base, count, keys_of(minimiser, buckets), rolling.of(first, first + count + min_len - 1)))
     if not parts:
         return
     first, count, key, whole = (np.concatenate(x) for x in zip(*parts))
@@ -95,10 +64,7 @@ def _cut(chunk: Chunk, answers: list[bytes], min_len: int, gram: int, buckets: i
     # keep runs whose minimiser is in another chunk, or in two documents of this one
     by = np.lexsort((doc, key))
     differs = (key[by[1:]] == key[by[:-1]]) & (doc[by[1:]] != doc[by[:-1]])
-    here = np.unique(key[by[1:]][differs])
-    known = np.unique(np.concatenate([known, here]))
-    at = np.searchsorted(known, key)
-    keep = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == key) if len(known) else np.zeros(0, np.int64)
+    keep = repeating(key, answers, key[by[1:]][differs])
     if not len(keep):
         return
     first, count, key, whole, doc = first[keep], count[keep], key[keep], whole[keep], doc[keep]
@@ -278,12 +244,10 @@ def dedup_substrings(
     chunks = make_chunks(docs, id_col, text_col, "suffixes", chunk_bytes)
     buckets = n_buckets(chunks, bucket_bytes)
 
-    def shared(numbers: list[int], kinds: list[int], pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        bucket = kinds[0]
-        return _shared_keys(numbers, kinds, pieces, bucket)
+    def minimisers(chunk: Chunk) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(m for _, _, m, _, _ in anchored_runs(chunk, min_len, gram))])
 
-    keys = send(chunks, lambda c: ((b, b, p) for b, _, p in _own_keys(c, min_len, gram, buckets)))
-    known = gather(keys, buckets, shared)
+    known = shared_minimisers(chunks, minimisers, buckets)
     runs = answer_chunks(chunks, known, lambda c, got: _cut(c, got, min_len, gram, buckets), PIECES)
     answers = gather(runs, buckets, lambda *a: _meet(*a, min_len))
 
