@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import analytics, context, documents, graph, lifecycle, retrieval, security
+from docweave.plans import analytics, context, documents, graph, lifecycle, retrieval, security, streaming
 
-MODULES = (retrieval, analytics, lifecycle, graph, documents, security, context)
+MODULES = (retrieval, analytics, lifecycle, graph, documents, security, context, streaming)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}
 FLAGSHIP = "hybrid_search"
