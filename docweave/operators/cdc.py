@@ -77,3 +77,16 @@ def after_run(sources: DataFrame, results: DataFrame, now: float) -> DataFrame:
 def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
     """Rows of a table that a delete leaves; null conditions leave the row."""
     return rows.where(~F.coalesce(condition, F.lit(False)))
+
+
+def register(sources: DataFrame, requests: DataFrame) -> DataFrame:
+    """Sources (source_id, url, source_type, priority, status) after requests(source_id, url, source_type, priority).
+
+    A request for a known url and type changes its priority and makes it active, another one is added.
+    """
+    keys = ["url", "source_type"]
+    asked = requests.groupBy(*keys).agg(F.max_by("priority", "source_id").alias("new_priority"), F.min("source_id").alias("new_id"))
+    return sources.join(asked, keys, "full_outer").select(
+        F.coalesce("source_id", "new_id").alias("source_id"), "url", "source_type", F.coalesce("new_priority", "priority").alias("priority"),
+        F.when(F.col("new_id").isNotNull(), "active").otherwise(F.col("status")).alias("status"),
+    )

@@ -255,3 +255,48 @@ def stats_in(text: Column, most: int = 20) -> Column:
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+# fixed values: document types by patterns, first family wins, file name before text
+DOCUMENT_TYPES = (
+    ("Patient Record", (r"patient\s*record\b", r"medical\s*record\b", r"vital\s*signs", r"diagnosis\s*:")),
+    ("Medical Report", (r"medical\s*report\b", r"clinical\s*report", r"lab\s*result")),
+    ("Prescription", (r"prescription\b", r"medication\s*order\b", r"rx\b")),
+    ("Resume", (r"resume\b", r"\bcv\b", r"curriculum\s*vitae", r"professional\s*summary")),
+    ("Application", (r"application\s*form\b", r"job\s*application\b", r"candidate\s*:")),
+    ("Offer Letter", (r"offer\s*letter\b", r"job\s*offer\b", r"employment\s*offer\b")),
+    ("Financial Statement", (r"financial\s*statement\b", r"financial\s*report")),
+    ("Compliance Report", (r"compliance\s*report\b", r"regulatory\s*compliance")),
+    ("Expense Report", (r"expense\s*report\b", r"expense\s*statement")),
+    ("Invoice", (r"\binvoice\b", r"invoice\s*number", r"bill\s*to\b")),
+    ("Purchase Order", (r"purchase\s*order\b", r"\bpo\s*#\b")),
+    ("Contract", (r"contract\b", r"agreement\b", r"terms\s*and\s*conditions")),
+    ("Report", (r"\breport\b", r"\bsummary\b", r"\banalysis\b")),
+    ("Certificate", (r"certificate\b", r"certification\b")),
+)
+EXTENSION_TYPES = {
+    "pdf": "PDF Document", "docx": "Word Document", "doc": "Word Document", "txt": "Text Document", "csv": "CSV Data", "xlsx": "Excel Spreadsheet",
+    "xls": "Excel Spreadsheet", "json": "JSON Data", "xml": "XML Document", "pptx": "Presentation", "md": "Markdown Document",
+}
+LIFECYCLE_IDS = (
+    r"lifecycle[_\s-]?id[:\s]+([A-Za-z0-9_-]+)", r"lifecycle[:\s]+([A-Za-z0-9_-]+)", r"\b(lifecycle[_\s-]?[0-9]{3,})\b",
+    r"invoice[_\s-]?#?[:\s]+([A-Za-z0-9_-]+)", r"contract[_\s-]?#?[:\s]+([A-Za-z0-9_-]+)",
+)
+
+
+def document_type(name: Column, text: Column) -> Column:
+    """Type by the file name, else by the text, else by the extension."""
+    out = F
+    for source in (F.lower(name), F.lower(text)):
+        for kind, patterns in DOCUMENT_TYPES:
+            out = out.when(source.rlike("|".join(patterns)), kind)
+    extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in EXTENSION_TYPES.items() for x in pair])
+    return out.otherwise(F.coalesce(known[extension], F.lit("Document")))
+
+
+def lifecycle_id_in(text: Column) -> Column:
+    """The first pattern's id of three characters or more in the first fifty lines, lower-cased; null without one."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, 50), "\n")
+    found = [F.regexp_replace(F.trim(F.regexp_extract(head, "(?im)" + p, 1)), r"[^\w-]", "") for p in LIFECYCLE_IDS]
+    return F.coalesce(*[F.when(F.length(f) >= 3, F.lower(f)) for f in found])

@@ -183,3 +183,22 @@ def outcomes(orders: DataFrame, least_percent: float = 5.0) -> DataFrame:
             F.struct(F.lit("COST_VARIANCE").alias("outcome_type"), F.col("percent").alias("value")),
         )).alias("o"),
     ).select("lifecycle_id", "o.outcome_type", "o.value")
+
+
+def activity(events: DataFrame) -> DataFrame:
+    """(lifecycle_id, n_events, latest, sentence): how much happened over how many whole days."""
+    s = events.groupBy("lifecycle_id").agg(
+        F.count("*").alias("n_events"), F.max("ts").alias("latest"),
+        F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / SECONDS_A_DAY).alias("days"),
+    )
+    last = F.date_format("latest", "yyyy-MM-dd")
+    over = F.format_string("%d events recorded over %d days. Last activity: %s.", "n_events", "days", last)
+    return s.select("lifecycle_id", "n_events", "latest", F.when(F.col("days") > 0, over).otherwise(F.format_string("%d events recorded.", "n_events")).alias("sentence"))
+
+
+def subgraph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, kind), links(source, target, type)) of lifecycles and their events."""
+    event = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
+    links = events.select(F.col("lifecycle_id").alias("source"), event.alias("target"), F.lit("HAS_EVENT").alias("type")).distinct()
+    nodes = links.select(F.col("source").alias("id"), F.lit("Lifecycle").alias("kind")).unionByName(links.select(F.col("target").alias("id"), F.lit("Event").alias("kind"))).distinct()
+    return nodes, links

@@ -126,3 +126,36 @@ def field_changes(pairs: DataFrame) -> DataFrame:
             applies = (F.lower("doc_type") == kind) & (old != "") & (new != "") & (old != new)
             found.append(F.when(applies, F.struct(F.lit(name).alias("field"), old.alias("old"), new.alias("new"))))
     return pairs.select("pair_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("pair_id", "c.field", "c.old", "c.new")
+
+
+def entity_id(name: Column, doc_type: Column) -> Column:
+    """What a revision group is about: the id in the file name by the family of the document's type, first that matches.
+
+    "po" counts inside longer words such as "report", and contracts are tried as sales before legal.
+    """
+    stem, kind = F.regexp_replace(name, r"\.[^.]+$", ""), F.lower(doc_type)
+    got = lambda pattern, group=1: F.nullif(F.regexp_extract(stem, "(?i)" + pattern, group), F.lit(""))
+    of = lambda words, value: F.when(kind.rlike(words), value)
+    marks = r"(?i)[_-](?:revised|followup|follow-up|final|updated|modified{})$"
+    person = r"(?:application|offerletter|interviewfeedback|interview)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)"
+    order = F.regexp_replace(F.regexp_replace(got(r"(?:po|purchase|change)[_-](\d{4}[_-][A-Za-z0-9_]+)"), r"(?i)[_-]?v\d+$", ""), marks.format(""), "")
+    placed = person + r"[_-](?:position|pos)[_-]?(\d+)"
+    health, hr, sales, orders = "patient|prescription|lab", "application|offer|interview", "lead|proposal|contract", "purchase|po|change"
+    tagged = lambda prefix, value: F.concat(F.lit(prefix), value)  # noqa: E731  null stays null
+    return F.coalesce(
+        of(health, got(r"(?:patient|pat|prescription|lab)[_-]?([A-Z0-9]{6,})")), of(health, tagged("PAT", got(r"PAT[_-]?(\d+)"))),
+        of(hr, F.concat(got(placed, 1), F.lit("_"), got(placed, 2))), of(hr, F.regexp_replace(got(person), marks.format(r"|round\d+"), "")),
+        of("expense|financial", tagged("Employee", got(r"(?:employee|emp)[_-]?(\d+)"))),
+        of(sales, got(r"(?:lead|proposal|contract)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)")), of(sales, tagged("Project", got(r"project[_-]?(\d+)"))),
+        of("contract|compliance", got(r"(?:client|contract)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)")),
+        of(orders, order), of(orders, got(r"project[_-]([A-Za-z_]+)")),
+        got(r"[_-]([A-Z0-9]{4,}(?:[_-][A-Z0-9]+)*)"),
+    )
+
+
+def delivery_outcomes(changes: DataFrame) -> DataFrame:
+    """Time over- and under-runs of more than a day from notes "Delivery date changed: a → b": (lifecycle_id, outcome_type, value)."""
+    pattern = r"(?i)Delivery\s+date\s+changed[:\s]+(\d{4}-\d{2}-\d{2})\s*→\s*(\d{4}-\d{2}-\d{2})"
+    day = lambda g: F.try_to_date(F.regexp_extract("note", pattern, g))
+    rows = changes.select("lifecycle_id", F.datediff(day(2), day(1)).alias("days")).where(F.abs("days") > 1)
+    return rows.select("lifecycle_id", F.when(F.col("days") > 0, "TIME_OVERRUN").otherwise("TIME_UNDERRUN").alias("outcome_type"), F.abs("days").cast("double").alias("value"))

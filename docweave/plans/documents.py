@@ -150,6 +150,18 @@ def after_run(spark, sf_dir):
     return C.after_run(s, results, NOW)
 
 
+def document_types(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    name = F.concat("source", F.element_at(F.array(F.lit(".pdf"), F.lit("_invoice.txt"), F.lit(".xyz")), (F.col("doc_id") % 3 + 1).cast("int")))
+    return d.groupBy(D.document_type(name, F.col("text")).alias("doc_type")).agg(F.count("*").alias("n"))
+
+
+def source_register(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("url"), F.lit("web").alias("source_type"), F.lit("low").alias("priority"), F.lit("paused").alias("status"))
+    asked = s.where("source_id % 4 = 0").unionByName(s.where("source_id % 8 = 0").withColumns({"source_id": F.col("source_id") + 10000, "url": F.concat("url", F.lit("x"))})).select("source_id", "url", "source_type", F.lit("high").alias("priority"))
+    return C.register(s, asked)
+
+
 def _count(text: str, words: str) -> str:
     parts = []
     for w in words.split("|"):
@@ -198,10 +210,14 @@ QUERIES = {
     for f in (
         document_classes, char_chunks, token_chunks, sentence_packs, text_hashes, version_upsert, page_parts, page_types, url_priority,
         page_links, revision_groups, revision_changes, po_item_changes, po_total_changes, parsed_orders, delta_actions, delta_applied,
-        page_changes, due_sources, after_run,
+        page_changes, due_sources, after_run, document_types, source_register,
     )
 }
 ORACLES = {
+    "document_types": f"""with d as (select lower(source || ['.pdf', '_invoice.txt', '.xyz'][doc_id % 3 + 1]) as f, lower(coalesce(text, '')) as t from documents)
+select case {" ".join(f"when regexp_matches({c}, '{'|'.join(ps)}') then '{k}'" for c in ("f", "t") for k, ps in D.DOCUMENT_TYPES)} when f like '%.pdf' then 'PDF Document' when f like '%.txt' then 'Text Document' else 'Document' end as doc_type, count(*) as n from d group by 1""",
+    "source_register": """select s_suppkey as source_id, 'u' || s_suppkey as url, 'web' as source_type, case when s_suppkey % 4 = 0 then 'high' else 'low' end as priority, case when s_suppkey % 4 = 0 then 'active' else 'paused' end as status from supplier
+union all select s_suppkey + 10000, 'u' || s_suppkey || 'x', 'web', 'high', 'active' from supplier where s_suppkey % 8 = 0""",
     "document_classes": _classes_sql(),
     "char_chunks": """with s as (select doc_id, text, unnest(generate_series(0, length(text) - 1, 1600)) as char_start from documents where length(text) > 0)
 select doc_id, cast(char_start / 1600 as int) as n, cast(char_start as int) as char_start, cast(least(char_start + 2000, length(text)) as int) as char_end,

@@ -66,6 +66,15 @@ def active_lifecycles(spark, sf_dir):
     )
 
 
+def lifecycle_activity(spark, sf_dir):
+    return L.activity(lifecycle_events(spark, sf_dir)).select("lifecycle_id", "n_events", "sentence")
+
+
+def lifecycle_graph(spark, sf_dir):
+    nodes, links = L.subgraph(lifecycle_events(spark, sf_dir))
+    return nodes.groupBy("kind").agg(F.count("*").alias("n")).unionByName(links.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n")))
+
+
 def cost_outcomes(spark, sf_dir):
     return L.outcomes(po_versions(spark, sf_dir))
 
@@ -92,9 +101,13 @@ QUERIES = {
     for f in (
         lifecycle_timeline, lifecycle_status, lifecycle_evaluation, lifecycle_metrics, lifecycle_risk, risk_trend, mean_cycle,
         notifications, risky_lifecycles, repeated_changes, top_lifecycles, active_lifecycles, cost_outcomes, revision_frequency,
+        lifecycle_activity, lifecycle_graph,
     )
 }
 ORACLES = {
+    "lifecycle_activity": f"""with {LC}, s as (select lifecycle_id, count(*) as n_events, max(ts) as latest, {_DAYS} as days from lc group by 1)
+select lifecycle_id, n_events, case when days > 0 then n_events || ' events recorded over ' || days || ' days. Last activity: ' || strftime(latest, '%Y-%m-%d') || '.' else n_events || ' events recorded.' end as sentence from s""",
+    "lifecycle_graph": f"with {LC} select 'Lifecycle' as kind, count(distinct lifecycle_id) as n from lc union all select 'Event', count(distinct event_id) from lc union all select 'HAS_EVENT', count(*) from (select distinct lifecycle_id, event_id from lc)",
     "lifecycle_timeline": f"""with {LC} select lifecycle_id, count(*) as n_events, min_by(event_type, (ts, event_id)) as first_type, max_by(event_type, (ts, event_id)) as last_type,
   sha256(string_agg(event_type, '>' order by ts, event_id)) as sha from lc group by 1""",
     "lifecycle_status": f"""with {LC}, sig as (select lifecycle_id, ts, event_id, case when {_TERMINAL} then 'completed' when {_REOPEN} then 'active' end as signal from lc),

@@ -81,6 +81,25 @@ def test_file_names(spark, name, base, version):
     assert (one(spark, revisions.base_name(F.lit(name))), one(spark, revisions.version_of(F.lit(name)))) == (base, version)
 
 
+@pytest.mark.parametrize("name,kind,want", [
+    ("Prescription_PAT01001_Med_v1.txt", "prescription", "PAT01001"), ("OfferLetter_Sarah_Johnson_Position001.txt", "offer letter", "Sarah_Johnson_001"),
+    ("ExpenseReport_Employee001_2024.txt", "expense report", "Employee001"), ("PO_2024_Project_Alpha_v2.txt", "purchase order", "2024_Project_Alpha"),
+    ("Contract_Acme_Corp.pdf", "contract", "Acme_Corp"), ("x_AB12.txt", "note", "AB12"), ("plain.txt", "note", None),
+])
+def test_entity_ids(spark, name, kind, want):
+    assert one(spark, revisions.entity_id(F.lit(name), F.lit(kind))) == want
+
+
+def test_delivery_outcomes(spark):
+    rows = [(1, "Delivery date changed: 2024-02-15 → 2024-02-20"), (2, "delivery date changed: 2024-02-15 → 2024-02-16"), (3, "Delivery date changed: 2024-03-05 → 2024-03-01"), (4, "none")]
+    got = revisions.delivery_outcomes(spark.createDataFrame(rows, "lifecycle_id long, note string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "TIME_OVERRUN", 5.0), (3, "TIME_UNDERRUN", 4.0)]
+
+
+def test_lifecycle_ids(spark):
+    assert one(spark, documents.lifecycle_id_in(F.lit("a\nLifecycle ID: LC-2024_7\n"))) == "lc-2024_7" and one(spark, documents.lifecycle_id_in(F.lit("none"))) is None
+
+
 def test_field_changes(spark):
     rows = [(1, "Prescription", "Dosage: 50 mg\nRefills: 2", "dosage: 75mg\nrefills: 2"), (2, "contract", "Fee: $1,000", "Fee: $2,000"), (3, "other", "Fee: 1", "Fee: 2")]
     got = revisions.field_changes(spark.createDataFrame(rows, "pair_id long, doc_type string, prev_text string, curr_text string")).collect()
