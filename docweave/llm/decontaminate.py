@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm._chunks import ranges
 from docweave.llm._shared import slices
 
 K1, B = 1.2, 0.75
@@ -131,14 +132,16 @@ def retrieve(shard: Shard, texts: list[list[str]], reach: int, threshold: float)
         a, z = starts[lo], ends[hi - 1]
         bound = np.add.reduceat(shard.block_max[terms[a:z]], starts[lo:hi] - a, axis=0)
         for b in np.flatnonzero((bound >= threshold).any(axis=0)):
-            for p in np.flatnonzero(bound[:, b] >= threshold) + lo:
-                at = slice(b * BLOCK_ITEMS, (b + 1) * BLOCK_ITEMS)
-                scores = shard.impact[terms[starts[p] : ends[p]], at].sum(axis=0)
-                for n in np.flatnonzero(scores >= threshold):
-                    if (item := b * BLOCK_ITEMS + int(n)) < len(shard.items):
-                        passage = int(passages[starts[p]])
-                        text = int(np.searchsorted(base, passage, "right")) - 1
-                        yield text, (passage - int(base[text])) * reach, item, float(scores[n])
+            opened = np.flatnonzero(bound[:, b] >= threshold) + lo
+            sizes = ends[opened] - starts[opened]
+            own = terms[ranges(starts[opened], sizes)]
+            at = slice(b * BLOCK_ITEMS, (b + 1) * BLOCK_ITEMS)
+            scores = np.add.reduceat(shard.impact[own, at], np.cumsum(sizes) - sizes, axis=0)
+            for p, n in zip(*(x.tolist() for x in np.nonzero(scores >= threshold))):
+                if (item := b * BLOCK_ITEMS + n) < len(shard.items):
+                    passage = int(passages[starts[opened[p]]])
+                    text = int(np.searchsorted(base, passage, "right")) - 1
+                    yield text, (passage - int(base[text])) * reach, item, float(scores[p, n])
 
 
 def verify(item: Item, passage: list[str], size: int) -> tuple[float, float, float]:
