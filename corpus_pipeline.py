@@ -14,7 +14,7 @@ from docweave.llm.decontaminate import decontaminate
 from docweave.llm.exact_dedup import exact_dedup
 from docweave.llm.language_id import keep_identified
 from docweave.llm.mixing import mix_sources
-from docweave.llm.simhash import near_dedup
+from docweave.llm.similar import similar_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return near_dedup(docs)
+    """Of each group of texts linked by a Jaccard index of 0.8 or more over five-word shingles the one with the smallest id stays."""
+    return similar_dedup(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Column of the number of a row, see numbered.
+ROW = "_row"
 
 _own_dir: list[str] = []
 
@@ -34,6 +36,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a long ROW, different for every row, written once so that every use sees the same numbers."""
+    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null stays null. Pure-ASCII rows take the built-in, which does the same there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -1,0 +1,231 @@
+"""Near-duplicate texts by the exact Jaccard similarity of their word shingles, found by prefix filtering.
+
+A text keeps the few of its shingles that come first in one order of all shingles (rare ones before
+those that a sample finds often). Two sets of similarity s or more share a kept shingle, so every
+such pair meets in some bucket; which order is used changes the cost only. Equal sets are one node.
+A bucket first sends stars around a few of its members; when those are verified, only pairs whose
+ends are still in different components are, so a crowd of copies does not become all its pairs.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docweave.llm._shared import ROW, materialise, numbered, sorted_groups, text_or_empty
+from docweave.llm.simhash import components
+
+#: Texts of the sample that tells often met shingles, and how many of those are told to the tasks.
+SAMPLE, OFTEN = 16_384, 200_000
+#: Star centres of a bucket are the least members under so many hashes.
+STARS = 4
+#: Parts that the texts to be compared with one centre are dealt into.
+SALTS = 64
+PAIRS = 1 << 16
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the lower-cased (A-Z) text's shingles; of fewer words the whole sequence, of none nothing."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    flat, h = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([h(flat)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return np.unique(np.array([h(flat[a:b]) for a, b in spans], np.uint64))
+
+
+def prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first |set| - ceil(similarity x |set|) + 1 hashes by (count in the sample, hash)."""
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    if not len(often) or n >= len(hashes):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    rank = np.where(often[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[:n]]
+
+
+def _often(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles met most in a sample of the texts."""
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64(ROW), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in text_or_empty(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["h"])
+
+    met = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    top = met.orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(members, sizes): int64 arrays as binary, ascending, of every kept shingle that two sets or more share."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = [np.frombuffer(k, np.int64) for k in batch.column(2).to_pylist()]
+            n = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.repeat(rep, n)), pa.array(np.repeat(size, n))], ["key", "rep", "size"]
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        seen: set[bytes] = set()
+
+        def gather(cut: int) -> pa.RecordBatch:
+            key, rep, size = (x[:cut] for x in held)
+            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if cut else np.zeros(1, np.int64)
+            members, sizes = [], []
+            for i in np.flatnonzero(np.diff(edges) > 1):
+                m = rep[edges[i] : edges[i + 1]].tobytes()
+                if (d := xxhash.xxh128_digest(m)) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(d)
+                    members.append(m)
+                    sizes.append(size[edges[i] : edges[i + 1]].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(sizes, pa.binary())], ["members", "sizes"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield gather(cut)
+                held = [x[cut:] for x in held]
+        yield gather(len(held[0]))
+
+    dealt = reps.select("rep", "size", "keys").mapInArrow(deal, "key long, rep long, size long")
+    met = dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(meet, "members binary, sizes binary")
+    return met.groupBy(F.xxhash64("members", F.lit(1)).alias("h1"), F.xxhash64("members", F.lit(2)).alias("h2")).agg(
+        F.first("members").alias("members"), F.first("sizes").alias("sizes")
+    )
+
+
+def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's centres and its other members of fitting size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for m, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rep, size = np.frombuffer(m, np.int64), np.frombuffer(s, np.int64)
+                mixed = rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                centres = {int(np.argmin(mixed * np.uint64(2 * i + 1) ^ mixed >> np.uint64(29))) for i in range(STARS)} if len(rep) > 2 else {0}
+                for c in centres:
+                    fits = np.minimum(size, size[c]) >= similarity * np.maximum(size, size[c]) - 1e-9
+                    fits[c] = False
+                    b.append(rep[fits])
+                    a.append(np.full(len(b[-1]), rep[c]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return buckets.select("members", "sizes").mapInArrow(run, "a long, b long").distinct()
+
+
+def _rest(buckets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs of a bucket of fitting size whose ends are in different components."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [np.frombuffer(m, np.int64) for m in batch.column(2).to_pylist()]
+            sizes = [np.frombuffer(s, np.int64) for s in batch.column(3).to_pylist()]
+            n = [len(m) for m in members]
+            columns = [np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n)]
+            columns += [np.concatenate([np.zeros(0, np.int64), *x]) for x in (members, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "rep", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in sorted_groups(batches, ["h1", "h2"]):
+            rep, size, own = (rows[c].to_numpy() for c in ("rep", "size", "component"))
+            if (own == own[0]).all():
+                continue
+            step = max(1, PAIRS // len(rep))
+            for at in range(0, len(rep), step):
+                s = size[at : at + step, None]
+                ok = (own[at : at + step, None] != own) & (np.minimum(s, size) >= similarity * np.maximum(s, size) - 1e-9)
+                i, j = np.nonzero(ok & (rep[at : at + step, None] < rep))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i + at]), pa.array(rep[j])], ["a", "b"])
+
+    # of two members the star was the only pair
+    rows = buckets.where(F.octet_length("members") > 16).select("h1", "h2", "members", "sizes").mapInArrow(spread, "h1 long, h2 long, rep long, size long")
+    rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have the similarity; texts is (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for a, left, right in zip(batch.column(0).to_pylist(), text_or_empty(batch, "ta"), text_or_empty(batch, "tb")):
+                if a != last:
+                    last, of_last = a, shingle_set(left, shingle)
+                other = shingle_set(right, shingle)
+                both = len(np.intersect1d(of_last, other, assume_unique=True))
+                keep.append(both >= similarity * (len(of_last) + len(other) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    left = salted.select("a", "salt").distinct().join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("ta")), "a")
+    right = salted.join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("tb")), "b")
+    both = right.join(left, ["a", "salt"]).select("a", "b", "ta", "tb")
+    return materialise(both.mapInArrow(run, "a long, b long"), "similar-pairs")
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of docs that stay, all columns: one row of each component of texts with the similarity or more.
+
+    Similarity is the Jaccard index of the sets of shingles (see shingle_set); links reach on. Blank
+    and null texts are equal to each other. The row with the smallest id stays, null ids last; of
+    rows with one id the first.
+    """
+    docs = numbered(docs)
+    often, counts = _often(docs, text_col, shingle)
+    slim = docs.select(ROW, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in text_or_empty(batch, "text")]
+            keys = [prefix(s, similarity, often, counts).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())],
+                [ROW, "id", "sig", "size", "keys"],
+            )
+
+    rows = materialise(slim.mapInArrow(run, f"{ROW} long, id {dict(slim.dtypes)['id']}, sig binary, size long, keys binary"), "similar-sets")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
+    nodes = materialise(rows.groupBy("sig").agg(first.alias("best")).select("best", F.col("best.row").alias("rep")), "similar-nodes")
+    reps = rows.join(nodes.select("rep"), rows[ROW] == nodes["rep"]).select("rep", "size", "keys")
+    buckets = materialise(_buckets(reps), "similar-buckets")
+
+    texts = slim.select(ROW, "text")
+    tried = materialise(_stars(buckets, similarity), "similar-stars")
+    links = _verified(tried, texts, similarity, shingle)
+    labels = components(links)
+    rest = materialise(_rest(buckets, labels, similarity), "similar-rest")
+    if not rest.isEmpty():
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = _verified(rest.join(known, ["a", "b"], "left_anti"), texts, similarity, shingle)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    of = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("best", F.coalesce("component", "rep").alias("component"))
+    stays = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW))
+    return docs.join(stays, ROW, "left_semi").drop(ROW)

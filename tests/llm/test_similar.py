@@ -1,0 +1,83 @@
+"""Near duplicates by shingle similarity against brute force, and the pipeline's stages row for row."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from docweave.llm import similar
+from docweave.llm.similar import similar_dedup
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = "edit%d" % rng.getrandbits(40)
+    return out
+
+
+def planted(seed=5):
+    """Texts with copies of 0 to 8 edits, a crowd of copies of one text, and a line that many share."""
+    rng = random.Random(seed)
+    word = lambda: "w%d" % rng.randrange(5000)
+    line, texts = [word() for _ in range(30)], []
+    for i in range(40):
+        base = [word() for _ in range(rng.choice([1, 4, 5, 6, 60, 150, 300]))]
+        texts.append(base + (line if i % 3 == 0 else []))
+        texts += [edited(rng, texts[-1], min(n, len(texts[-1]))) for n in rng.sample(range(9), 3)]
+    crowd = [word() for _ in range(200)]
+    texts += [edited(rng, crowd, rng.choice([2, 4, 6])) for _ in range(60)]
+    texts += [[], [], ["W1", "w2"], ["w1", "w2"]]
+    rng.shuffle(texts)
+    rows = [(None if i % 9 == 0 else i // 2 if i % 9 == 1 else i, " ".join(t), "en", f"s{i % 3}", i) for i, t in enumerate(texts)]
+    return rows + rows[:12]
+
+
+def shingles(text, size=5):
+    w = text.lower().split()
+    return {tuple(w)} - {()} if len(w) <= size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+def brute(rows):
+    """Sorted lists of row numbers: components of rows with a Jaccard index of 0.8 or more."""
+    sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+@pytest.mark.parametrize("stars,sample,seed", [(4, 16_384, 5), (1, 10, 6)])
+def test_similar_dedup_finds_every_pair(spark, monkeypatch, stars, sample, seed):
+    monkeypatch.setattr(similar, "STARS", stars)
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    rows = planted(seed)
+    groups = brute(rows)
+    made = similar_dedup(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+    of = {rows[i]: g for g, members in enumerate(groups) for i in members}
+    assert len(made) == len(groups) == len({of[tuple(r)] for r in made})
+    for r in made:
+        ids = [rows[i][0] for i in groups[of[tuple(r)]]]
+        assert r["doc_id"] == min((x for x in ids if x is not None), default=None)
+
+
+def test_near_stage_takes_lightly_edited_copies(spark):
+    rng = random.Random(1)
+    bases = [["w%d" % rng.randrange(9000) for _ in range(200)] for _ in range(40)]
+    texts = bases + [edited(rng, b, 3) for b in bases]  # similarity 0.86 or more
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], COLUMNS)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
