@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm._shared import materialise
+from docweave.llm._shared import ROW, materialise, numbered
 from docweave.llm.decontaminate import decontaminate
 from docweave.llm.exact_dedup import exact_dedup
 from docweave.llm.language_id import keep_identified
@@ -39,10 +39,11 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy the mix takes: the document's columns, size, its source's words and target, copy."""
-    plan = mix_sources(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), "size", "source_size", "target", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    docs = numbered(docs)
+    plan = mix_sources(docs, carry=(ROW,)).where("copies > 0").select(
+        ROW, "size", "source_size", "target", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     )
-    return docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+    return docs.join(plan, ROW).drop(ROW)
 
 
 STAGES = [

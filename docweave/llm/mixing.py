@@ -111,20 +111,22 @@ def mix_sources(
     share: float = 1.5,
     max_repeat: int = 2,
     seed: int = 17,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: (id_col, source, size, source_size, target, copies, taken).
+    """One row per input row: (id_col, source, size, source_size, target, copies, taken) and the columns named in carry.
 
     size is the number of words (null text: 0), copies how often the mix takes the document (at
     most max_repeat), taken = copies x size. Null sources are one source. Documents without words
-    are never taken. Ties in the seeded hash fall back to the id; rows repeated under one id are
-    rows of their own. The same rows and seed give the same mix. An empty table gives no rows.
+    are never taken. Ties in the seeded hash fall back to the id and carry; rows repeated under one
+    id are rows of their own, and rows with a null id are dealt by their text. The same rows and seed give the same mix. An empty table gives no rows.
     """
     sized = materialise(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"),
+            F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed))).alias("h"),
+            *carry,
         ).withColumn("cell", F.pmod(F.col("h"), F.lit(CELLS)).cast("int")),
         "mix-sizes",
     )
@@ -164,7 +166,7 @@ def mix_sources(
     rows = sized.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("cell") == F.col("c")))
     need = F.col("extra") - F.col("before")
     split = (need > 0) & (need < F.col("n"))
-    in_cell = Window.partitionBy("source", "size", "cell").orderBy("h", "id")
+    in_cell = Window.partitionBy("source", "size", "cell").orderBy("h", "id", *carry)
     sure = rows.where(~split).withColumn("more", (need >= F.col("n")).cast("long"))
     edge = rows.where(split).withColumn("more", (F.row_number().over(in_cell) <= need).cast("long"))
     return (
@@ -172,6 +174,6 @@ def mix_sources(
         .withColumn("copies", F.col("passes") + F.col("more"))
         .select(
             F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
+            (F.col("copies") * F.col("size")).alias("taken"), *carry,
         )
     )

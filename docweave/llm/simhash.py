@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._shared import materialise, sorted_groups, text_or_empty
+from docweave.llm._shared import ROW, materialise, numbered, sorted_groups, text_or_empty
 
 #: Fingerprints of one block of a crowded bucket.
 BLOCK = 512
@@ -240,8 +240,12 @@ def near_groups(
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of docs that stay, all columns: of each component the row with the smallest id.
 
-    Rows with a null id stay only if their whole component has null ids.
+    Rows with a null id stay only if their whole component has null ids; of rows with one id (or
+    none) the first stays.
     """
-    groups = near_groups(docs, id_col, text_col, radius, shingle)
-    stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(F.col("_stays")), "left_semi")
+    docs = numbered(docs)
+    ids = docs.select(ROW, F.col(id_col).alias("id"))
+    groups = near_groups(docs, ROW, text_col, radius, shingle).select(F.col(ROW), F.col("component_id").alias("component"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
+    stays = groups.join(ids, ROW).groupBy("component").agg(first.alias("best")).select(F.col("best.row").alias(ROW))
+    return docs.join(stays, ROW, "left_semi").drop(ROW)

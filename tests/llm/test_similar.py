@@ -81,3 +81,44 @@ def test_near_stage_takes_lightly_edited_copies(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], COLUMNS)
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+
+
+def odd_rows():
+    """Rows repeated as they are, under one id with another text, and with null ids, equal and different texts."""
+    rng = random.Random(2)
+    text = lambda: " ".join("w%d" % rng.randrange(9000) for _ in range(50))
+    same, null, twice = text(), text(), text()
+    rows = [(1, same, "en", "a", 1)] * 3 + [(None, null, "en", "a", 1)] * 4 + [(None, same.upper(), "en", "b", 1)]
+    return rows + [(2, twice, "en", "b", 1), (2, text(), "en", "b", 1), (None, text(), "en", "b", 1), (None, text(), "en", "a", 1)]
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "simhash_near_dedup"])
+def test_one_row_of_each_group_stays(spark, stage):
+    rows = odd_rows()
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame(rows, COLUMNS).repartition(3), "").collect()
+    want = [r for i, r in enumerate(rows) if r not in rows[:i] and not (r[0] is None and r[1].isupper())]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    from docweave.llm.simhash import near_dedup
+
+    rows = odd_rows()
+    kept = near_dedup(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+    want = [r for i, r in enumerate(rows) if r not in rows[:i] and not (r[0] is None and r[1].isupper())]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_mix_gives_one_row_per_copy(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else i // 2, "w " * rng.randint(1, 40), "en", "abc"[i % 3 if i % 5 else 0], i) for i in range(300)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    made = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").collect()
+    by = {}
+    for r in made:
+        by.setdefault(r["n_chars"], []).append(r)
+    assert all(sorted(r["copy"] for r in g) == list(range(1, len(g) + 1)) and len(g) <= 2 for g in by.values())
+    assert all(tuple(r)[:5] == rows[r["n_chars"]] for r in made)
+    for s in "abc":
+        taken = [r for r in made if r["source"] == s]
+        assert abs(sum(r["size"] for r in taken) - taken[0]["target"]) <= 1
