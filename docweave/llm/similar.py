@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm._chunks import squeeze, unsqueeze
 from docweave.llm._shared import ROW, materialise, numbered, sorted_groups, text_or_empty
 from docweave.llm.simhash import components
 
@@ -28,6 +29,8 @@ STARS = 4
 #: Parts that the texts to be compared with one centre are dealt into.
 SALTS = 64
 PAIRS = 1 << 16
+#: Most bits, as a power of two, of the map that tells which texts may be compared (8 MB).
+MAP_BITS = 26
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -167,6 +170,32 @@ def _rest(buckets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame
     return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(run, "a long, b long").distinct()
 
 
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the ends of pairs, and few others, without a shuffle of all texts: by a bit map of hashed row numbers."""
+    bits = min(MAP_BITS, max(16, (16 * pairs.count()).bit_length()))
+
+    def place(rows: np.ndarray) -> np.ndarray:
+        return (rows.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for column in batch.columns:
+                held[place(column.to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([squeeze(np.packbits(held).tobytes())], pa.binary())], ["map"])
+
+    held = np.zeros(1 << bits >> 3, np.uint8)
+    for row in pairs.select("a", "b").mapInArrow(mark, "map binary").toLocalIterator():
+        held |= np.frombuffer(unsqueeze(bytes(row["map"])), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = place(batch.column(0).to_numpy())
+            yield batch.filter(pa.array(held[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets have the similarity; texts is (row, text)."""
 
@@ -182,6 +211,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
                 keep.append(both >= similarity * (len(of_last) + len(other) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = materialise(_compared(pairs, texts), "similar-texts")
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     left = salted.select("a", "salt").distinct().join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("ta")), "a")
     right = salted.join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("tb")), "b")
@@ -223,7 +253,8 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = materialise(_rest(buckets, labels, similarity), "similar-rest")
     if not rest.isEmpty():
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = _verified(rest.join(known, ["a", "b"], "left_anti"), texts, similarity, shingle)
+        rest = materialise(rest.join(known, ["a", "b"], "left_anti"), "similar-rest")
+        more = _verified(rest, texts, similarity, shingle)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     of = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("best", F.coalesce("component", "rep").alias("component"))
