@@ -1,7 +1,7 @@
 """SimHash near-deduplication with bit-sliced distance comparison.
 
-Fingerprints within the radius agree on at least one of radius + 1 parts of their bits, so equal
-fingerprints are first collapsed to one row and the rest meet only in buckets of a part's value.
+Fingerprints within the radius agree on some parts of their bits (see part_masks), so equal
+fingerprints are first collapsed to one row and the rest meet only in buckets of such parts' value.
 Inside a bucket the bit planes are stored vertically and carry-save counters hold the distances of
 one fingerprint to 64 others per machine word; rows whose every lane is past the radius are dropped
 on the way. A bucket gives a spanning forest, never its pairs; crowded buckets are cut into blocks
@@ -11,6 +11,7 @@ that meet pairwise, which loses no link. Components then shrink by star contract
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._shared import ROW, materialise, numbered, sorted_groups, text_or_empty
+from docweave.llm._shared import materialise, sorted_groups, text_or_empty
 
 #: Fingerprints of one block of a crowded bucket.
 BLOCK = 512
@@ -36,7 +37,11 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
         return xxhash.xxh64_intdigest(flat, 42)
     h = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    hashes = np.array([h(flat[a:b], 42) for a, b in spans], dtype=np.uint64)
+    return majority(np.array([h(flat[a:b], 42) for a, b in spans], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         lanes = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -64,55 +69,78 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(lanes).view(np.uint64)
 
 
+class Counters:
+    """Carry-save counters of differing bits, one lane to a bit of each word; lanes past the radius are marked for good."""
+
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        self.radius = radius
+        self.far = np.zeros(shape, np.uint64)
+        self.planes = [np.zeros(shape, np.uint64) for _ in range((radius + 1).bit_length())]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Two bit planes through a full adder into the ripple of counter planes; a carry out of the top marks its lane."""
+        planes = self.planes
+        ones = planes[0] ^ a
+        carry = (planes[0] & a) | (ones & b)
+        planes[0] = ones ^ b
+        for c in range(1, len(planes)):
+            planes[c], carry = planes[c] ^ carry, planes[c] & carry
+        self.far = self.far | carry
+
+    def within(self) -> np.ndarray:
+        """Lanes whose counters hold at most the radius, compared from the top bit down."""
+        less, equal = np.zeros_like(self.far), ~np.zeros_like(self.far)
+        for c in reversed(range(len(self.planes))):
+            if self.radius >> c & 1:
+                less = less | (equal & ~self.planes[c])
+                equal = equal & self.planes[c]
+            else:
+                equal = equal & ~self.planes[c]
+        return (less | equal) & ~self.far
+
+    def keep(self, some: np.ndarray) -> None:
+        self.far, self.planes = self.far[some], [p[some] for p in self.planes]
+
+
 def near_lanes(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
     """For each query a row of lanes: set where the distance to that lane's fingerprint is at most radius.
 
-    Two planes at a time go through a full adder into a ripple of counter planes; a carry out of
-    the top counter marks its lane as far for good. Queries with only far lanes leave early.
+    Queries with only far lanes leave early.
     """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    width = (radius + 1).bit_length()
     out = np.zeros((len(queries), planes.shape[1]), np.uint64)
-    alive = np.arange(len(queries))
-    counters = [np.zeros_like(out) for _ in range(width)]
-    far = np.zeros_like(out)
-
-    def add(carry: np.ndarray, level: int) -> None:
-        nonlocal far
-        for c in range(level, width):
-            counters[c], carry = counters[c] ^ carry, counters[c] & carry
-        far = far | carry
-
-    def within() -> np.ndarray:
-        """Lanes whose counters hold at most radius, compared from the top bit down."""
-        less, equal = np.zeros_like(far), np.full_like(far, full)
-        for c in reversed(range(width)):
-            if radius >> c & 1:
-                less = less | (equal & ~counters[c])
-                equal = equal & counters[c]
-            else:
-                equal = equal & ~counters[c]
-        return (less | equal) & ~far
-
+    alive, counters = np.arange(len(queries)), Counters(out.shape, radius)
     for p in range(0, 64, 2):
         q = queries[alive]
-        a = planes[p][None, :] ^ (np.uint64(0) - (q >> np.uint64(p) & np.uint64(1)))[:, None]
-        b = planes[p + 1][None, :] ^ (np.uint64(0) - (q >> np.uint64(p + 1) & np.uint64(1)))[:, None]
-        ones = counters[0] ^ a
-        carry = (counters[0] & a) | (ones & b)
-        counters[0] = ones ^ b
-        add(carry, 1)
+        counters.add(*(planes[i][None, :] ^ (np.uint64(0) - (q >> np.uint64(i) & np.uint64(1)))[:, None] for i in (p, p + 1)))
         if p % 16 == 14 and p < 62:
-            keep = within().any(axis=1)
-            if not keep.all():
-                alive, far = alive[keep], far[keep]
-                counters = [c[keep] for c in counters]
+            some = counters.within().any(axis=1)
+            if not some.all():
+                alive = alive[some]
+                counters.keep(some)
                 if not len(alive):
                     return out
-    out[alive] = within()
+    out[alive] = counters.within()
     return out
 
 
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Mask of the places where left and right differ in at most radius bits: 64 pairs to a word, words of only far pairs leave early."""
+    if not len(left):
+        return np.zeros(0, bool)
+    planes = bit_planes(left) ^ bit_planes(right)
+    out = np.zeros(planes.shape[1], np.uint64)
+    alive, counters = np.arange(len(out)), Counters(out.shape, radius)
+    for p in range(0, 64, 2):
+        counters.add(planes[p, alive], planes[p + 1, alive])
+        if p % 16 == 14 and p < 62:
+            some = counters.within() != 0
+            if not some.all():
+                alive = alive[some]
+                counters.keep(some)
+    out[alive] = counters.within()
+    return np.unpackbits(out.view(np.uint8), bitorder="little")[: len(left)].astype(bool)
+
+
 def forest(ids: np.ndarray, fps: np.ndarray, radius: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges (smallest id, member) of the components that links within the radius make of these rows.
 
@@ -146,18 +174,28 @@ def forest(ids: np.ndarray, fps: np.ndarray, radius: int, left: np.ndarray | Non
     return edges
 
 
+def part_masks(n: int, radius: int, block: int) -> list[int]:
+    """Signed 64-bit masks: two fingerprints within the radius agree under at least one of them.
+
+    Of p parts of the bits such a pair agrees on p - radius; all choices of so many are masks. More
+    parts give more and longer keys: p is the least for which n fingerprints spread evenly fill
+    a key's bucket with a block at most. Every p finds the same pairs.
+    """
+    for p in range(radius + 1, radius + 5):
+        cuts = [round(64 * i / p) for i in range(p + 1)]
+        parts = [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:])]
+        if n <= block << (64 * (p - radius) // p):
+            break
+    masks = [sum(chosen) for chosen in combinations(parts, p - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def near_links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b), a < b, that connect all rows of prints(rep, fp) within the radius of each other.
 
     prints has one row per different fingerprint. The edges span the same components as all links.
     """
-    cuts = np.linspace(0, 64, radius + 2).round().astype(int)
-    parts = F.array(
-        *[
-            F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1 if b - a < 64 else -1))
-            for a, b in zip(cuts[:-1], cuts[1:])
-        ]
-    )
+    parts = F.array(*[F.col("fp").bitwiseAND(F.lit(mask)) for mask in part_masks(prints.count(), radius, block)])
     dealt = prints.select("rep", "fp", F.posexplode(parts).alias("part", "value"))
     crowded = (
         dealt.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
@@ -225,27 +263,14 @@ def near_groups(
 
     Texts are lower-cased (A-Z), cut into words and shingles; fingerprints at most radius bits apart
     are linked and component_id is the smallest id reachable. n_links counts the other rows with the
-    same fingerprint. Null and blank texts have fingerprint zero and are linked like any other; rows
-    with a null id get the component of their fingerprint. Empty tables give no rows.
+    same fingerprint. Null and blank texts have fingerprint zero and are linked like any other, as are
+    rows with a null id; only where all of a component have none is its id null. Ids may be of any
+    type that has an order. Empty tables give no rows.
     """
     rows = materialise(with_fingerprints(docs, id_col, text_col, shingle), "simhash")
-    prints = materialise(rows.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("n")), "prints")
-    nodes = components(near_links(prints.where("rep is not null").select("rep", "fp"), radius))
-    of = prints.join(nodes, prints["rep"] == nodes["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"), (F.col("n") - 1).alias("n_links")
-    )
+    prints = materialise(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
+    nodes = components(near_links(prints.select(F.col("fp").alias("rep"), "fp"), radius))
+    of = prints.join(nodes, prints["fp"] == nodes["node"], "left").withColumn("component", F.coalesce("component", "fp"))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = of.join(least, "component").select("fp", "component_id", (F.col("n") - 1).alias("n_links"))
     return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "n_links")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs that stay, all columns: of each component the row with the smallest id.
-
-    Rows with a null id stay only if their whole component has null ids; of rows with one id (or
-    none) the first stays.
-    """
-    docs = numbered(docs)
-    ids = docs.select(ROW, F.col(id_col).alias("id"))
-    groups = near_groups(docs, ROW, text_col, radius, shingle).select(F.col(ROW), F.col("component_id").alias("component"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
-    stays = groups.join(ids, ROW).groupBy("component").agg(first.alias("best")).select(F.col("best.row").alias(ROW))
-    return docs.join(stays, ROW, "left_semi").drop(ROW)

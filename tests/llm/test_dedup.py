@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import simhash, suffix_dedup
 from docweave.llm.exact_dedup import exact_dedup, exact_groups
-from docweave.llm.simhash import components, fingerprint, near_dedup, near_groups, near_links
+from docweave.llm.simhash import components, fingerprint, near_groups, near_links
 from docweave.llm.substring_dedup import dedup_windows
 from docweave.llm.suffix_dedup import dedup_substrings
 
@@ -178,8 +178,33 @@ def test_near_groups(docs):
     for r in made:
         if r["doc_id"] is not None:
             assert (np.uint64(np.int64(r["fp"])), r["component_id"]) == (np.uint64(fps[r["doc_id"]]), want[r["doc_id"]])
-    kept = near_dedup(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+@pytest.mark.parametrize("n", [10, 1 << 23, 1 << 40])
+def test_masks_find_every_pair_within_the_radius(n):
+    rng, masks = np.random.default_rng(1), simhash.part_masks(n, 4, 512)
+    for _ in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(flips & m & (1 << 64) - 1 == 0 for m in masks)
+    assert len(masks) == {10: 5, 1 << 23: 15, 1 << 40: 70}[n]
+
+
+def test_near_groups_of_null_ids_and_string_ids(spark):
+    words = " ".join("w%d" % i for i in range(400))
+    rows = [(None, words), ("b", words + " more"), ("a", words), (None, "only here"), (None, "Only HERE")]
+    made = near_groups(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((r["doc_id"] or "", r["component_id"] or "") for r in made.collect()) == [("", ""), ("", ""), ("", "a"), ("a", "a"), ("b", "a")]
+
+
+def test_pairs_and_lanes_count_alike():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    b = a ^ np.array([sum(1 << int(x) for x in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 64, 1000)], np.uint64)
+    for radius in (0, 4, 25, 63):
+        near = simhash.near_pairs(a, b, radius)
+        assert (near == (np.bitwise_count(a ^ b) <= radius)).all()
+        lanes = simhash.near_lanes(a[:70], simhash.bit_planes(b[:70]), radius)
+        assert [bool(lanes[i, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(70)] == near[:70].tolist()
 
 
 def test_fingerprint_follows_its_definition():

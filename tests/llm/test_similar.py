@@ -5,8 +5,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from docweave.llm import similar
-from docweave.llm.similar import similar_dedup
+from docweave.llm import simhash_dedup
+from docweave.llm.simhash_dedup import near_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,12 +61,12 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("stars,sample,seed", [(4, 16_384, 5), (1, 10, 6)])
-def test_similar_dedup_finds_every_pair(spark, monkeypatch, stars, sample, seed):
-    monkeypatch.setattr(similar, "STARS", stars)
-    monkeypatch.setattr(similar, "SAMPLE", sample)
+def test_near_dedup_finds_every_pair(spark, monkeypatch, stars, sample, seed):
+    monkeypatch.setattr(simhash_dedup, "STARS", stars)
+    monkeypatch.setattr(simhash_dedup, "SAMPLE", sample)
     rows = planted(seed)
     groups = brute(rows)
-    made = similar_dedup(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+    made = near_dedup(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
     of = {rows[i]: g for g, members in enumerate(groups) for i in members}
     assert len(made) == len(groups) == len({of[tuple(r)] for r in made})
     for r in made:
@@ -101,8 +101,6 @@ def test_one_row_of_each_group_stays(spark, stage):
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark):
-    from docweave.llm.simhash import near_dedup
-
     rows = odd_rows()
     kept = near_dedup(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
     want = [r for i, r in enumerate(rows) if r not in rows[:i] and not (r[0] is None and r[1].isupper())]
