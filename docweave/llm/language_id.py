@@ -2,7 +2,9 @@
 
 The network is trained in numpy by backpropagation through time on snippets of a bounded sample of
 labelled rows. It labels every byte of every text; a document's probabilities are the means over its
-positions. Texts are run in segments side by side, so a task's memory does not follow text length.
+positions. Texts are run in segments side by side, so a task's memory does not follow text length;
+every segment is read with some bytes before and after it that only bring the states up to date, so
+no position is judged without what stands around it.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm._chunks import ranges
 from docweave.llm._shared import slices
 
-SEGMENT = 64
-LANES = 2048
+#: Bytes of a segment, and bytes read before and after it for their context alone.
+SEGMENT, CONTEXT = 128, 16
+LANES = 1024
 PAD = 256
 PIECE_BYTES = 2 << 20
 UNDETERMINED = "und"
@@ -55,13 +59,14 @@ class Network:
         n, hidden = x.shape[1], len(cand)
         out = np.empty((len(x), n, hidden), np.float32)
         h = np.zeros((n, hidden), np.float32)
+        real = (x != PAD).astype(np.float32)[:, :, None]
         for t in range(len(x)) if way == "f" else reversed(range(len(x))):
             a = w_in[x[t]]
             zr = sigmoid(a[:, : 2 * hidden] + h @ gates)
             z, r = zr[:, :hidden], zr[:, hidden:]
             rh = r * h
             c = np.tanh(a[:, 2 * hidden :] + rh @ cand)
-            new = h + z * (c - h)
+            new = (h + z * (c - h)) * real[t]  # padding holds no state
             if keep is not None:
                 keep.append((t, h, z, r, rh, c))
             out[t] = h = new
@@ -95,7 +100,7 @@ class Network:
             own = back[:, :, :hidden] if d == "f" else back[:, :, hidden:]
             dh = np.zeros((x.shape[1], hidden), np.float32)
             for t, h, z, r, rh, c in reversed(kept[d]):
-                dh = dh + own[t]
+                dh = (dh + own[t]) * real[t][:, None]
                 d_c = dh * z * (1 - c * c)
                 d_rh = d_c @ cand.T
                 d_zr = np.concatenate([dh * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)], axis=1)
@@ -109,10 +114,11 @@ class Network:
         return grads
 
 
-def train(snippets: list[bytes], labels: list[str], hidden: int = 8, steps: int = 240, batch: int = 128, length: int = 48, seed: int = 5) -> Network:
-    """Adam over random windows of the snippets, languages drawn evenly."""
+def train(snippets: list[bytes], labels: list[str], hidden: int | None = None, steps: int | None = None, batch: int = 128, length: int = 48, seed: int = 5) -> Network:
+    """Adam over random windows of the snippets, languages drawn evenly; more languages take more units and steps."""
     languages = sorted(set(labels))
-    net = Network.fresh(languages, hidden, seed)
+    steps = steps or 240 + 8 * max(0, len(languages) - 4)
+    net = Network.fresh(languages, hidden or max(8, min(64, 2 * len(languages))), seed)
     if len(languages) < 2:
         return net
     rng = np.random.default_rng(seed)
@@ -145,16 +151,18 @@ def predict(net: Network, texts: list[bytes]) -> list[tuple[str, float]]:
     lengths = np.array([len(t) for t in texts], np.int64)
     counts = -(-lengths // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), counts)
-    flat = np.full(int(counts.sum()) * SEGMENT, PAD, np.int16)
-    starts = (np.cumsum(counts) - counts) * SEGMENT
-    for text, at in zip(texts, starts.tolist()):
+    size = counts * SEGMENT + 2 * CONTEXT
+    starts = np.cumsum(size) - size
+    flat = np.full(int(size.sum()), PAD, np.int16)
+    for text, at in zip(texts, (starts + CONTEXT).tolist()):
         flat[at : at + len(text)] = np.frombuffer(text, np.uint8)
-    lanes = flat.reshape(-1, SEGMENT)
+    lanes = ranges(np.zeros(len(texts), np.int64), counts) * SEGMENT + starts[owner]
+    span = np.arange(SEGMENT + 2 * CONTEXT)
     pooled = np.zeros((len(texts), len(net.languages)))
     for a in range(0, len(lanes), LANES):
-        x = np.ascontiguousarray(lanes[a : a + LANES].T)
-        p = net.positions(x)
-        p *= (x != PAD)[:, :, None]
+        x = flat[lanes[a : a + LANES] + span[:, None]]
+        p = net.positions(x)[CONTEXT:-CONTEXT]
+        p *= (x[CONTEXT:-CONTEXT] != PAD)[:, :, None]
         np.add.at(pooled, owner[a : a + LANES], p.sum(axis=0))
     pooled /= np.maximum(1, lengths)[:, None]
     best, out = pooled.argmax(axis=1), []
@@ -166,8 +174,8 @@ def predict(net: Network, texts: list[bytes]) -> list[tuple[str, float]]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 400, languages: int = 64, snippet: int = 160) -> Network:
-    """A network trained on a bounded sample: per_language rows of each of the most frequent languages.
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 400, snippet: int = 160) -> Network:
+    """A network trained on a bounded sample: per_language rows of each language.
 
     Rows are sampled by a hash of their id; of each row a snippet from the start, the middle and the
     end is learned from. Rows without language or letters are not used.
@@ -175,13 +183,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     rows = docs.select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(31)).alias("h")
     ).where("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Network.fresh([], 1, 0)
-    cell = F.pmod("h", F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts:
-        chosen = chosen | ((F.col("lang") == lang) & (cell < int(min(1.0, 2.0 * per_language / n + 20.0 / n) * (1 << 30))))
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 2.0 * per_language / n + 20.0 / n))])
+    chosen = F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     size = F.length("text")
     pieces = [F.substring(F.col("text"), F.lit(1) + ((size * k) / 2).cast("int") - (snippet * k) // 2, F.lit(snippet)) for k in range(3)]
     sample = rows.where(chosen & F.col("text").rlike(r"\p{L}")).select("lang", "h", F.array(*pieces).alias("pieces"))

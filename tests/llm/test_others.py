@@ -56,11 +56,35 @@ def test_mix(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_words(text):
+    out, now = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum():
+            now += c
+        elif now:
+            out.append(now)
+            now = ""
+    return out
+
+
+def runs_of(words, n=5):
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def is_leak(item, text):
+    """Written apart from the operator: any place of the text, all shingles of item, question and answer."""
+    words, runs = plain_words(item), runs_of(plain_words(text))
+    sentences = [plain_words(s) for s in item.split(". ") if plain_words(s)]
+    sides = [[w for s in sentences[:-1] for w in s], sentences[-1]] if len(sentences) > 1 else [words[: len(words) - len(words) // 3], words[len(words) - len(words) // 3 :]]
+    share = lambda w: len(runs_of(w) & runs) / len(runs_of(w))
+    return share(words) >= 0.8 and all(share(s) >= 0.5 for s in sides if len(s) >= 5)
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(1)
     words = ["v%d" % i for i in range(300)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 40))) + ". " + " ".join(rng.choice(words) for _ in range(rng.randint(2, 9)))) for i in range(30)]
-    items += [(900, None), (901, ""), (None, "no key at all in this one")]
+    items += [(900, None), (901, ""), (None, "no key at all in this one"), (902, items[2][1])]
     texts = []
     for i in range(80):
         body = [rng.choice(words) for _ in range(rng.choice([0, 5, 50, 400]))]
@@ -68,34 +92,49 @@ def test_leaks_match_brute_force(spark):
             at = rng.randrange(len(body) + 1)
             body[at:at] = items[i % 30][1].upper().split()[: None if i % 2 else -1]
         texts.append(" ".join(body))
+    texts.append(" ".join(rng.choice(words) for _ in range(40_000)) + " No, key AT all in this_one " + items[7][1])
     rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (None, texts[0]), (3, texts[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).collect()}
-    want = set()
-    for key, text in items:
-        if key is None or not dc.words_of((text or "").encode()):
-            continue
-        item = dc.Item(key, dc.words_of(text.encode()), *dc.question_and_answer(text.encode()))
-        for d, t in rows:
-            w = dc.words_of((t or "").encode())
-            shares = dc.verify(item, w, 5)
-            if shares[0] >= 0.8:
-                want.add((d, key))
-    assert want <= got and len(want) > 20 and got <= want
+    want = {(d, key) for key, text in items if text for d, t in rows if is_leak(text, t)}
+    assert got == want and len(want) > 20 and (80, None) in want and (80, 7) in want
     left = dc.decontaminate(docs, bench)
     assert left.columns == docs.columns and left.count() == len([r for r in rows if r[0] not in {d for d, _ in got} or r[1] is None])
     assert dc.find_leaks(docs, bench.limit(0)).count() == 0 and dc.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
-def test_block_max_bounds_hold():
-    items = [dc.Item(i, [f"t{(i * j) % 50}" for j in range(20)], [], []) for i in range(1, 60)]
-    for shard in dc.build_shards(items):
-        for b in range(shard.block_max.shape[1]):
-            part = shard.impact[:, b * dc.BLOCK_ITEMS : (b + 1) * dc.BLOCK_ITEMS]
-            assert (shard.block_max[:, b] >= part.max(axis=1)).all()
-        n = len(shard.items)
-        assert np.allclose(shard.impact[:, :n].sum(axis=0), 1, atol=1e-5)
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.6])
+def test_wand_retrieves_all_that_full_scoring_does(threshold):
+    rng = random.Random(3)
+    rows = []
+    for i in range(90):
+        terms = sorted(rng.sample(range(200), rng.randint(1, 30)))
+        impacts = [rng.random() ** 3 for _ in terms]
+        rows.append({"entry": i, "text": "", "length": len(terms), "terms": [f"t{t}" for t in terms], "impacts": [x / sum(impacts) for x in impacts]})
+    index = dc.Index(rows)
+    texts = [[f"t{rng.randrange(220)}" for _ in range(rng.randint(0, 120))] for _ in range(200)]
+    got = {(t, at, item): s for t, at, item, s in dc.retrieve(index, texts, threshold)}
+    want = {}
+    for t, words in enumerate(texts):
+        for at in range(0, max(1, len(words)), index.reach):
+            have = set(words[at : at + 2 * index.reach])
+            for i, r in enumerate(rows):
+                score = sum(x for term, x in zip(r["terms"], r["impacts"]) if term in have)
+                if score >= threshold:
+                    want[t, at, i] = score
+    assert got.keys() == want.keys() and len(want) > 10 and all(math.isclose(got[k], want[k], abs_tol=1e-8) for k in want)
+
+
+def test_scores_do_not_depend_on_how_the_benchmark_is_cut(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join("v%d" % rng.randrange(80) for _ in range(rng.randint(5, 70)))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x y " + items[i % 60][1] + " z") for i in range(80)], "doc_id long, text string")
+    first = sorted(map(tuple, dc.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 4000)
+    monkeypatch.setattr(dc, "INDEX_ITEMS", 7)
+    assert sorted(map(tuple, dc.find_leaks(docs, bench.repartition(3)).collect())) == first and len(first) >= 80
 
 
 def test_extract(spark):
@@ -179,6 +218,32 @@ def test_language_id(spark, sf):
     assert {r["lang_pred"] for r in language_id.identify(docs.limit(5).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_segments_agree_with_one_run_over_the_whole_text(spark, sf):
+    """Within a segment nothing is cut: up to its length the pooled probabilities are those of one run, beyond they are close."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and length(text) > 1500").select("text", "lang").limit(25).collect()
+    net = language_id.train([r["text"][:160].encode() for r in rows], [r["lang"] for r in rows], steps=120)
+    far = []
+    for r in rows:
+        for n in (1, 5, 127, 128, 129, 1400):
+            text = r["text"].encode()[:n]
+            whole = net.positions(np.frombuffer(text, np.uint8).astype(np.int16)[:, None])[:, 0].mean(axis=0)
+            lang, score = language_id.predict(net, [b"", text, b"zz"])[1]
+            if lang != language_id.UNDETERMINED and n <= language_id.SEGMENT:
+                assert lang == net.languages[int(whole.argmax())] and abs(score - whole.max()) < 1e-4
+            elif n == 1400:
+                far.append((abs(score - whole.max()), lang == net.languages[int(whole.argmax())]))
+    assert np.mean([f[0] for f in far]) < 0.02 and np.mean([f[1] for f in far]) > 0.97
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    train = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda snippets, labels: train(snippets, labels, hidden=2, steps=2))
+    alphabet = [chr(0x4E00 + 60 * k) for k in range(70)]  # more languages than any cap would allow, a few letters each
+    rows = [(i, (alphabet[i % 70] + chr(ord(alphabet[i % 70]) + 1) + " ") * 20, f"l{i % 70:02d}") for i in range(420)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert net.languages == [f"l{k:02d}" for k in range(70)]
+
+
 def test_network_gradients():
     net = language_id.Network.fresh(["a", "b"], 3, 1)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
