@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What a file name loses at its end, in this order, to give its base name.
+# fixed values: what a file name loses at its end, in this order, to give its base name.
 ENDINGS = (
     r"\.[^.]+$", r"(?i)[_-]?v\d+$", r"(?i)[_-](?:revised|followup|follow-up|final|updated|modified)$", r"(?i)[_-]round\d+$",
     r"(?i)[_-](?:priceadjustment|deliverydelay|adjustment|delay)$", r"[_-]\d{4}[_-]\d{2}(?:[_-]\d{2})?$",
@@ -33,8 +35,8 @@ def base_name(name: Column) -> Column:
 def revision_rows(events: DataFrame) -> DataFrame:
     """Upload events with doc_type, file_name, version and revision key, in groups of two or more.
 
-    events(lifecycle_id, event_id, event_type, ts, summary); rows of a group are numbered by time,
-    then version (none: 999), then id.
+    events(lifecycle_id, event_id, event_type, ts, summary). Rows are grouped by type and entity id,
+    or base name where there is none, and numbered by time, then version (none: 999), then id.
     """
     named = (
         events.where(F.upper("event_type").endswith("_UPLOADED"))
@@ -42,7 +44,7 @@ def revision_rows(events: DataFrame) -> DataFrame:
         .where("file_name is not null")
         .withColumn("doc_type", F.lower(F.replace(F.regexp_replace("event_type", "(?i)_UPLOADED$", ""), F.lit("_"), F.lit(" "))))
         .withColumn("version", version_of(F.col("file_name")))
-        .withColumn("revision_key", F.concat_ws("|", "doc_type", F.lower(base_name(F.col("file_name")))))
+        .withColumn("revision_key", F.concat_ws("|", "doc_type", F.coalesce(entity_id(F.col("file_name"), F.col("doc_type")), F.lower(base_name(F.col("file_name"))))))
     )
     group = W.partitionBy("lifecycle_id", "revision_key")
     order = group.orderBy("ts", F.coalesce("version", F.lit(999)), "event_id")
@@ -58,7 +60,7 @@ def revision_summary(rows: DataFrame) -> DataFrame:
 
 
 def revision_changes(rows: DataFrame) -> DataFrame:
-    """One row per consecutive pair of a group; where the version falls the two change places."""
+    """One row per consecutive pair of a group; where the version falls the two change places. Only orders note their versions."""
     order = W.partitionBy("lifecycle_id", "revision_key").orderBy("n")
     pairs = rows.withColumn("prev_version", F.lag("version").over(order)).withColumn("prev_file", F.lag("file_name").over(order)).where("n > 1")
     swap = F.coalesce(F.col("version") < F.col("prev_version"), F.lit(False))
@@ -66,7 +68,7 @@ def revision_changes(rows: DataFrame) -> DataFrame:
         "lifecycle_id", "revision_key", "n",
         F.when(swap, F.col("file_name")).otherwise(F.col("prev_file")).alias("from_file"),
         F.when(swap, F.col("prev_file")).otherwise(F.col("file_name")).alias("to_file"),
-        F.when(F.col("version") != F.col("prev_version"), F.format_string("Version updated: v%d → v%d", F.least("version", "prev_version"), F.greatest("version", "prev_version"))).alias("note"),
+        F.when(F.col("doc_type").isin("purchase order", "change order") & (F.col("version") != F.col("prev_version")), F.format_string("Version updated: v%d → v%d", F.least("version", "prev_version"), F.greatest("version", "prev_version"))).alias("note"),
     )
 
 
@@ -105,52 +107,46 @@ def total_change(prev: Column, curr: Column) -> Column:
     return F.when((prev != curr) & (prev != 0), F.format_string("Total cost change: $%,.2f → $%,.2f (%+.1f%%)", prev, curr, percent))
 
 
-# fixed values: fields of the typed documents, as one-group patterns read without regard to case
-FIELDS: dict[str, tuple[tuple[str, str], ...]] = {
-    "prescription": (("dosage", r"dosage[:\s]+(\d+)\s*mg"), ("quantity", r"quantity[:\s]+(\d+)"), ("refills", r"refills?[:\s]+(\d+)")),
-    "offer letter": (("salary", r"salary[:\s]+\$?([\d,]+)"), ("bonus", r"bonus[:\s]+\$?([\d,]+)"), ("options", r"([\d,]+)\s*(?:stock\s*)?options"), ("status", r"status[:\s]+([^\n]+)")),
-    "proposal": (("total", r"total[^\n$]*\$([\d,]+)"), ("timeline", r"timeline[:\s]+([^\n]+)"), ("terms", r"terms[:\s]+([^\n]+)")),
-    "expense report": (("subtotal", r"subtotal[:\s]+\$?([\d,]+\.?\d*)"), ("status", r"status[:\s]+([^\n]+)")),
-    "contract": (("period", r"(?:period|term)[:\s]+([^\n]+)"), ("fee", r"fee[:\s]+\$?([\d,]+)"), ("total", r"total[^\n$]*\$([\d,]+)")),
-    "patient record": (("blood pressure", r"blood\s*pressure[:\s]+(\d+/\d+)"), ("heart rate", r"heart\s*rate[:\s]+(\d+)"), ("glucose", r"glucose[:\s]+(\d+)"), ("diagnosis", r"diagnosis[:\s]+([^\n]+)")),
-    "lab result": (("status", r"status[:\s]+([^\n]+)"),),
-}
+# fixed values: words of the document type, pattern in the file name, prefix of the id, groups that make it, endings it loses; the first that matches counts
+ENTITIES = (
+    (("patient", "prescription", "lab"), r"(?:patient|pat|prescription|lab)[_-]?([A-Z0-9]{6,})", "", (1,), ()),
+    (("patient", "prescription", "lab"), r"PAT[_-]?(\d+)", "PAT", (1,), ()),
+    (("application", "offer", "interview"), r"(?:application|offerletter|interviewfeedback|interview)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)[_-](position|pos)[_-]?(\d+)", "", (1, 3), ()),
+    (("application", "offer", "interview"), r"(?:application|offerletter|interviewfeedback|interview)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)", "", (1,), (r"[_-](?:revised|followup|follow-up|final|updated|modified|round\d+)$",)),
+    (("expense", "financial"), r"(?:employee|emp)[_-]?(\d+)", "Employee", (1,), ()),
+    (("lead", "proposal", "contract"), r"(?:lead|proposal|contract)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)", "", (1,), ()),
+    (("lead", "proposal", "contract"), r"project[_-]?(\d+)", "Project", (1,), ()),
+    (("contract", "compliance"), r"(?:client|contract)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)", "", (1,), ()),
+    (("purchase", "po", "change"), r"(?:po|purchase|change)[_-](\d{4}[_-][A-Za-z0-9_]+)", "", (1,), (r"[_-]?v\d+$", r"[_-](?:revised|followup|follow-up|final|updated|modified)$")),
+    (("purchase", "po", "change"), r"project[_-]([A-Za-z_]+)", "", (1,), ()),
+    (("",), r"[_-]([A-Z0-9]{4,}(?:[_-][A-Z0-9]+)*)", "", (1,), ()),
+)
 
 
-def field_changes(pairs: DataFrame) -> DataFrame:
-    """pairs(pair_id, doc_type, prev_text, curr_text): (pair_id, field, old, new) for each field that both texts have and that differs."""
-    found = []
-    for kind, fields in FIELDS.items():
-        for name, pattern in fields:
-            old, new = (F.trim(F.regexp_extract(c, "(?i)" + pattern, 1)) for c in ("prev_text", "curr_text"))
-            applies = (F.lower("doc_type") == kind) & (old != "") & (new != "") & (old != new)
-            found.append(F.when(applies, F.struct(F.lit(name).alias("field"), old.alias("old"), new.alias("new"))))
-    return pairs.select("pair_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("pair_id", "c.field", "c.old", "c.new")
+def entity_id(name: Column, doc_type: Column) -> Column:
+    """What a revision group is about: the id in the file name by the family of the document's type; null without one."""
+    stem, kind = F.regexp_replace(name, r"\.[^.]+$", ""), F.lower(doc_type)
+    tried = []
+    for words, pattern, prefix, groups, endings in ENTITIES:
+        own = F.concat_ws("_", *[F.regexp_extract(stem, "(?i)" + pattern, g) for g in groups])
+        for ending in endings:
+            own = F.regexp_replace(own, "(?i)" + ending, "")
+        of_type = reduce(lambda x, y: x | y, [kind.contains(w) for w in words])
+        tried.append(F.when(of_type & stem.rlike("(?i)" + pattern), F.concat(F.lit(prefix), own)))
+    return F.coalesce(*tried)
 
 
-def entity_id(name: Column, doc_type: Column) -> Column:
-    """What a revision group is about: the id in the file name by the family of the document's type, first that matches.
+def match_files(names: DataFrame, files: DataFrame) -> DataFrame:
+    """(lifecycle_id, file_name, stored_name, text): the stored file of each file_name of its lifecycle.
 
-    "po" counts inside longer words such as "report", and contracts are tried as sales before legal.
+    The same name goes first; otherwise the first by seq of those that hold the name, are held by it,
+    or have the same base name, all without regard to case.
     """
-    stem, kind = F.regexp_replace(name, r"\.[^.]+$", ""), F.lower(doc_type)
-    got = lambda pattern, group=1: F.nullif(F.regexp_extract(stem, "(?i)" + pattern, group), F.lit(""))
-    of = lambda words, value: F.when(kind.rlike(words), value)
-    marks = r"(?i)[_-](?:revised|followup|follow-up|final|updated|modified{})$"
-    person = r"(?:application|offerletter|interviewfeedback|interview)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)"
-    order = F.regexp_replace(F.regexp_replace(got(r"(?:po|purchase|change)[_-](\d{4}[_-][A-Za-z0-9_]+)"), r"(?i)[_-]?v\d+$", ""), marks.format(""), "")
-    placed = person + r"[_-](?:position|pos)[_-]?(\d+)"
-    health, hr, sales, orders = "patient|prescription|lab", "application|offer|interview", "lead|proposal|contract", "purchase|po|change"
-    tagged = lambda prefix, value: F.concat(F.lit(prefix), value)  # noqa: E731  null stays null
-    return F.coalesce(
-        of(health, got(r"(?:patient|pat|prescription|lab)[_-]?([A-Z0-9]{6,})")), of(health, tagged("PAT", got(r"PAT[_-]?(\d+)"))),
-        of(hr, F.concat(got(placed, 1), F.lit("_"), got(placed, 2))), of(hr, F.regexp_replace(got(person), marks.format(r"|round\d+"), "")),
-        of("expense|financial", tagged("Employee", got(r"(?:employee|emp)[_-]?(\d+)"))),
-        of(sales, got(r"(?:lead|proposal|contract)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)")), of(sales, tagged("Project", got(r"project[_-]?(\d+)"))),
-        of("contract|compliance", got(r"(?:client|contract)[_-]([A-Za-z_]+(?:_[A-Za-z]+)*)")),
-        of(orders, order), of(orders, got(r"project[_-]([A-Za-z_]+)")),
-        got(r"[_-]([A-Z0-9]{4,}(?:[_-][A-Z0-9]+)*)"),
-    )
+    low, base = F.lower, lambda c: F.lower(base_name(F.col(c)))
+    pairs = names.select("lifecycle_id", "file_name").distinct().join(files.select("lifecycle_id", "stored_name", "seq", "text"), "lifecycle_id")
+    fits = F.contains(low("stored_name"), low("file_name")) | F.contains(low("file_name"), low("stored_name")) | (base("file_name") == base("stored_name"))
+    best = F.min_by(F.struct("stored_name", "text"), F.struct((F.col("stored_name") != F.col("file_name")).cast("int"), "seq")).alias("b")
+    return pairs.where(fits).groupBy("lifecycle_id", "file_name").agg(best).select("lifecycle_id", "file_name", "b.stored_name", "b.text")
 
 
 def delivery_outcomes(changes: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ select doc_id, {pick('domain')} as domain, {pick('kind')} as doc_type,
 
 
 _UPLOADS = f"""{PO}, up as (select o_custkey as lifecycle_id, o_orderkey, o_orderdate, version, 'PO_2024_' || case when version % 2 = 0 then 'Alpha' else 'Beta' end || '_v' || version || '.txt' as file_name,
-  'purchase order|po_2024_' || case when version % 2 = 0 then 'alpha' else 'beta' end as revision_key from versions),
+  'purchase order|2024_' || case when version % 2 = 0 then 'Alpha' else 'Beta' end as revision_key from versions),
 rows as (select *, row_number() over (partition by lifecycle_id, revision_key order by o_orderdate, version, o_orderkey) as n, count(*) over (partition by lifecycle_id, revision_key) as c from up qualify c > 1)"""
 _DELTA = """delta as (select o_orderkey as item_id, 'f' || o_orderkey || case when o_orderkey % 10 = 8 then '.exe' when o_orderkey % 10 = 6 then 'b.pdf' else '.pdf' end as name, o_orderkey % 10 = 2 as deleted,
   o_custkey % 17 = 0 as is_folder, o_custkey + case when o_orderstatus = 'P' then 1 else 0 end as size, o_orderdate as modified from orders where o_orderkey % 2 = 0),

@@ -100,10 +100,47 @@ def test_lifecycle_ids(spark):
     assert one(spark, documents.lifecycle_id_in(F.lit("a\nLifecycle ID: LC-2024_7\n"))) == "lc-2024_7" and one(spark, documents.lifecycle_id_in(F.lit("none"))) is None
 
 
-def test_field_changes(spark):
-    rows = [(1, "Prescription", "Dosage: 50 mg\nRefills: 2", "dosage: 75mg\nrefills: 2"), (2, "contract", "Fee: $1,000", "Fee: $2,000"), (3, "other", "Fee: 1", "Fee: 2")]
-    got = revisions.field_changes(spark.createDataFrame(rows, "pair_id long, doc_type string, prev_text string, curr_text string")).collect()
-    assert sorted(map(tuple, got)) == [(1, "dosage", "50", "75"), (2, "fee", "1,000", "2,000")]
+def test_content_notes(spark):
+    from docweave.operators.diffs import content_notes, largest_percent
+
+    rows = [
+        ("Purchase Order", "1. Bolt - quantity: 5 units - unit price: $2.00\nTotal: $1,000", "1. Bolt - Quantity: 9 units - Unit Price: $2.50\n2. Rush delivery fee - quantity: 1\nTotal: $1,259"),
+        ("Proposal", "1. Training: 5 days\nTotal: 10", "1. Training: 5 days [SAME]\nTotal: 10"), ("Contract", "Monthly fee: $1,000", "monthly FEE: $900\n[NEW] clause"), ("memo", None, "x"), ("memo", "a", "[new] x [CHANGED: b] version: 2"),
+    ]
+    df = spark.createDataFrame(rows, "t string, p string, c string").withColumn("n", content_notes(F.col("t"), F.col("p"), F.col("c"))).withColumn("m", largest_percent(F.col("n")))
+    got = [r["n"] for r in df.collect()]
+    assert got[0] == ["Quantity increase: bolt (5 → 9 units)", "Price adjustment: bolt ($2.00 → $2.50)", "New item added: rush delivery fee (Quantity: 1 units)", "Total cost change: $1,000.00 → $1,259.00 (+25.9%)"]
+    assert got[1:] == [[], ["Monthly fee changed: $1,000 → $900 (+$-100)", "New provision added: clause"], [], ["Change noted: new", "Change noted: changed: b", "Document version: 2"]]
+    assert df.first()["m"] == 25.9
+
+
+def test_revisions_are_grouped_by_what_they_are_about(spark):
+    names = ["Prescription_PAT01001_v1.txt", "Prescription_PAT01001_other_v2.txt", "Prescription_PAT09999_v1.txt"]
+    rows = [("a", i, "PRESCRIPTION_UPLOADED", float(i), f"Document {n} uploaded.") for i, n in enumerate(names)]
+    got = revisions.revision_rows(spark.createDataFrame(rows, "lifecycle_id string, event_id long, event_type string, ts double, summary string")).collect()
+    assert [r["event_id"] for r in sorted(got, key=lambda r: r["n"])] == [0, 1] and revisions.revision_changes(spark.createDataFrame(got)).first()["note"] is None
+
+
+def test_files_are_matched_by_name_then_order(spark):
+    names = spark.createDataFrame([("a", "x_v1.txt"), ("a", "plan_v2.txt"), ("b", "none.txt")], "lifecycle_id string, file_name string")
+    files = spark.createDataFrame([("a", "7_X_v1.txt", 1, "t7"), ("a", "x_v1.txt", 2, "t1"), ("a", "Plan_v1.txt", 3, "p"), ("a", "plan.txt", 4, "q")], "lifecycle_id string, stored_name string, seq int, text string")
+    assert {r["file_name"]: r["text"] for r in revisions.match_files(names, files).collect()} == {"x_v1.txt": "t1", "plan_v2.txt": "p"}
+
+
+@pytest.mark.parametrize("text,want", [("1 + 2 * 3", 7.0), ("(4 - 1) / 2", 1.5), ("7 % 4", 3.0), ("1 / 0", None), ("2 ** 99", None), ("__import__('os')", None), ("1 +", None)])
+def test_arithmetic_is_only_arithmetic(text, want):
+    from docweave.operators.answering import evaluate
+
+    assert evaluate(text) == want
+
+
+def test_rerank_takes_any_scorer(spark):
+    from docweave.operators import answering
+
+    rows = spark.createDataFrame([(1, "a b", i, "d", "a " * i, i) for i in range(1, 5)], "query_id long, query string, chunk_id long, doc_key string, text string, rank int")
+    longest = answering.typed_scorer(lambda q, t: t.str.len().astype("float64"))
+    ids = lambda df: [r["chunk_id"] for r in df.orderBy("rank").collect()]
+    assert ids(answering.rerank(rows, 2, longest)) == [4, 3] and ids(answering.rerank(rows, 2, None)) == [1, 2] and ids(answering.rerank(rows, 3)) == [1, 2, 3]
 
 
 def test_pii_is_masked_once(spark):
