@@ -285,11 +285,85 @@ def test_lm_scores(spark, sf):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    weights = rng.standard_normal((lm_score.TABLE, lm_score.CLASSES)).astype(np.float32)
-    p = np.exp(lm_score.class_log_probs(weights, np.zeros(lm_score.CLASSES, np.float32), rng.integers(0, lm_score.TABLE, (50, lm_score.FEATURES))))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+def random_model(seed=0, rows=1 << 10):
+    rng = np.random.default_rng(seed)
+    tables = (rng.standard_normal((rows, k)).astype(np.float32) for k in (lm_score.CLASSES, lm_score.GROUPS))
+    biases = (rng.standard_normal(k).astype(np.float32) for k in (lm_score.CLASSES, (lm_score.CLASSES, lm_score.GROUPS)))
+    return lm_score.Model(*tables, *biases)
+
+
+def test_leaf_probabilities_sum_to_one():
+    model, rng = random_model(), np.random.default_rng(1)
+    for _ in range(5):
+        features = np.repeat(rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64), lm_score.LEAVES, axis=0)
+        leaves = np.arange(lm_score.LEAVES)
+        p = np.exp(model.log_probs(features, leaves))
+        ends = leaves // lm_score.GROUPS == lm_score.END_CLASS
+        assert math.isclose(p[~ends].sum() + p[ends][0], 1, abs_tol=1e-5)
+
+
+def test_score_matches_plain_arithmetic(spark, monkeypatch):
+    """The score of every document under a given model, word by word with Python's own numbers."""
+    from docweave.llm._chunks import _BASE
+
+    model = random_model(3)
+    monkeypatch.setattr(lm_score, "train", lambda chunks, fresh, rounds: model)
+    rows = [(i, t) for i, t in enumerate(["a bb ccc a bb", "Ccc a", "", None, "new words ccc bb a a", "a bb", "\u00e9t\u00e9 bb"])]
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & full
+        return h ^ (h >> 29)
+
+    hash_of = lambda w: mixed(sum((b + 1) * pow(_BASE, i, 1 << 64) for i, b in enumerate(w)) & full)
+    leaf = lambda w: ((int.from_bytes(w[-3:]) * 0x9E3779B1 & 0xFFFFFFFF) % 65521 % 23, hash_of(w) % 32) if w else (23, 0)
+    docs = {i: [w.lower() for w in (t or "").encode().split()] + [b""] for i, t in rows}
+    count = Counter(w for i, ws in docs.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    n_leaf, v_leaf = Counter(), Counter()
+    for w, c in count.items():
+        n_leaf[leaf(w)] += c
+        v_leaf[leaf(w)] += 1
+    odd, golden, start = [int(x) for x in lm_score.ODD], int(lm_score.GOLDEN), int(lm_score.START)
+    row = lambda h: h >> 54  # noqa: E731  1024 rows
+
+    def share(weights, bias, at, own):
+        z = [float(bias[j]) + sum(float(weights[r][j]) for r in at) for j in range(len(bias))]
+        return z[own] - math.log(sum(math.exp(x) for x in z))
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, words in docs.items():
+        want = 0.0
+        for at, w in enumerate(words):
+            back = [hash_of(words[at - k]) if at >= k else start for k in (1, 2, 3)]
+            mixes = [back[0], (back[0] * 3 + back[1] * odd[0]) & full, back[1], back[2]]
+            h = [(m + o) * golden & full for m, o in zip(mixes, odd)]
+            c, g = leaf(w)
+            want += share(model.classes, model.class_bias, [row(x) for x in h], c) / math.log(10)
+            if w:
+                want += share(model.groups, model.group_bias[c], [row((x ^ (c + 1) * odd[1] & full) * golden & full) for x in h], g) / math.log(10)
+            want += math.log10((count[w] + 0.5) / (n_leaf[c, g] + 0.5 * (v_leaf[c, g] + 1)))
+        assert math.isclose(got[i], want, rel_tol=1e-4), (i, got[i], want)
+
+
+def test_the_model_gains_on_unseen_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sums = lm_score.lm_scores(docs).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert (sums[2] - sums[1]) / sums[0] > 0.1  # what the language of a text tells is worth 0.2 here
+
+
+def test_averages_do_not_depend_on_how_pieces_are_dealt(spark):
+    from docweave.llm._chunks import squeeze, unsqueeze
+
+    rng = np.random.default_rng(2)
+    rows, total, sums = [], np.zeros(4, np.int64), np.zeros((4, 3))
+    for i in range(30):
+        u, w = rng.integers(0, 9, 4), rng.standard_normal((4, 3)).astype(np.float16)
+        rows.append((0, i % 5, bytearray(squeeze(u.tobytes())), bytearray(squeeze(w.tobytes()))))
+        total, sums = total + u, sums + u[:, None] * w
+    pieces = spark.createDataFrame(rows, lm_score.PIECE)
+    made = lm_score.averaged(lm_score.averaged(pieces, ["block", "salt"]), ["block"]).collect()
+    mean = np.frombuffer(unsqueeze(bytes(made[0]["piece"])), np.float16).reshape(4, 3)
+    assert len(made) == 1 and np.allclose(mean, sums / total[:, None], atol=3e-3) and (np.frombuffer(unsqueeze(bytes(made[0]["updates"])), np.int64) == total).all()
 
 
 def test_pipeline(spark, sf):
