@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 from docweave.llm._shared import materialise, sorted_groups
 
 CHUNK_BYTES = 4 << 20
+#: Different runs of one minimiser that a bucket takes; those of others are cut into single windows.
+HOT_RUNS = 1 << 14
 BUCKET_BYTES = 4 << 20
 #: Chunks are written once and moved once or twice: worth a higher compression level than pieces.
 CHUNK_LEVEL = 5
@@ -75,8 +77,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sliding_argmin(values: np.ndarray, size: int, place_bits: int = 28) -> np.ndarray:
-    """Place of the smallest value (its high bits; leftmost of equals) in each window of this size."""
+def sliding_argmin(values: np.ndarray, size: int, place_bits: int = 32) -> np.ndarray:
+    """Place of the smallest value (its high bits; leftmost of equals) in each window of this size.
+
+    All arrays must give the same windows the same place, so place_bits may not depend on them.
+    """
+    if len(values) >> place_bits:
+        raise ValueError(f"at most 2**{place_bits} values")
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -242,39 +249,60 @@ def keys_of(minimiser: np.ndarray, buckets: int) -> np.ndarray:
     return (minimiser % np.uint64(buckets)) << np.uint64(32) | minimiser >> np.uint64(32)
 
 
-def shared_minimisers(chunks: DataFrame, minimisers: Callable[[Chunk], np.ndarray], buckets: int) -> DataFrame:
-    """Rows (chunk, answer): which of a chunk's minimisers other chunks have too, as keys for known_keys().
+def shared_minimisers(chunks: DataFrame, runs: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int, hot_runs: int) -> DataFrame:
+    """Rows (chunk, answer): which of a chunk's minimisers other chunks have too, and which of them are hot, for repeating().
 
-    Only keys of 32 bits travel; two minimisers with one key in a bucket are only kept in vain.
+    runs(chunk) gives the minimiser and the hash of every run of windows. Only keys of 32 bits travel,
+    with the number of different runs; two minimisers with one key in a bucket are only kept in vain.
+    A key is hot if more than hot_runs different runs of all chunks have it: the same short gram with
+    other text around it each time, which would fill one bucket.
     """
 
     def own(chunk: Chunk) -> Iterator[tuple[int, int, bytes]]:
-        keys = np.unique(keys_of(minimisers(chunk), buckets))
+        minimiser, whole = runs(chunk)
+        keys = keys_of(minimiser, buckets)
+        order = np.lexsort((whole, keys))
+        keys, whole = keys[order], whole[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])]) if len(keys) else np.zeros(0, bool)
+        n = np.add.reduceat(fresh.astype(np.int32), first) if len(first) else first.astype(np.int32)
+        keys = keys[first]
         bucket = (keys >> np.uint64(32)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
         for a, z in zip(cuts[:-1], cuts[1:]):
             b = int(bucket[a])
-            yield b, b, pack([np.diff(keys[a:z].astype(np.uint32), prepend=np.uint32(0))], b"")
+            yield b, b, pack([np.diff(keys[a:z].astype(np.uint32), prepend=np.uint32(0)), n[a:z].astype(np.int32)], b"")
 
     def meet(numbers: list[int], kinds: list[int], pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        keys = [np.cumsum(unpack(p, [np.uint32])[0][0], dtype=np.uint32) for p in pieces]
-        every = np.sort(np.concatenate(keys))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        sent = [unpack(p, [np.uint32, np.int32])[0] for p in pieces]
+        keys = [np.cumsum(k, dtype=np.uint32) for k, _ in sent]
+        every, n = np.concatenate(keys), np.concatenate([n for _, n in sent])
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.diff(every[order].astype(np.int64), prepend=-1))
+        met, total = np.diff(np.append(first, len(every))), np.add.reduceat(n[order].astype(np.int64), first)
+        twice, hot = every[order][first][met > 1], (total > hot_runs)[met > 1]
         for number, mine in zip(numbers, keys):
-            both = mine[np.isin(mine, twice, assume_unique=True)].astype(np.uint64)
-            if len(both):
-                yield number, pack([both | np.uint64(kinds[0] << 32)], b"")
+            at = np.flatnonzero(np.isin(twice, mine, assume_unique=True))
+            if len(at):
+                yield number, pack([twice[at].astype(np.uint64) | np.uint64(kinds[0] << 32), hot[at]], b"")
 
     return gather(send(chunks, own), buckets, meet)
 
 
-def repeating(keys: np.ndarray, answers: list[bytes], here: np.ndarray) -> np.ndarray:
-    """Places of the keys that other chunks have (by their answers) or that are in here."""
-    known = np.unique(np.concatenate([here, *(unpack(a, [np.uint64])[0][0] for a in answers)]))
+def known_keys(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys that other chunks have, mask of the hot ones) of the answers to a chunk."""
+    told = [unpack(a, [np.uint64, np.bool_])[0] for a in answers]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in told)])
+    hot = np.concatenate([np.zeros(0, bool), *(h for _, h in told)])
+    order = np.argsort(keys)
+    return keys[order], hot[order]
+
+
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Mask of the keys that are in the sorted array known."""
     if not len(known):
-        return np.zeros(0, np.int64)
-    at = np.searchsorted(known, keys)
-    return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == keys)
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def answer_chunks(chunks: DataFrame, answers: DataFrame, tell: Callable[[Chunk, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,7 +5,9 @@ it. Consecutive windows with the same minimiser travel as one packed string to t
 bucket, where all windows are sorted and equal ones, compared byte for byte, are ordered by where
 they start. Keys of the minimisers go first: the windows of a minimiser that is met once in all the
 corpus are met once and stay. Strings that repeat within a chunk are sent once; the later ones are
-answered there.
+answered there. A minimiser that stands in very many different strings (words that all documents
+share, each time with other words around them) would fill one bucket: its strings are cut into
+single windows, each of which goes to the bucket of its own hash, where equal ones still meet.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.llm._chunks import (
-    BUCKET_BYTES, CHUNK_BYTES, PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, keys_of, make_chunks, n_buckets,
-    pack, pieces_of, ranges, repeating, shared_minimisers, sliding_argmin, squeeze, unpack, unsqueeze,
+    BUCKET_BYTES, CHUNK_BYTES, HOT_RUNS, PIECES, Chunk, Rolling, among, answer_chunks, equal_groups, gather, keys_of, known_keys, make_chunks,
+    n_buckets, pack, pieces_of, ranges, shared_minimisers, sliding_argmin, squeeze, unpack, unsqueeze,
 )
 
 #: Words of the gram whose hash is the minimiser.
@@ -75,11 +77,21 @@ def _cut(chunk: Chunk, answers: list[bytes], window: int, buckets: int) -> Itera
     words = Words(chunk)
     first, count, minimiser, rolling = super_kmers(words, window)
     # a minimiser met once in all chunks is that of windows met once: they stay
-    key, met = np.unique(keys_of(minimiser, buckets), return_counts=True)
-    keep = repeating(keys_of(minimiser, buckets), answers, key[met > 1])
-    first, count, minimiser = first[keep], count[keep], minimiser[keep]
+    key = keys_of(minimiser, buckets)
+    own, met = np.unique(key, return_counts=True)
+    known, hot = known_keys(answers)
+    keep = np.flatnonzero(among(key, known) | among(key, own[met > 1]))
+    first, count, minimiser, key = first[keep], count[keep], minimiser[keep], key[keep]
     if not len(first):
         return
+    split = among(key, known[hot])
+    if split.any():  # each window of a hot minimiser's runs goes by its own hash
+        alone = ranges(first[split], count[split])
+        own = rolling.of(words.starts[alone], words.ends[alone + window - 1])
+        first, count = np.concatenate([first[~split], alone]), np.concatenate([count[~split], np.ones(len(alone), np.int64)])
+        minimiser = np.concatenate([minimiser[~split], own])
+        order = np.argsort(first, kind="stable")
+        first, count, minimiser = first[order], count[order], minimiser[order]
     begin, end = words.starts[first], words.ends[first + count + window - 2]
     whole = rolling.of(begin, end)
     order = np.argsort(whole, kind="stable")
@@ -176,7 +188,7 @@ def _repeats(sent: list[tuple[int, list[np.ndarray], bytes]], window: int) -> It
 
 def dedup_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS,
 ) -> DataFrame:
     """One row per input row: (id_col long, n_words, n_removed, kept_text, kept_sha256).
 
@@ -188,7 +200,13 @@ def dedup_windows(
     """
     chunks = make_chunks(docs, id_col, text_col, "windows", chunk_bytes)
     buckets = n_buckets(chunks, bucket_bytes)
-    known = shared_minimisers(chunks, lambda c: super_kmers(Words(c), window)[2], buckets)
+
+    def runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(chunk)
+        first, count, minimiser, rolling = super_kmers(words, window)
+        return minimiser, rolling.of(words.starts[first], words.ends[first + count + window - 2])
+
+    known = shared_minimisers(chunks, runs, buckets, hot_runs)
 
     def cut(chunk: Chunk, got: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield pieces_of([(b, chunk.number, k, p) for b, k, p in _cut(chunk, got, window, buckets)])

@@ -5,8 +5,11 @@ equal strings meet in their minimiser's bucket. First only 32-bit keys of the mi
 each chunk learns which of its own occur in other chunks; then the runs of windows around repeated
 minimisers travel as packed texts. A bucket builds the suffix array and common-prefix array of its
 different texts and scans them with a stack: intervals of a common prefix of min_len or more whose
-left neighbours differ are the maximal repeats, given with all their occurrences. A run of windows
-is no longer than 2 min_len - gram bytes; longer repeats come as overlapping groups.
+left neighbours differ are the maximal repeats, given with all their occurrences; a text that occurs
+more than once is a leaf with several occurrences and thereby an interval of its own. A run of
+windows is no longer than 2 min_len - gram bytes; longer repeats come as overlapping groups. Runs of
+a minimiser that stands in very many different texts are cut into single windows, which go to the
+bucket of their own hash.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docweave.llm._chunks import (
-    BUCKET_BYTES, CHUNK_BYTES, PIECES, Chunk, Rolling, answer_chunks, equal_groups, gather, keys_of, make_chunks, n_buckets, pack, pieces_of,
-    ranges, repeating, shared_minimisers, sliding_argmin, unpack,
+    BUCKET_BYTES, CHUNK_BYTES, HOT_RUNS, PIECES, Chunk, Rolling, among, answer_chunks, equal_groups, gather, keys_of, known_keys, make_chunks,
+    n_buckets, pack, pieces_of, ranges, shared_minimisers, sliding_argmin, unpack,
 )
 
 GRAM = 20
@@ -54,17 +57,24 @@ def anchored_runs(chunk: Chunk, min_len: int, gram: int) -> Iterator[tuple[np.nd
 
 
 def _cut(chunk: Chunk, answers: list[bytes], min_len: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    parts = []
+    parts, (known, hot) = [], known_keys(answers)
     for first, count, minimiser, rolling, base in anchored_runs(chunk, min_len, gram):
-        parts.append((first + base, count, keys_of(minimiser, buckets), rolling.of(first, first + count + min_len - 1)))
+        key = keys_of(minimiser, buckets)
+        split = among(key, known[hot])
+        if split.any():  # each window of a hot minimiser's runs goes by its own hash
+            alone = ranges(first[split], count[split])
+            own = rolling.of(alone, alone + min_len)
+            parts.append((alone + base, np.ones(len(alone), np.int64), keys_of(own, buckets), own, np.ones(len(alone), bool)))
+            first, count, key = first[~split], count[~split], key[~split]
+        parts.append((first + base, count, key, rolling.of(first, first + count + min_len - 1), np.zeros(len(first), bool)))
     if not parts:
         return
-    first, count, key, whole = (np.concatenate(x) for x in zip(*parts))
+    first, count, key, whole, alone = (np.concatenate(x) for x in zip(*parts))
     doc = np.searchsorted(chunk.ends, first, "right")
     # keep runs whose minimiser is in another chunk, or in two documents of this one
     by = np.lexsort((doc, key))
     differs = (key[by[1:]] == key[by[:-1]]) & (doc[by[1:]] != doc[by[:-1]])
-    keep = repeating(key, answers, key[by[1:]][differs])
+    keep = np.flatnonzero(alone | among(key, known) | among(key, np.unique(key[by[1:]][differs])))
     if not len(keep):
         return
     first, count, key, whole, doc = first[keep], count[keep], key[keep], whole[keep], doc[keep]
@@ -232,7 +242,7 @@ def _meet(numbers: list[int], kinds: list[int], pieces: list[bytes], min_len: in
 
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = GRAM,
-    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS,
 ) -> DataFrame:
     """One row per input row: (id_col long, n_bytes, n_removed, n_spans, kept binary, kept_sha256).
 
@@ -244,10 +254,11 @@ def dedup_substrings(
     chunks = make_chunks(docs, id_col, text_col, "suffixes", chunk_bytes)
     buckets = n_buckets(chunks, bucket_bytes)
 
-    def minimisers(chunk: Chunk) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(m for _, _, m, _, _ in anchored_runs(chunk, min_len, gram))])
+    def runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        found = [(m, rolling.of(first, first + count + min_len - 1)) for first, count, m, rolling, _ in anchored_runs(chunk, min_len, gram)]
+        return tuple(np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*found) if found else ((), ())))
 
-    known = shared_minimisers(chunks, minimisers, buckets)
+    known = shared_minimisers(chunks, runs, buckets, hot_runs)
     runs = answer_chunks(chunks, known, lambda c, got: _cut(c, got, min_len, gram, buckets), PIECES)
     answers = gather(runs, buckets, lambda *a: _meet(*a, min_len))
 

@@ -84,11 +84,11 @@ def brute_windows(rows, size=20):
     return out
 
 
-@pytest.mark.parametrize("chunk,bucket", [(4 << 20, 4 << 20), (2000, 500)])
-def test_windows(docs, chunk, bucket):
+@pytest.mark.parametrize("chunk,bucket,hot", [(4 << 20, 4 << 20, 1 << 14), (2000, 500, 1 << 14), (2000, 500, 2), (2000, 4000, 0)])
+def test_windows(docs, chunk, bucket, hot):
     rows = [r for i, r in enumerate(corpus()) if i != len(corpus()) - 2]  # a repeated row has no order of its own
     spark = docs.sparkSession
-    made = dedup_windows(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk_bytes=chunk, bucket_bytes=bucket)
+    made = dedup_windows(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk_bytes=chunk, bucket_bytes=bucket, hot_runs=hot)
     got = [tuple(r) for r in made.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert sorted(got, key=str) == sorted(brute_windows(rows), key=str)
 
@@ -113,9 +113,9 @@ def brute_substrings(rows, size=50):
     return out
 
 
-@pytest.mark.parametrize("chunk,bucket", [(4 << 20, 4 << 20), (2000, 500)])
-def test_substrings(docs, chunk, bucket):
-    made = dedup_substrings(docs, chunk_bytes=chunk, bucket_bytes=bucket)
+@pytest.mark.parametrize("chunk,bucket,hot", [(4 << 20, 4 << 20, 1 << 14), (2000, 500, 1 << 14), (2000, 500, 2), (2000, 4000, 0)])
+def test_substrings(docs, chunk, bucket, hot):
+    made = dedup_substrings(docs, chunk_bytes=chunk, bucket_bytes=bucket, hot_runs=hot)
     got = [tuple(r) for r in made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got, key=str) == sorted(brute_substrings(corpus()), key=str)
 
