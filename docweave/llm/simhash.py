@@ -219,14 +219,14 @@ def near_links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
             ids, fps = rows["rep"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
             found += forest(ids, fps, radius, None if lo == hi else rows["mine"].to_numpy() == lo)
             if len(found) > 100_000:
-                yield _edges(found)
+                yield edges_of(found)
                 found = []
-        yield _edges(found)
+        yield edges_of(found)
 
     return meets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
     pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 

@@ -7,8 +7,10 @@ ones before those that a sample finds often), and two sets of the similarity sha
 Of the texts that meet, bit planes of 64 pairs at a time are counted with carry-save adders, and
 words of only far pairs are abandoned; the radius is the least that a pair at the similarity
 exceeds once in a million. What is left is compared by its shingles. A bucket first sends stars
-around a few of its members; when those are verified, only pairs whose ends are still in different
-components are, so a crowd of copies does not become all its pairs. Equal sets are one node.
+around a few of its members, whose pairs are verified. Where a bucket then still holds several
+components, those with fingerprints within the radius make a family (a spanning forest is sent, not
+the pairs); the texts of a family meet in one task, or block by block if they are many, and
+whatever is still apart is compared there, so pairs never leave a task. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm._chunks import squeeze, unsqueeze
 from docweave.llm._shared import ROW, materialise, numbered, sorted_groups, text_or_empty
-from docweave.llm.simhash import components, majority, near_pairs
+from docweave.llm.simhash import bit_planes, components, edges_of, majority, near_lanes, near_pairs
 
 #: Texts of the sample that tells often met shingles, and how many of those are told to the tasks.
 SAMPLE, OFTEN = 16_384, 200_000
@@ -32,7 +34,8 @@ SAMPLE, OFTEN = 16_384, 200_000
 STARS = 4
 #: Parts that the texts to be compared with one centre are dealt into.
 SALTS = 64
-PAIRS = 1 << 16
+#: Pairs held before they are compared and sent, and texts of one block of a family.
+PAIRS, BLOCK = 1 << 17, 4096
 #: Most bits, as a power of two, of the map that tells which texts may be compared (8 MB).
 MAP_BITS = 26
 
@@ -147,46 +150,94 @@ def _stars(buckets: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Distinct pairs (a, b) of each bucket's centres and those of its other members that fit in size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size_held = 0
+
+        def near() -> pa.RecordBatch:
+            a, b, left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held) if held else ((),) * 4))
+            keep = near_pairs(left.view(np.uint64), right.view(np.uint64), radius)
+            pairs = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
         for batch in batches:
-            pairs: list[list[np.ndarray]] = [[none], [none], [none], [none]]
-            for columns in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                rep, size, fp = (np.frombuffer(x, np.int64) for x in columns)
+            for i in range(batch.num_rows):
+                rep, size, fp = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(3))
                 mixed = rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 centres = {int(np.argmin(mixed * np.uint64(2 * i + 1) ^ mixed >> np.uint64(29))) for i in range(STARS)} if len(rep) > 2 else {0}
                 for c in centres:
                     fits = fitting(size, size[c], similarity)
                     fits[c] = False
-                    for out, x in zip(pairs, (np.broadcast_to(rep[c], len(rep)), rep, np.broadcast_to(fp[c], len(rep)), fp)):
-                        out.append(x[fits])
-            a, b, left, right = (np.concatenate(x) for x in pairs)
-            near = near_pairs(left.view(np.uint64), right.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])
+                    n = int(fits.sum())
+                    held.append((np.full(n, rep[c]), rep[fits], np.full(n, fp[c]), fp[fits]))
+                    size_held += n
+                if size_held > PAIRS:
+                    yield near()
+                    size_held = 0
+        yield near()
 
     return buckets.select("members", "sizes", "fps").mapInArrow(run, "a long, b long").distinct()
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Distinct pairs of a bucket that fit in size and fingerprint and whose ends are in different components."""
+class Sets:
+    """Union-find over the numbers below n."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def apart(own: np.ndarray, size: np.ndarray, fp: np.ndarray, similarity: float, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places) for members outside the largest component: those of other components that fit in size and fingerprint."""
+    kinds, number, count = np.unique(own, return_inverse=True, return_counts=True)
+    queries = np.flatnonzero(number != count.argmax())
+    planes, step = bit_planes(fp.view(np.uint64)), max(1, (1 << 22) // len(own))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
+        lanes = near_lanes(fp[part].view(np.uint64), planes, radius)
+        bits = np.unpackbits(lanes.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")[:, : len(own)].astype(bool)
+        bits &= (own[part][:, None] != own) & fitting(size[part][:, None], size, similarity)
+        for i, row in zip(part.tolist(), bits):
+            if row.any():
+                yield i, np.flatnonzero(row)
+
+
+def _ties(buckets: DataFrame, labels: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Edges (a, b) that connect, within each bucket, what fits in size and fingerprint and is in different components: a forest."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in (2, 3, 4)]
-            n = [len(m) for m in own[0]]
-            columns = [np.repeat(batch.column(c).to_numpy(), n) for c in (0, 1)] + [np.concatenate([np.zeros(0, np.int64), *x]) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "rep", "size", "fp"])
+            for i in range(batch.num_rows):
+                own = [np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (2, 3, 4)]
+                columns = [np.full(len(own[0]), batch.column(c)[i].as_py()) for c in (0, 1)] + own
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "rep", "size", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: set[tuple[int, int]] = set()
         for _, rows in sorted_groups(batches, ["h1", "h2"]):
             rep, size, fp, own = (rows[c].to_numpy() for c in ("rep", "size", "fp", "component"))
             if (own == own[0]).all():
                 continue
-            step = max(1, PAIRS // len(rep))
-            for at in range(0, len(rep), step):
-                cut = slice(at, at + step)
-                i, j = np.nonzero((own[cut, None] != own) & fitting(size[cut, None], size, similarity) & (rep[cut, None] < rep))
-                near = near_pairs(fp[i + at].view(np.uint64), fp[j].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i[near] + at]), pa.array(rep[j[near]])], ["a", "b"])
+            _, number = np.unique(own, return_inverse=True)
+            sets = Sets(int(number.max()) + 1)
+            for i, places in apart(own, size, fp, similarity, radius):
+                _, first = np.unique(number[places], return_index=True)
+                edges |= {(int(rep[i]), int(rep[j])) for j in places[first].tolist() if sets.join(int(number[i]), int(number[j]))}
+            if len(edges) > PAIRS:
+                yield edges_of(sorted(edges))
+                edges = set()
+        yield edges_of(sorted(edges))
 
     # of two members the star was the only pair
     rows = buckets.where(F.octet_length("members") > 16).select("h1", "h2", "members", "sizes", "fps").mapInArrow(spread, "h1 long, h2 long, rep long, size long, fp long")
@@ -194,6 +245,39 @@ def _rest(buckets: DataFrame, labels: DataFrame, similarity: float, radius: int)
     return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(run, "a long, b long").distinct()
 
 
+def _family_links(members: DataFrame, similarity: float, radius: int, shingle: int) -> DataFrame:
+    """Edges (a, b) of the similarity that connect what can be connected in each family, of members(family, rep, size, fp, component, text)."""
+    many = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("mine")
+    meets = members.join(many, "family").select("*", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["family", "lo", "hi"]
+    meets = meets.select("family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "rep", "size", "fp", "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), rows in sorted_groups(batches, keys):
+            rep, size, fp, own, mine = (rows[c].to_numpy() for c in ("rep", "size", "fp", "component", "mine"))
+            _, number = np.unique(own, return_inverse=True)
+            joined, found = Sets(int(number.max()) + 1), []
+            texts = rows["text"].cast(pa.binary()).to_pylist()
+            shingles: dict[int, np.ndarray] = {}
+
+            def set_of(i: int) -> np.ndarray:
+                if i not in shingles:
+                    shingles[i] = shingle_set(texts[i] or b"", shingle)
+                return shingles[i]
+
+            for i, places in apart(own, size, fp, similarity, radius):
+                for j in places.tolist():
+                    if (lo == hi or mine[i] != mine[j]) and joined.find(number[i]) != joined.find(number[j]):
+                        both = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
+                        if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                            joined.join(number[i], number[j])
+                            found.append((int(rep[i]), int(rep[j])))
+            yield edges_of(found)
+
+    return meets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The texts of the ends of pairs, and few others, without a shuffle of all texts: by a bit map of hashed row numbers."""
     bits = min(MAP_BITS, max(16, (16 * pairs.count()).bit_length()))
@@ -275,11 +359,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried = materialise(_stars(buckets, similarity, radius), "similar-stars")
     links = _verified(tried, texts, similarity, shingle)
     labels = components(links)
-    rest = materialise(_rest(buckets, labels, similarity, radius), "similar-rest")
-    if not rest.isEmpty():
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = materialise(rest.join(known, ["a", "b"], "left_anti"), "similar-rest")
-        more = _verified(rest, texts, similarity, shingle)
+    ties = materialise(_ties(buckets, labels, similarity, radius), "similar-ties")
+    if not ties.isEmpty():
+        families = materialise(components(ties.unionByName(links)), "similar-families")
+        some = families.join(ties.select(F.col("a").alias("node")).unionByName(ties.select(F.col("b").alias("node"))), "node", "left_semi").select("component").distinct()
+        of_family = families.join(some, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        of_family = materialise(of_family.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "similar-families")
+        near = materialise(_compared(of_family.select(F.col("rep").alias("a"), F.col("rep").alias("b")), texts), "similar-texts")
+        members = of_family.join(rows.select(F.col(ROW).alias("rep"), "size", "fp"), "rep").join(near.withColumnRenamed(ROW, "rep"), "rep")
+        more = materialise(_family_links(members, similarity, radius, shingle), "similar-more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     of = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("best", F.coalesce("component", "rep").alias("component"))

@@ -60,8 +60,9 @@ def brute(rows):
     return list(groups.values())
 
 
-@pytest.mark.parametrize("stars,sample,seed", [(4, 16_384, 5), (1, 10, 6)])
-def test_near_dedup_finds_every_pair(spark, monkeypatch, stars, sample, seed):
+@pytest.mark.parametrize("stars,sample,block,seed", [(4, 16_384, 4096, 5), (1, 10, 7, 6)])
+def test_near_dedup_finds_every_pair(spark, monkeypatch, stars, sample, block, seed):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
     monkeypatch.setattr(simhash_dedup, "STARS", stars)
     monkeypatch.setattr(simhash_dedup, "SAMPLE", sample)
     rows = planted(seed)
