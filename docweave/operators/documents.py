@@ -8,81 +8,143 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.operators.graph import checkpoint
+
 # fixed values: keywords, document types and sensitivity of each domain
 DOMAINS: dict[str, dict] = {
     "legal": {
-        "keywords": "contract|agreement|clause|liability|indemnification|jurisdiction|arbitration|termination|confidentiality|intellectual property|warranty|governing law|breach|obligation|party|parties|whereas|herein|hereof|executed|signatory|notary|affidavit|deposition|plaintiff|defendant|litigation|subpoena|injunction",
-        "types": {"contract": "contract|agreement|mou|memorandum|sla", "policy": "policy|terms|conditions|guidelines", "legal_brief": "brief|motion|complaint|petition"},
+        "keywords": (
+            "contract", "agreement", "clause", "liability", "indemnification", "jurisdiction", "arbitration", "termination", "confidentiality",
+            "intellectual property", "warranty", "governing law", "breach", "obligation", "party", "parties", "whereas", "herein", "hereof",
+            "executed", "signatory", "notary", "affidavit", "deposition", "plaintiff", "defendant", "litigation", "subpoena", "injunction",
+        ),
+        "types": {
+            "contract": ("contract", "agreement", "mou", "memorandum", "sla"),
+            "policy": ("policy", "terms", "conditions", "guidelines"),
+            "legal_brief": ("brief", "motion", "complaint", "petition"),
+        },
         "entities": r"\b(?:contract|agreement|clause|section|article|amendment)\b",
         "boost": 0.3,
     },
     "finance": {
-        "keywords": "invoice|revenue|profit|loss|balance sheet|income statement|cash flow|budget|expense|tax|audit|fiscal|quarterly|annual report|dividend|equity|liability|asset|depreciation|amortization|accounts receivable|accounts payable|ebitda|roi|payroll|salary|compensation|reimbursement|billing|payment|ledger|journal entry|reconciliation",
-        "types": {"report": "report|statement|analysis|summary", "invoice": "invoice|receipt|bill|purchase order", "budget": "budget|forecast|projection|plan"},
+        "keywords": (
+            "invoice", "revenue", "profit", "loss", "balance sheet", "income statement", "cash flow", "budget", "expense", "tax", "audit", "fiscal",
+            "quarterly", "annual report", "dividend", "equity", "liability", "asset", "depreciation", "amortization", "accounts receivable",
+            "accounts payable", "ebitda", "roi", "payroll", "salary", "compensation", "reimbursement", "billing", "payment", "ledger", "journal entry",
+            "reconciliation",
+        ),
+        "types": {
+            "report": ("report", "statement", "analysis", "summary"),
+            "invoice": ("invoice", "receipt", "bill", "purchase order"),
+            "budget": ("budget", "forecast", "projection", "plan"),
+        },
         "entities": r"\$[\d,]+|(?:USD|EUR|GBP)\s*[\d,]+|\d+%\s*(?:tax|interest|rate)",
         "boost": 0.2,
     },
     "hr": {
-        "keywords": "employee|salary|leave|resignation|termination|onboarding|performance review|appraisal|benefits|recruitment|candidate|interview|offer letter|job description|workforce|headcount|attendance|overtime|human resources|hr|department|manager|promotion|demotion|disciplinary|grievance|handbook|vacation|sick leave|maternity|paternity",
-        "types": {"policy": "policy|handbook|guidelines|code of conduct", "letter": "offer|appointment|resignation|termination", "review": "review|appraisal|evaluation|assessment"},
+        "keywords": (
+            "employee", "salary", "leave", "resignation", "termination", "onboarding", "performance review", "appraisal", "benefits", "recruitment",
+            "candidate", "interview", "offer letter", "job description", "workforce", "headcount", "attendance", "overtime", "human resources", "hr",
+            "department", "manager", "promotion", "demotion", "disciplinary", "grievance", "handbook", "vacation", "sick leave", "maternity",
+            "paternity",
+        ),
+        "types": {
+            "policy": ("policy", "handbook", "guidelines", "code of conduct"),
+            "letter": ("offer", "appointment", "resignation", "termination"),
+            "review": ("review", "appraisal", "evaluation", "assessment"),
+        },
         "entities": r"\b(?:employee|salary|leave|appraisal|recruitment)\b",
         "boost": 0.4,
     },
     "medical": {
-        "keywords": "patient|diagnosis|treatment|prescription|clinical|hospital|physician|nurse|medication|dosage|symptoms|lab results|radiology|surgery|procedure|insurance|claim|discharge|admission|icd|cpt|hipaa|medical record|health|disease|therapy",
-        "types": {"record": "record|report|summary|history", "prescription": "prescription|rx|medication", "insurance": "insurance|claim|authorization"},
+        "keywords": (
+            "patient", "diagnosis", "treatment", "prescription", "clinical", "hospital", "physician", "nurse", "medication", "dosage", "symptoms",
+            "lab results", "radiology", "surgery", "procedure", "insurance", "claim", "discharge", "admission", "icd", "cpt", "hipaa",
+            "medical record", "health", "disease", "therapy",
+        ),
+        "types": {
+            "record": ("record", "report", "summary", "history"),
+            "prescription": ("prescription", "rx", "medication"),
+            "insurance": ("insurance", "claim", "authorization"),
+        },
         "entities": r"\b(?:patient|diagnosis|medication|prescription|clinical)\b",
         "boost": 0.5,
     },
     "technical": {
-        "keywords": "api|endpoint|database|server|deployment|docker|kubernetes|microservice|architecture|schema|query|function|class|module|library|framework|sdk|authentication|authorization|encryption|ssl|tls|algorithm|performance|latency|throughput|pipeline|ci/cd|git|repository|branch|merge|pull request",
-        "types": {"specification": "spec|specification|requirement|design", "documentation": "documentation|readme|guide|manual", "report": "report|analysis|benchmark|test"},
+        "keywords": (
+            "api", "endpoint", "database", "server", "deployment", "docker", "kubernetes", "microservice", "architecture", "schema", "query",
+            "function", "class", "module", "library", "framework", "sdk", "authentication", "authorization", "encryption", "ssl", "tls", "algorithm",
+            "performance", "latency", "throughput", "pipeline", "ci/cd", "git", "repository", "branch", "merge", "pull request",
+        ),
+        "types": {
+            "specification": ("spec", "specification", "requirement", "design"),
+            "documentation": ("documentation", "readme", "guide", "manual"),
+            "report": ("report", "analysis", "benchmark", "test"),
+        },
         "entities": r"\b(?:api|function|class|database|server|endpoint)\b",
         "boost": 0.1,
     },
     "operations": {
-        "keywords": "logistics|supply chain|procurement|vendor|supplier|delivery|shipment|inventory|warehouse|order|purchase|quotation|rfp|rfq|bid|tender|quality|compliance|regulation|standard|audit|process|workflow|sop|procedure|checklist",
-        "types": {"sop": "sop|procedure|process|workflow", "procurement": "rfp|rfq|bid|tender|quotation", "report": "report|summary|log|record"},
+        "keywords": (
+            "logistics", "supply chain", "procurement", "vendor", "supplier", "delivery", "shipment", "inventory", "warehouse", "order", "purchase",
+            "quotation", "rfp", "rfq", "bid", "tender", "quality", "compliance", "regulation", "standard", "audit", "process", "workflow", "sop",
+            "procedure", "checklist",
+        ),
+        "types": {
+            "sop": ("sop", "procedure", "process", "workflow"),
+            "procurement": ("rfp", "rfq", "bid", "tender", "quotation"),
+            "report": ("report", "summary", "log", "record"),
+        },
         "entities": r"\b(?:vendor|procurement|shipment|logistics|inventory)\b",
         "boost": 0.15,
     },
 }
 # fixed values: words that make a document sensitive
-HIGH = "confidential|private|sensitive|restricted|secret|classified|do not distribute|proprietary|internal only|ssn|social security|passport|credit card|bank account|salary|compensation|medical|patient|hipaa|gdpr"
-MEDIUM = "internal|for internal use|not for public|draft|preliminary|pre-decisional|deliberative"
+HIGH = (
+    "confidential", "private", "sensitive", "restricted", "secret", "classified", "do not distribute", "proprietary", "internal only", "ssn",
+    "social security", "passport", "credit card", "bank account", "salary", "compensation", "medical", "patient", "hipaa", "gdpr",
+)
+MEDIUM = ("internal", "for internal use", "not for public", "draft", "preliminary", "pre-decisional", "deliberative")
 # fixed values: page types by words of url, title, headings and the first 500 characters, first family wins
 PAGE_TYPES = (
-    ("about", "about us|who we are|our story|our mission|company overview"), ("service", "services|solutions|offerings|what we do|our services|capabilities"),
-    ("contact", "contact us|get in touch|reach us|our location|contact page"), ("blog", "blog|news|article|insights|press release|latest posts"),
-    ("team", "team|leadership|our people|executives|management|founders"), ("careers", "careers|jobs|hiring|join us|open positions|vacancies"),
-    ("testimonials", "testimonials|reviews|client stories|case studies|success stories"), ("product", "product|platform|software|tool|application|features"),
-    ("pricing", "pricing|plans|packages|cost|subscription"), ("faq", "faq|frequently asked|questions|help|support"),
-)
+    ("about", ("about us", "who we are", "our story", "our mission", "company overview")),
+    ("service", ("services", "solutions", "offerings", "what we do", "our services", "capabilities")),
+    ("contact", ("contact us", "get in touch", "reach us", "our location", "contact page")),
+    ("blog", ("blog", "news", "article", "insights", "press release", "latest posts")),
+    ("team", ("team", "leadership", "our people", "executives", "management", "founders")),
+    ("careers", ("careers", "jobs", "hiring", "join us", "open positions", "vacancies")),
+    ("testimonials", ("testimonials", "reviews", "client stories", "case studies", "success stories")),
+    ("product", ("product", "platform", "software", "tool", "application", "features")),
+    ("pricing", ("pricing", "plans", "packages", "cost", "subscription")),
+    ("faq", ("faq", "frequently asked", "questions", "help", "support")),
+)
+# fixed values: sections by words of the first headings and the first 200 characters, first family wins
 SECTIONS = (
-    ("leadership", "ceo|cto|founder|director|executive|leadership"), ("stats", "employees|clients|projects|solutions|years|deployed"),
-    ("contact", "address|phone|email|location|office"), ("testimonial", 'said|quote|testimonial|review|"|★'), ("service", "service|solution|offering|what we provide"),
-)
+    ("leadership", ("ceo", "cto", "founder", "director", "executive", "leadership")),
+    ("stats", ("employees", "clients", "projects", "solutions", "years", "deployed")),
+    ("contact", ("address", "phone", "email", "location", "office")),
+    ("testimonial", ("said", "quote", "testimonial", "review", '"', "★")),
+    ("service", ("service", "solution", "offering", "what we provide")),
+)
 # fixed values: crawl priority by the first word that a path segment holds, in this order
 URL_PRIORITY = (
     (0, "home"), (1, "about|services|solutions|products|contact"), (2, "team|leadership|careers|pricing|faq|clients|portfolio|case-study|testimonials"),
     (3, "industry|resources|partners|technology|platform"), (5, "blog|news|events|press"), (6, "legal|privacy|terms|cookie"),
     (9, "tag|category"), (8, "page"), (9, "search|login|register|cart|checkout|wp-"),
 )
+# fixed values: addresses that are not crawled
 SKIP_URL = r"(?i)(\.pdf$|\.jpg$|\.jpeg$|\.png$|\.gif$|\.svg$|\.ico$|\.css$|\.js$|\.zip$|\.exe$|\.xml$|\?replytocom=|\?print=|\?lang=|/feed/?$|/wp-json/|/xmlrpc\.php|/__utm|/amp/|/embed/)"
 
 
-def words_of(words: str) -> Column:
-    return F.array(*[F.lit(w) for w in words.split("|")])
+def total(column: str, words: tuple[str, ...]) -> Column:
+    """How often the words stand in the text column, each without overlaps, inside longer words too; most words are absent, which contains() sees fastest."""
+    count = "CASE WHEN contains({c}, '{w}') THEN CAST((length({c}) - length(replace({c}, '{w}', ''))) / {n} AS BIGINT) ELSE 0L END"
+    return F.expr(" + ".join(count.format(c=column, w=w, n=len(w)) for w in words))
 
 
-def total(text: Column, words: str) -> Column:
-    """How often the words stand in the text, each without overlaps, inside longer words too; most words are absent, which contains() sees fastest."""
-    return F.aggregate(
-        words_of(words), F.lit(0).cast("long"),
-        lambda n, w: n + F.when(
-            F.contains(text, w), ((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)).cast("long")
-        ).otherwise(F.lit(0).cast("long")),
-    )
+def named(column: str, words: tuple[str, ...]) -> Column:
+    """How many of the words the file name column holds."""
+    return F.expr(" + ".join(f"CAST(contains({column}, '{w}') AS INT)" for w in words))
 
 
 def classify_documents(docs: DataFrame, text_col: str = "text", name_col: str = "file_name") -> DataFrame:
@@ -92,11 +154,10 @@ def classify_documents(docs: DataFrame, text_col: str = "text", name_col: str =
     """
     text, name = F.lower(F.coalesce(text_col, F.lit(""))), F.lower(F.coalesce(name_col, F.lit("")))
     rows = docs.withColumn("_t", text).withColumn("_f", name).withColumn("_n", F.greatest(F.lit(1), F.regexp_count("_t", F.lit(r"\S+"))))
-    t, f = F.col("_t"), F.col("_f")
+    t, f = "_t", "_f"
     scores = []
     for domain, profile in DOMAINS.items():
-        words = profile["keywords"].split("|")
-        hint = F.size(F.filter(words_of("|".join(words[:10])), lambda w: f.contains(F.replace(w, F.lit(" "), F.lit("_"))) | f.contains(F.substring_index(w, " ", 1)))) * 0.1
+        hint = F.expr(" + ".join(f"CAST(contains(_f, '{w.replace(' ', '_')}') OR contains(_f, '{w.split(' ')[0]}') AS INT)" for w in profile["keywords"][:10])) * 0.1
         entities = F.regexp_count(t, F.lit("(?i)" + profile["entities"]))
         score = F.round(total(t, profile["keywords"]) / F.col("_n") + hint + entities * 0.05, 9)
         kinds = [F.struct(sum_with_name(t, f, w).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, w) in enumerate(profile["types"].items())]
@@ -113,22 +174,33 @@ def classify_documents(docs: DataFrame, text_col: str = "text", name_col: str =
     }).drop("_t", "_f", "_n", "_best")
 
 
-def sum_with_name(text: Column, name: Column, words: str) -> Column:
-    return total(text, words) + 2 * F.size(F.filter(words_of(words), lambda w: name.contains(w)))
+def sum_with_name(text: str, name: str, words: tuple[str, ...]) -> Column:
+    return total(text, words) + 2 * named(name, words)
 
 
-def char_chunks(docs: DataFrame, size: int = 2000, step: int = 1600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, char_start, char_end, line_start, text): overlapping pieces of size characters, every step characters."""
+def char_chunks(docs: DataFrame, size: int = 2000, step: int = 1600, id_col: str = "doc_id", text_col: str = "text", strip: bool = True) -> DataFrame:
+    """(id, n, char_start, char_end, line_start, chunk): overlapping pieces of size characters, every step characters."""
     length = F.length(text_col)
     starts = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = docs.select(id_col, text_col, length.alias("_len"), F.posexplode(starts).alias("n", "char_start"))
+    # steps of the text, each with the line ends before it: a running sum, so that no step is read twice
+    breaks = F.transform(starts, lambda at: F.regexp_count(F.substring(F.col(text_col), at + 1, F.lit(step)), F.lit("\n")))
+    lines = F.aggregate(breaks, F.array(F.lit(1)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+    rows = docs.select(id_col, text_col, length.alias("_len"), lines.alias("_lines"), F.posexplode(starts).alias("n", "char_start"))
+    piece = F.substring(F.col(text_col), F.col("char_start") + 1, F.lit(size))
     return rows.select(
         id_col, "n", "char_start", F.least(F.col("char_start") + size, F.col("_len")).alias("char_end"),
-        (F.regexp_count(F.substring(F.col(text_col), F.lit(1), F.col("char_start")), F.lit("\n")) + 1).alias("line_start"),
-        F.trim(F.substring(F.col(text_col), F.col("char_start") + 1, F.lit(size))).alias("chunk"),
+        F.col("_lines")[F.col("n")].alias("line_start"), (F.trim(piece) if strip else piece).alias("chunk"),
     )
 
 
+def rebuild(chunks: DataFrame, step: int = 1600, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_chunks, text): whole texts from overlapping chunks(id, char_start, chunk), in order, each read up to where the next begins."""
+    last = F.max("char_start").over(W.partitionBy(id_col))
+    own = chunks.withColumn("_p", F.when(F.col("char_start") == last, F.col("chunk")).otherwise(F.substring("chunk", 1, step)))
+    pieces = F.array_sort(F.collect_list(F.struct("char_start", "_p")))
+    return own.groupBy(id_col).agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(pieces, lambda p: p["_p"]), "").alias("text"))
+
+
 def token_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, token_start, token_count, chunk): windows of white-space tokens; the last one ends the text."""
     words = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
@@ -177,23 +249,101 @@ def upsert_versions(registry: DataFrame, uploads: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: character references that page texts decode, in this order
+REFERENCES = (
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#8217;", "'"), ("&#8216;", "'"),
+    ("&#8220;", '"'), ("&#8221;", '"'), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
+)
+
+
+def decoded(text: Column) -> Column:
+    for reference, character in REFERENCES:
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
+
+
+def stripped(html: Column) -> Column:
+    """Without tags, white space runs as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
+
+
+def meta_of(html: Column, name: str, attribute: str = "name") -> Column:
+    """Content of a meta tag, whichever attribute comes first; empty without one."""
+    value = r"""["']([^"']+)["']"""
+    key = rf"""{attribute}=["'](?:twitter:|){name}["']"""
+    found = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (rf"(?i)<meta[^>]+{key}[^>]+content={value}", rf"(?i)<meta[^>]+content={value}[^>]+{key}")]
+    return F.coalesce(*[stripped(f) for f in found], F.lit(""))
+
+
+def page_meta(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Adds description, og_title, og_description, og_image, json_ld (blocks as text), nav_links (25 at most, "label → address")."""
+    html = F.col(html_col)
+    nav = F.regexp_extract(html, r"(?is)<nav[^>]*>(.*?)</nav>", 1)
+    link = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+    links = F.arrays_zip(F.regexp_extract_all(nav, F.lit(link), F.lit(1)), F.regexp_extract_all(nav, F.lit(link), F.lit(2)))
+    labelled = F.filter(F.transform(links, lambda m: F.struct(stripped(m["1"]).alias("label"), m["0"].alias("to"))), lambda m: m["label"] != "")
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    return pages.withColumns({
+        "description": meta_of(html, "description"), "og_title": meta_of(html, "og:title", "property"), "og_description": meta_of(html, "og:description", "property"),
+        "og_image": meta_of(html, "og:image", "property"), "json_ld": F.transform(blocks, F.trim),
+        "nav_links": F.slice(F.transform(labelled, lambda m: F.concat(m["label"], F.lit(" → "), m["to"])), 1, 25),
+    })
+
+
+def same_domain(url: Column, domain: Column) -> Column:
+    """Whether an address is on the domain, with or without www."""
+    host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    return (host == domain) | (host == F.concat(F.lit("www."), domain)) | (F.concat(F.lit("www."), host) == domain)
+
+
+def organisation(url: Column) -> Column:
+    """The first part of the host as a name; the address itself where it has no host."""
+    host = F.replace(F.try_parse_url(url, F.lit("HOST")), F.lit("www."), F.lit(""))
+    return F.coalesce(F.initcap(F.substring_index(host, ".", 1)), url)
+
+
+def people_in(html: Column, most: int = 20) -> Column:
+    """Names of the persons that JSON-LD blocks describe, each once."""
+    person = r'(?is)"@type"\s*:\s*"Person"[^{}]*?"name"\s*:\s*"([^"]+)"|"name"\s*:\s*"([^"]+)"[^{}]*?"@type"\s*:\s*"Person["]'
+    names = F.zip_with(F.regexp_extract_all(html, F.lit(person), F.lit(1)), F.regexp_extract_all(html, F.lit(person), F.lit(2)), lambda a, b: F.trim(F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
+    return F.slice(F.array_distinct(names), 1, most)
+
+
+def crawl(seeds: DataFrame, links: DataFrame, most: int = 500, deepest: int = 6) -> DataFrame:
+    """(url, depth, score, seq): pages in the order of a crawl, level by level, each once, the best score of a level first.
+
+    seeds(url), links(url, link). A level is one join of the frontier with the links and an
+    anti-join with what was seen; skipped addresses (score 999) are not followed.
+    """
+    front = seeds.select(normal_url(F.col("url")).alias("url"), F.lit(0).alias("depth")).distinct()
+    seen = checkpoint(front)
+    for depth in range(1, deepest + 1):
+        front = seen.where(F.col("depth") == depth - 1)
+        new = front.join(links, "url").select(normal_url(F.col("link")).alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+        new = checkpoint(new.where(url_priority(F.col("url"), F.col("depth")) < 999))
+        if new.isEmpty():
+            break
+        seen = checkpoint(seen.unionByName(new))
+    scored = seen.withColumn("score", url_priority(F.col("url"), F.col("depth")))
+    return scored.orderBy("depth", "score", "url").limit(most).withColumn("seq", F.row_number().over(W.orderBy("depth", "score", "url")))
+
+
 def page_parts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds title, headings, n_links and main_text of the html, by patterns on the JVM."""
-    html = F.col(html_col)
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
+    html, clean = F.col(html_col), stripped
     body = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|aside)\b.*?</\1>", " ")
     return pages.withColumns({
         "title": clean(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
         "headings": F.slice(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), clean), 1, 35),
         "n_links": F.size(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s+href="([^"]*)"'), F.lit(1)))),
-        "main_text": clean(body),
+        "main_text": decoded(clean(body)),
     })
 
 
-def first_family(text: Column, families: tuple[tuple[str, str], ...], otherwise: Column) -> Column:
+def first_family(text: Column, families: tuple[tuple[str, tuple[str, ...]], ...], otherwise: Column) -> Column:
     out = F
     for name, words in families:
-        out = out.when(reduce(lambda a, b: a | b, [text.contains(w) for w in words.split("|")]), name)
+        out = out.when(reduce(lambda a, b: a | b, [text.contains(w) for w in words]), name)
     return out.otherwise(otherwise)
 
 
@@ -274,10 +424,12 @@ DOCUMENT_TYPES = (
     ("Report", (r"\breport\b", r"\bsummary\b", r"\banalysis\b")),
     ("Certificate", (r"certificate\b", r"certification\b")),
 )
+# fixed values: document types by extension
 EXTENSION_TYPES = {
     "pdf": "PDF Document", "docx": "Word Document", "doc": "Word Document", "txt": "Text Document", "csv": "CSV Data", "xlsx": "Excel Spreadsheet",
     "xls": "Excel Spreadsheet", "json": "JSON Data", "xml": "XML Document", "pptx": "Presentation", "md": "Markdown Document",
 }
+# fixed values: how a text names its lifecycle
 LIFECYCLE_IDS = (
     r"lifecycle[_\s-]?id[:\s]+([A-Za-z0-9_-]+)", r"lifecycle[:\s]+([A-Za-z0-9_-]+)", r"\b(lifecycle[_\s-]?[0-9]{3,})\b",
     r"invoice[_\s-]?#?[:\s]+([A-Za-z0-9_-]+)", r"contract[_\s-]?#?[:\s]+([A-Za-z0-9_-]+)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: entity patterns, all read without regard to case
@@ -96,6 +97,47 @@ def hops(edges: DataFrame, start: DataFrame, most: int, directed: bool = False)
     return seen
 
 
+def linked_documents(mentions: DataFrame, first: int = 20) -> DataFrame:
+    """(from_node, relation, to_node) of mentions(source, seq, entity): SHARES_ENTITY_WITH and CO_MENTIONS edges.
+
+    A document looks for others through its first entities only, as many as first says. A document
+    that names an entity is linked to the entity's first document (by name) in both directions, and
+    that one to all: who shares an entity is at most two links away, and an entity that all
+    documents name gives two rows a document, not its pairs.
+    """
+    order = W.partitionBy("source").orderBy("seq", "entity")
+    own = mentions.withColumn("n", F.row_number().over(order)).where(F.col("n") <= first).select("source", "entity")
+    every = mentions.select("source", "entity").distinct()
+    ends = every.groupBy("entity").agg(F.min("source").alias("least"), F.max("source").alias("most")).where("least <> most")
+    met = own.join(ends, "entity")
+    # a document meets the first of the others: the least, or for the least itself the last
+    other = F.when(F.col("source") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    shares = met.select(F.col("source").alias("from_node"), F.lit("SHARES_ENTITY_WITH").alias("relation"), other.alias("to_node"))
+    names = met.select(F.col("source").alias("from_node"), F.lit("CO_MENTIONS").alias("relation"), F.col("entity").alias("to_node"))
+    return shares.unionByName(names).distinct()
+
+
+def document_neighbours(links: DataFrame, name: str) -> DataFrame:
+    """(document): what shares an entity with the document, whichever end it is."""
+    at = links.where(F.col("relation") == "SHARES_ENTITY_WITH").where((F.col("from_node") == name) | (F.col("to_node") == name))
+    return at.select(F.when(F.col("from_node") == name, F.col("to_node")).otherwise(F.col("from_node")).alias("document")).distinct()
+
+
+def export(nodes: DataFrame, edges: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """At most 2 x most nodes and most edges, by name."""
+    return nodes.orderBy("name").limit(2 * most), edges.orderBy("from_node", "relation", "to_node").limit(most)
+
+
+def bounded_hops(edges: DataFrame, start: str, most: int = 2, fan_out: int = 20, cap: int = 30) -> DataFrame:
+    """(name, hop): like hops(), but a node is left by its first fan_out neighbours by name only, and cap nodes are given, nearest first."""
+    arcs = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
+    arcs = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    few = arcs.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("n") <= fan_out)
+    begin = edges.sparkSession.createDataFrame([(start,)], "name string")
+    found = hops(few.select(F.col("a").alias("from_node"), F.col("b").alias("to_node")), begin, most, directed=True)
+    return found.where("hop > 0").orderBy("hop", "name").limit(cap)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A written table in the folder that the cluster shares (spark.checkpoint.dir); where none is named, cached."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from docweave.operators import analytics as A
+from docweave.operators import documents
 from docweave.plans.views import LOG, chat_log, table
 
 AS_OF = date(2024, 1, 30)
@@ -116,10 +117,9 @@ def file_names(spark, sf_dir):
 
 
 def document_rebuild(spark, sf_dir):
-    """Documents of a source joined in order of their chunks, as digest."""
-    d = table(spark, sf_dir, "documents")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 200).alias("t")))), lambda r: r["t"])
-    return d.groupBy("source").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("sha"), F.count("*").alias("n"))
+    """Whole texts from their overlapping chunks, as digest."""
+    made = documents.rebuild(documents.char_chunks(table(spark, sf_dir, "documents"), strip=False))
+    return made.select("doc_id", "n_chunks", F.sha2("text", 256).alias("sha"))
 
 
 def customer_search(spark, sf_dir):
@@ -172,6 +172,6 @@ select 'level' as kind, level as name, count(*) as n from l group by 2 union all
     "event_type_top": "select event_type, count(*) as n from events group by 1 order by n desc, event_type limit 10",
     "chunk_browse": "select doc_id, substring(text, 1, 400) as head from documents where contains(lower(text), 'license') order by doc_id limit 50",
     "file_names": "select distinct source as doc_key from documents",
-    "document_rebuild": "select source, sha256(string_agg(substring(text, 1, 200), chr(10) order by doc_id)) as sha, count(*) as n from documents group by 1",
+    "document_rebuild": "select doc_id, cast((length(text) - 1) // 1600 + 1 as bigint) as n_chunks, sha256(text) as sha from documents where length(text) > 0",
     "customer_search": "select c_custkey, c_name, c_mktsegment from customer where contains(lower(c_name), '00012') or contains(lower(c_mktsegment), 'auto')",
 }

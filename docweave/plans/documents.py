@@ -162,9 +162,9 @@ def source_register(spark, sf_dir):
     return C.register(s, asked)
 
 
-def _count(text: str, words: str) -> str:
+def _count(text: str, words: tuple[str, ...]) -> str:
     parts = []
-    for w in words.split("|"):
+    for w in words:
         q = w.replace("'", "''")
         parts.append(f"(length({text}) - length(replace({text}, '{q}', ''))) // {len(w)}")
     return " + ".join(parts)
@@ -173,13 +173,13 @@ def _count(text: str, words: str) -> str:
 def _classes_sql() -> str:
     columns, best = [], []
     for i, (domain, p) in enumerate(D.DOMAINS.items()):
-        words = p["keywords"].split("|")
+        words = p["keywords"]
         hints = " + ".join(f"case when contains(f, '{w.replace(' ', '_')}') or contains(f, '{w.split(' ')[0]}') then cast(0.1 as double) else cast(0 as double) end" for w in words[:10])
         entity = p["entities"].replace("'", "''")
         columns.append(f"round(cast({_count('t', p['keywords'])} as double) / n + ({hints}) + len(regexp_extract_all(t, '(?i){entity}')) * cast(0.05 as double), 9) as s{i}")
         types = list(p["types"].items())
         for j, (_, w) in enumerate(types):
-            named = " + ".join(f"case when contains(f, '{x}') then 2 else 0 end" for x in w.split("|"))
+            named = " + ".join(f"case when contains(f, '{x}') then 2 else 0 end" for x in w)
             columns.append(f"{_count('t', w)} + {named} as k{i}_{j}")
         most = "greatest(" + ", ".join(f"k{i}_{j}" for j in range(len(types))) + ")"
         kind = "case when " + most + " = 0 then 'document' " + " ".join(f"when k{i}_{j} = {most} then '{types[j][0]}'" for j in range(len(types))) + " end"
