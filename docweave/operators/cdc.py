@@ -30,8 +30,16 @@ def delta_actions(known: DataFrame, delta: DataFrame) -> DataFrame:
     return joined.select("item_id", action.alias("action"))
 
 
-def apply_delta(known: DataFrame, delta: DataFrame) -> DataFrame:
-    """The known files after the feed: deleted ones gone, changed and new ones replaced."""
+def latest_entries(delta: DataFrame, seq_col: str) -> DataFrame:
+    """The last entry of every item of a feed that names some more than once."""
+    rest = [c for c in delta.columns if c != "item_id"]
+    last = F.max_by(F.struct(*rest), seq_col).alias("l")
+    return delta.groupBy("item_id").agg(last).select("item_id", *[f"l.{c}" for c in rest])
+
+
+def apply_delta(known: DataFrame, delta: DataFrame, seq_col: str | None = None) -> DataFrame:
+    """The known files after the feed: deleted ones gone, changed and new ones replaced; by seq_col only an item's last entry counts."""
+    delta = delta if seq_col is None else latest_entries(delta, seq_col)
     actions = delta_actions(known, delta)
     changed = delta.join(actions.where("action in ('insert', 'update', 'rename')"), "item_id").select(*known.columns)
     touched = actions.where("action in ('delete', 'update', 'rename')").select("item_id")
@@ -90,3 +98,24 @@ def register(sources: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce("source_id", "new_id").alias("source_id"), "url", "source_type", F.coalesce("new_priority", "priority").alias("priority"),
         F.when(F.col("new_id").isNotNull(), "active").otherwise(F.col("status")).alias("status"),
     )
+
+
+def dispatch(sources: DataFrame, now: float) -> DataFrame:
+    """sources after all that are due were handed out: their next run is an interval away, so that none is handed out twice."""
+    ready = (F.col("status") == "active") & (F.col("next_scheduled") <= now)
+    later = now + interval_seconds(F.col("priority"), F.col("update_frequency"))
+    return sources.withColumn("next_scheduled", F.when(ready, later).otherwise(F.col("next_scheduled")))
+
+
+def control(sources: DataFrame, commands: DataFrame, now: float) -> DataFrame:
+    """sources after commands(source_id, seq, command): the last of pause, resume, trigger (due now) or unregister of each counts."""
+    last = commands.groupBy("source_id").agg(F.max_by("command", "seq").alias("_c"))
+    rows = sources.join(last, "source_id", "left").where(F.coalesce(F.col("_c") != "unregister", F.lit(True)))
+    status = F.when(F.col("_c") == "pause", "paused").when(F.col("_c").isin("resume", "trigger"), "active").otherwise(F.col("status"))
+    due_now = F.when(F.col("_c") == "trigger", F.lit(now)).otherwise(F.col("next_scheduled"))
+    return rows.withColumns({"status": status, "next_scheduled": due_now}).drop("_c")
+
+
+def finished_crawls(crawls: DataFrame, sources: DataFrame) -> DataFrame:
+    """Finished crawls(url, status) that no source is registered for."""
+    return crawls.where("status = 'done'").join(sources.where("source_type = 'website'"), "url", "left_anti")

@@ -106,6 +106,7 @@ def risk(events: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     score = F.round(risk_score(F.col("n_events"), zero, F.col("changes"), zero, F.col("days")), 6)
     says = lambda when, pattern, column: F.when(when, F.format_string(pattern, F.col(column)))
+    # fixed values: what the drivers say
     drivers = F.array_compact(F.array(
         says(F.col("change_signals") > 0, "Change events (%d occurrences)", "change_signals"),
         says(F.col("risks") > 0, "Risk indicators (%d alerts)", "risks"),
@@ -166,18 +167,18 @@ def notifications(events: DataFrame, as_of: Column, most: int = 10) -> DataFrame
     return events.select("event_id", "lifecycle_id", kind.alias("class"), F.initcap(F.replace(F.lower(t), F.lit("_"), F.lit(" "))).alias("title"), age.alias("age"), "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
 
 
-def outcomes(orders: DataFrame, least_percent: float = 5.0) -> DataFrame:
-    """Cost over- or under-runs between the first and last total of a customer, beyond 5 %, with the variance.
+def outcomes(totals: DataFrame, least_percent: float = 5.0) -> DataFrame:
+    """Cost over- or under-runs between the first and last total of a lifecycle, beyond 5 %, with the variance.
 
-    orders(o_custkey, version, o_totalprice): rows (lifecycle_id, outcome_type, value).
+    totals(lifecycle_id, version, total): rows (lifecycle_id, outcome_type, value).
     """
-    ends = orders.groupBy("o_custkey").agg(F.min_by("o_totalprice", "version").alias("first"), F.max_by("o_totalprice", "version").alias("last"), F.count("*").alias("n"))
+    ends = totals.groupBy("lifecycle_id").agg(F.min_by("total", "version").alias("first"), F.max_by("total", "version").alias("last"), F.count("*").alias("n"))
     change = ends.where("n > 1 and first <> 0").withColumn("delta", F.round(F.col("last") - F.col("first"), 2)).withColumn(
         "percent", F.round((F.col("last") - F.col("first")) / F.col("first") * 100, 4)
     )
     beyond = change.where(F.abs("percent") > least_percent)
     return beyond.select(
-        F.col("o_custkey").alias("lifecycle_id"),
+        "lifecycle_id",
         F.explode(F.array(
             F.struct(F.when(F.col("delta") > 0, "COST_OVERRUN").otherwise("COST_UNDERRUN").alias("outcome_type"), F.abs("delta").alias("value")),
             F.struct(F.lit("COST_VARIANCE").alias("outcome_type"), F.col("percent").alias("value")),

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Query terms that are sent to every task; more are joined.
+BROADCAST_TERMS = 10_000
 
 
 def governed(chunks: DataFrame, role: str, tenant: str | None = None) -> DataFrame:
@@ -49,25 +51,30 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     """(query_id, chunk_id, doc_key, score) of chunks with a positive score for queries(query_id, query).
 
     Okapi weights; a negative idf becomes epsilon x the mean idf of the vocabulary. Query tokens
-    count as often as they stand in the query. Term counts are aggregated before any join.
+    count as often as they stand in the query. Only the queries' own tokens leave the rows: document
+    frequencies are counted before the shuffle, and the chunks' tokens meet the asked terms (the
+    stated query set) by a broadcast while those are few, so that no other token is moved.
     """
     docs = chunks.select("chunk_id", "doc_key", tokens(F.col("text")).alias("tokens"))
-    postings = docs.select("chunk_id", "doc_key", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(
-        "chunk_id", "doc_key", "length", "term"
-    ).agg(F.count("*").alias("tf"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(stats).withColumn("raw", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(
         F.count("*").alias("asked")
     )
+    terms = asked.select("term").distinct()
+    few = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+    tf = (
+        docs.select("chunk_id", "doc_key", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(few, "term")
+        .groupBy("chunk_id", "doc_key", "length", "term").agg(F.count("*").alias("tf"))
+    )
     weights = raw.join(asked, "term").crossJoin(mean).withColumn(
         "idf", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
     )
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
     part = F.col("asked") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    scored = postings.join(weights, "term").groupBy("query_id", "chunk_id", "doc_key").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(weights, "term").groupBy("query_id", "chunk_id", "doc_key").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.where("score > 0")
 
 
@@ -78,11 +85,15 @@ def rrf(vector: DataFrame, lexical: DataFrame, k: int = 60, vector_weight: float
     return both.groupBy("query_id", "chunk_id", "doc_key").agg(F.round(F.sum("part"), 12).alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """Top k by fused rank for queries(query_id, query, query_vector); both lists give 2k candidates."""
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 25, texts: DataFrame | None = None) -> DataFrame:
+    """Top k by fused rank for queries(query_id, query, query_vector); both lists give 2k candidates.
+
+    Where one list has nothing the other decides alone. texts are the chunks without their vectors,
+    where those come from another table.
+    """
     order = [F.desc("score"), F.asc("chunk_id")]
     vector = vector_rank(chunks, queries.select("query_id", "query_vector"), 2 * k)
-    lexical = top_k(bm25(chunks, queries.select("query_id", "query")), ["query_id"], order, 2 * k)
+    lexical = top_k(bm25(chunks if texts is None else texts, queries.select("query_id", "query")), ["query_id"], order, 2 * k)
     return top_k(rrf(vector, lexical), ["query_id"], order, k)
 
 
@@ -181,21 +192,30 @@ def feedback_modifier(positive: Column, negative: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(F.round((positive / total - 0.5) * 0.30, 3))
 
 
-def grounding(answers: DataFrame, contexts: DataFrame, least_chars: int = 15) -> DataFrame:
-    """(answer_id, sentences, score, grounded): mean over sentences of the best token overlap with a context.
+def token_overlap(sentence: Column, context: Column) -> Column:
+    """Share of the sentence's different tokens that the context has: the default scorer."""
+    own = F.array_distinct(tokens(sentence))
+    return F.size(F.array_intersect(own, tokens(context))) / F.greatest(F.size(own), F.lit(1))
 
-    answers(answer_id, text), contexts(answer_id, context); sentences of up to least_chars do not
-    count. No context: score 0. Below 0.4 the answer is not grounded. The overlap is the default scorer.
+
+def grounding(answers: DataFrame, contexts: DataFrame, least_chars: int = 15, most: int = 3, scorer=token_overlap) -> DataFrame:
+    """(answer_id, sentences, score, grounded): mean over sentences of the best score with the first contexts.
+
+    answers(answer_id, text), contexts(answer_id, rank, context); sentences of up to least_chars do
+    not count, and an answer of only such sentences scores 1. No context, or no answer: score 0.
+    Below 0.4 the answer is not grounded. A scorer of None stands for no model: score 1.
     """
-    sentences = answers.select("answer_id", F.posexplode(F.split("text", r"[.!?]\s+")).alias("n", "sentence")).where(
+    first = contexts.withColumn("_n", F.row_number().over(W.partitionBy("answer_id").orderBy("rank", "context"))).where(F.col("_n") <= most).select("answer_id", "context")
+    some = answers.where("text <> ''").join(first.select("answer_id").distinct(), "answer_id", "left_semi")
+    sentences = some.select("answer_id", F.posexplode(F.split("text", r"[.!?]\s+")).alias("n", "sentence")).where(
         F.length(F.trim("sentence")) > least_chars
     )
-    own = F.array_distinct(tokens(F.col("sentence")))
-    share = F.size(F.array_intersect(own, F.array_distinct(tokens(F.col("context"))))) / F.greatest(F.size(own), F.lit(1))
-    best = sentences.join(contexts, "answer_id", "left").groupBy("answer_id", "n").agg(F.coalesce(F.max(share), F.lit(0.0)).alias("best"))
-    return best.groupBy("answer_id").agg(F.count("*").alias("sentences"), F.round(F.avg("best"), 6).alias("score")).withColumn(
-        "grounded", F.col("score") >= 0.4
-    )
+    share = F.lit(1.0) if scorer is None else scorer(F.col("sentence"), F.col("context"))
+    best = sentences.join(first, "answer_id").withColumn("s", share).groupBy("answer_id", "n").agg(F.max("s").alias("best"))
+    means = best.groupBy("answer_id").agg(F.count("*").alias("sentences"), F.round(F.avg("best"), 6).alias("score"))
+    out = answers.select("answer_id").join(some.select("answer_id", F.lit(1.0).alias("told")), "answer_id", "left").join(means, "answer_id", "left")
+    out = out.select("answer_id", F.coalesce("sentences", F.lit(0)).alias("sentences"), F.coalesce("score", "told", F.lit(0.0)).alias("score"))
+    return out.withColumn("grounded", F.col("score") >= 0.4)
 
 
 def any_of(columns: list[Column]) -> Column:

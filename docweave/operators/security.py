@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,24 +93,28 @@ def apply_rules(queries: DataFrame, rules: DataFrame, column: str) -> DataFrame:
 def admitted(requests: DataFrame, limit: int, seconds: int, admin_limit: int | None = None) -> DataFrame:
     """Requests (user_id, request_id, ts, role) with allowed and retry_after: at most limit admitted in the last seconds.
 
-    A rejected request is not recorded, so this is a fold over a user's requests in order. Users are
-    split by key; only the admitted times of the window are held.
+    A rejected request is not recorded, so this is a fold over a user's requests in order: users are
+    dealt by key and sorted, and a task reads them as a stream that holds one user's admitted times
+    of the window, however many requests there are.
     """
     schema = "user_id long, request_id long, allowed boolean, retry_after int"
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "request_id"], kind="stable")
-        held: deque[float] = deque()
-        out = []
-        for request, at, role in zip(pdf["request_id"], pdf["at"], pdf["role"]):
-            most = admin_limit if admin_limit is not None and role == "admin" else limit
-            while held and at - held[0] >= seconds:
-                held.popleft()
-            allowed = len(held) < most
-            out.append((key[0], request, allowed, 0 if allowed else int(seconds - (at - held[0])) + 1))
-            if allowed:
-                held.append(at)
-        return pd.DataFrame(out, columns=["user_id", "request_id", "allowed", "retry_after"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, deque()
+        for pdf in batches:
+            out = []
+            for user, request, at, role in zip(pdf["user_id"], pdf["request_id"], pdf["at"], pdf["role"]):
+                if user != now:
+                    now, held = user, deque()
+                most = admin_limit if admin_limit is not None and role == "admin" else limit
+                while held and at - held[0] >= seconds:
+                    held.popleft()
+                allowed = len(held) < most
+                out.append((user, request, allowed, 0 if allowed else int(seconds - (at - held[0])) + 1))
+                if allowed:
+                    held.append(at)
+            yield pd.DataFrame(out, columns=["user_id", "request_id", "allowed", "retry_after"])
 
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return requests.select("user_id", "request_id", at.alias("at"), "role").groupBy("user_id").applyInPandas(fold, schema)
+    rows = requests.select("user_id", "request_id", at.alias("at"), "role")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "request_id").mapInPandas(fold, schema)

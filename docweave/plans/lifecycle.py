@@ -76,7 +76,7 @@ def lifecycle_graph(spark, sf_dir):
 
 
 def cost_outcomes(spark, sf_dir):
-    return L.outcomes(po_versions(spark, sf_dir))
+    return L.outcomes(po_versions(spark, sf_dir).select(F.col("o_custkey").alias("lifecycle_id"), "version", F.col("o_totalprice").alias("total")))
 
 
 def revision_frequency(spark, sf_dir):

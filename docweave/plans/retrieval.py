@@ -21,12 +21,12 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.join(vectors, "query_id")
 
 
-def user_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.governed(chunks(spark, sf_dir), "user")
+def user_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+    return R.governed(chunks(spark, sf_dir, with_vectors), "user")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hybrid_search(user_chunks(spark, sf_dir), probes(spark, sf_dir)).select("query_id", "chunk_id", "doc_key", "score", "rank")
+    return R.hybrid_search(user_chunks(spark, sf_dir), probes(spark, sf_dir), texts=user_chunks(spark, sf_dir, False)).select("query_id", "chunk_id", "doc_key", "score", "rank")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = R.bm25(user_chunks(spark, sf_dir), probes(spark, sf_dir))
+    scored = R.bm25(user_chunks(spark, sf_dir, False), probes(spark, sf_dir))
     return R.top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 25)
 
 
@@ -108,7 +108,7 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     key = (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id")
     answers = c.where("role = 'assistant'").select(key, "text")
-    contexts = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("answer_id"), F.col("text").alias("context"))
+    contexts = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("answer_id"), F.lit(1).alias("rank"), F.col("text").alias("context"))
     return R.grounding(answers, contexts)
 
 
@@ -136,6 +136,13 @@ QUERIES = {
     "query_decompose": decompose, "feedback_scores": feedback_scores, "answer_confidence": answer_confidence, "grounding": grounding,
 }
 ORACLES = {
+    "grounding": rf"""with a as (select conv_id * 1000 + turn as answer_id, coalesce(text, '') as text from conversations where role = 'assistant'),
+c as (select conv_id * 1000 + turn + 1 as answer_id, coalesce(text, '') as context from conversations where role = 'user'),
+s as (select answer_id, unnest(list_filter(regexp_split_to_array(text, '[.!?]\s+'), lambda x: length(trim(x, ' ')) > 15)) as s from a where text <> '' and answer_id in (select answer_id from c)),
+t as (select answer_id, list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+')) as own, regexp_extract_all(lower(context), '[\p{{L}}\p{{N}}_]+') as ctx from s join c using (answer_id)),
+m as (select answer_id, count(*) as sentences, round(avg(len(list_intersect(own, ctx)) / greatest(len(own), 1)), 6) as score from t group by 1)
+select answer_id, coalesce(sentences, 0) as sentences, coalesce(score, case when text <> '' and answer_id in (select answer_id from c) then 1.0 else 0.0 end) as score,
+  coalesce(score, case when text <> '' and answer_id in (select answer_id from c) then 1.0 else 0.0 end) >= 0.4 as grounded from a left join m using (answer_id)""",
     "hybrid_search": f"""{_HEAD}, {_BM25}, fused as (
   select query_id, chunk_id, doc_key, round(sum(part), 12) as score from (
     select query_id, chunk_id, doc_key, 0.65 / (60 + rank) as part from vec_ranked where rank <= 50

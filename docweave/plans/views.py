@@ -11,11 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with an embedding where one exists, and the roles that may read them."""
+def chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+    """Chunks with an embedding where one exists (if asked for), and the roles that may read them."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    if not with_vectors:
+        docs, vectors = docs.withColumns({"vec_id": F.col("doc_id"), "embedding": F.lit(None)}), None
     low = F.when(F.col("doc_id") % 10 == 0, "public").when(F.col("doc_id") % 3 == 0, "user").otherwise("admin")
-    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").select(
+    rows = docs if vectors is None else docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left")
+    return rows.select(
         F.col("doc_id").alias("chunk_id"),
         F.col("source").alias("doc_key"),
         "text",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -34,26 +36,23 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file_name, kind, text, content_hash): every file's text by its extension.
 
-    Text kinds, CSV (first 5000 rows) and JSON (first 2000 items) are decoded on the JVM; office
-    formats, which are zipped XML, in Arrow batches. A file that cannot be read has a null text.
+    Text kinds and JSON (first 2000 items) are decoded on the JVM; CSV (first 5000 rows) and office
+    formats, which are zipped XML, in batches. A file that cannot be read has a null text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content").withColumn("kind", extension(F.col("path")))
-    plain = files.where(~F.col("kind").isin("docx", "pptx", "xlsx", "pdf")).withColumn("raw", F.decode("content", "UTF-8"))
-    text = (
-        F.when(F.col("kind") == "csv", csv_text(F.col("raw")))
-        .when(F.col("kind") == "json", json_text(F.col("raw")))
-        .otherwise(F.col("raw"))
-    )
+    packed = ("docx", "pptx", "xlsx", "pdf", "csv")
+    plain = files.where(~F.col("kind").isin(*packed)).withColumn("raw", F.decode("content", "UTF-8"))
+    text = F.when(F.col("kind") == "json", json_text(F.col("raw"))).otherwise(F.col("raw"))
     plain = plain.select("path", "kind", text.alias("text"))
-    office = files.where(F.col("kind").isin("docx", "pptx", "xlsx", "pdf")).mapInPandas(_office, "path string, kind string, text string")
+    office = files.where(F.col("kind").isin(*packed)).mapInPandas(_office, "path string, kind string, text string")
     both = plain.unionByName(office)
     return both.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "kind", "text", text_hash(F.col("text")).alias("content_hash"))
 
 
-def csv_text(raw: Column) -> Column:
-    """Cells joined by " | ", a line per row, simple cells only."""
-    lines = F.slice(F.filter(F.split(raw, r"\r?\n"), lambda x: x != ""), 1, CSV_ROWS)
-    return F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")), " | ")), "\n")
+def csv_text(content: bytes) -> str:
+    """Cells of the first rows joined by " | ", a line per row; quoted cells may hold commas and line ends."""
+    rows = csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=""))
+    return "\n".join(" | ".join(c.strip() for c in row) for row in itertools.islice((r for r in rows if r), CSV_ROWS))
 
 
 def json_text(raw: Column) -> Column:
@@ -74,6 +73,8 @@ def _office(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def office_text(kind: str, content: bytes) -> str | None:
     """Non-blank paragraphs, shapes or rows of an office file; null where it cannot be read or is PDF."""
     try:
+        if kind == "csv":
+            return csv_text(content)
         archive = zipfile.ZipFile(io.BytesIO(content))
         names = archive.namelist()
         tree = lambda name: ElementTree.fromstring(archive.read(name))
@@ -90,7 +91,7 @@ def office_text(kind: str, content: bytes) -> str | None:
                     cells = [(c.get("t"), c.findtext(_S + "v") or "".join(t.text or "" for t in c.iter(_S + "t"))) for c in row.iter(_S + "c")]
                     lines.append(" | ".join(shared[int(v)] if t == "s" else v for t, v in cells if v))
         return "\n".join(x for x in lines if x.strip())
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError):
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, csv.Error):
         return None
 
 
