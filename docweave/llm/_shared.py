@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Column of the number of a row, see numbered.
-ROW = "_row"
+#: Column of the number of a row, see numbered; not a name for an input column.
+ROW = "_docweave_row_number"
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; in local mode one of our own where it is unset."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="docweave-"))
     return _own_dir[0]
@@ -33,9 +36,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the list of written tables, for drop_since."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, place: int, keep: int = 1) -> None:
+    """Delete what materialise() wrote since mark(), but for the last few tables; for callers that have read everything else."""
+    for path in _written[place : len(_written) - keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[place : len(_written) - keep]
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a long ROW, different for every row, written once so that every use sees the same numbers."""
     return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
