@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm._shared import ROW, materialise, numbered
+from docweave.llm._shared import ROW, drop_since, mark, materialise, numbered
 from docweave.llm.decontaminate import decontaminate
 from docweave.llm.exact_dedup import exact_dedup
 from docweave.llm.language_id import keep_identified
@@ -38,11 +38,14 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy the mix takes: the document's columns, size, its source's words and target, copy."""
+    """One row per copy the mix takes: the document's columns, size, source_size, target and copy.
+
+    A column of the documents keeps its name; where one of ours has it too, ours begins with mix_.
+    """
+    own = {c: f"mix_{c}" if c in docs.columns else c for c in ("size", "source_size", "target", "copy")}
     docs = numbered(docs)
-    plan = mix_sources(docs, carry=(ROW,)).where("copies > 0").select(
-        ROW, "size", "source_size", "target", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    )
+    plan = mix_sources(docs, carry=(ROW,)).where("copies > 0")
+    plan = plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(ROW, *[F.col(c).alias(name) for c, name in own.items()])
     return docs.join(plan, ROW).drop(ROW)
 
 
@@ -59,8 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder before the next reads it; what a stage wrote besides goes."""
+    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_since(spark, place)
     return STAGES[-1][1](spark, docs, sf_dir)
