@@ -18,10 +18,19 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finished(df: DataFrame, mode: str) -> DataFrame:
-    """Run over what is there and return the result table: a row per window or session, not per event."""
-    name = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Run over what is there and return the result table: a row per window or session, not per event.
+
+    The table is written to the folder that the cluster shares; only where none is named it is held in memory.
+    """
+    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+    path = f"{folder.rstrip('/')}/docweave/{name}"
+    sink = df.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state")
+    sink.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
 
 
 def stream_daily_counts(spark, sf_dir):

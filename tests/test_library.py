@@ -184,14 +184,14 @@ def test_rejected_requests_do_not_count(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hällo")
-    (tmp_path / "b.csv").write_text('x,"y"\n1,2\n')
+    (tmp_path / "b.csv").write_text('x,"y, ""z""\nw"\n1,2\n')
     (tmp_path / "c.json").write_text('{"k": 1, "l": "v"}')
     (tmp_path / "d.json").write_text("[1, 2]")
     with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="{files._W[1:-1]}"><w:p><w:r><w:t>One </w:t><w:t>two</w:t></w:r></w:p><w:p/></w:document>')
     (tmp_path / "f.pdf").write_bytes(b"%PDF-junk")
     got = {r["file_name"]: r["text"] for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "hällo", "b.csv": "x | y\n1 | 2", "c.json": "k: 1\nl: v", "d.json": "1\n2", "e.docx": "One two", "f.pdf": None}
+    assert got == {"a.txt": "hällo", "b.csv": 'x | y, "z"\nw\n1 | 2', "c.json": "k: 1\nl: v", "d.json": "1\n2", "e.docx": "One two", "f.pdf": None}
     assert files.list_files(spark, str(tmp_path)).count() == 6
 
 
@@ -201,6 +201,32 @@ def test_error_log(spark, tmp_path):
     assert [r["message"] for r in files.read_error_log(spark, str(tmp_path), "ERROR", 2).collect()] == ["5", "3"]
 
 
+def test_last_entry_of_a_feed_counts(spark):
+    known = spark.createDataFrame([(1, "a", 5)], "item_id long, name string, size long").withColumn("modified", F.to_timestamp(F.lit("2024-01-01")))
+    feed = [(1, 1, "b", False, False, 6), (1, 2, "c", False, False, 7), (2, 1, "n", False, False, 1), (2, 3, "n", True, False, 1)]
+    delta = spark.createDataFrame(feed, "item_id long, seq int, name string, deleted boolean, is_folder boolean, size long").withColumn("modified", F.to_timestamp(F.lit("2024-02-01")))
+    assert [(r["item_id"], r["name"]) for r in cdc.apply_delta(known, delta, "seq").collect()] == [(1, "c")]
+
+
+def test_sources_are_controlled_and_dispatched(spark):
+    rows = [(i, "u%d" % i, "website", "high", "active", 5.0, None) for i in range(4)]
+    src = spark.createDataFrame(rows, "source_id int, url string, source_type string, priority string, status string, next_scheduled double, update_frequency int")
+    said = spark.createDataFrame([(0, 1, "pause"), (1, 1, "pause"), (1, 2, "trigger"), (2, 1, "unregister")], "source_id int, seq int, command string")
+    got = {r["source_id"]: (r["status"], r["next_scheduled"]) for r in cdc.control(src, said, 9.0).collect()}
+    assert got == {0: ("paused", 5.0), 1: ("active", 9.0), 3: ("active", 5.0)}
+    assert {r["next_scheduled"] for r in cdc.dispatch(src, 10.0).collect()} == {610.0}
+    crawls = spark.createDataFrame([("u1", "done"), ("v", "done"), ("w", "running")], "url string, status string")
+    assert [r["url"] for r in cdc.finished_crawls(crawls, src).collect()] == ["v"]
+
+
+def test_grounding_of_short_and_missing(spark):
+    answers = spark.createDataFrame([(1, "The quick brown fox jumps. Ok."), (2, "Short."), (3, "The quick brown fox jumps."), (4, "")], "answer_id long, text string")
+    contexts = spark.createDataFrame([(1, i, c) for i, c in enumerate(["no", "none", "nothing", "the quick brown fox jumps"])] + [(2, 1, "x"), (4, 1, "x")], "answer_id long, rank int, context string")
+    got = {r["answer_id"]: (r["sentences"], r["score"]) for r in retrieval.grounding(answers, contexts).collect()}
+    assert got == {1: (1, 0.0), 2: (0, 1.0), 3: (0, 0.0), 4: (0, 0.0)}
+    assert {r["score"] for r in retrieval.grounding(answers, contexts, scorer=None).where("answer_id < 3").collect()} == {1.0}
+
+
 def test_streams_equal_batch(spark, sf, tmp_path):
     batch = lifecycle_events(spark, sf).withColumn("user_id", F.substring_index("lifecycle_id", "-", 1).cast("long"))
     batch.repartition(1).write.parquet(str(tmp_path / "in"))
