@@ -1,7 +1,7 @@
 """Chat formatting over reply trees: paths by self-joins, branches ranked by score, one string per path.
 
-DataFrame functions only. Paths are built by pointer doubling: in each round every node's path so
-far is joined to that of the node it points to, so a chain of n turns takes log2(n) rounds.
+DataFrame functions only. Paths are built by pointer doubling over rows (leaf, node, distance), so a
+chain of n turns takes log2(n) rounds and n rows; nothing holds a path until it is formatted.
 """
 
 from __future__ import annotations
@@ -32,53 +32,40 @@ def unescape(text: Column, table: tuple[tuple[str, str], ...] = ESCAPES) -> Colu
 
 
 def reply_paths(nodes: DataFrame, top_paths: int | None = None) -> DataFrame:
-    """Root-to-leaf paths of the reply trees in nodes(conv, node, parent, score).
+    """The nodes of the root-to-leaf paths of the reply trees in nodes(conv, node, parent, score).
 
-    Returns (conv, leaf, path, path_score, branch): path is the array of nodes from root to leaf,
-    path_score the mean of its nodes' scores (null scores count as 0), branch the rank of the path
-    in its conversation by score, then leaf. A parent that is null or missing makes its node a root.
-    Nodes on a cycle have no root and give no path. conv must not be null (chat_format sees to it).
+    Returns (conv, leaf, branch, path_score, pos, node): pos counts from the root, path_score is the
+    mean of the path's scores (null scores count as 0), branch the rank of the path in its
+    conversation by score, then leaf. A parent that is null or missing makes its node a root. Nodes
+    on a cycle have no root and give no path. A node id that is repeated is one node, with the least
+    parent and the largest score. conv must not be null (chat_format sees to it).
+
+    Round k joins what is known of each leaf (its nearest 2**k nodes) to the pointers 2**k nodes up,
+    and those pointers to themselves, so a path of n nodes takes log2(n) rounds and n rows.
     """
+    nodes = nodes.groupBy("conv", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     state = nodes.join(known, ["conv", "parent"], "left").select(
-        "conv",
-        "node",
-        F.when(F.col("known"), F.col("parent")).alias("up"),
-        F.array(F.col("node")).alias("path"),
-        F.coalesce(F.col("score"), F.lit(0.0)).alias("total"),
+        "conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score")
     )
-    inner = nodes.select("conv", F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = state.join(inner, ["conv", "node"], "left_anti").withColumnRenamed("node", "leaf")
     state = materialise(state, "chat-nodes")
-    leaves = materialise(leaves, "chat-leaves")
-    most = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-
-    def hop(left: DataFrame) -> DataFrame:
-        right = state.select(
-            "conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("total").alias("more")
-        )
-        # only what has not reached its root is joined again
-        moved = left.where("up is not null").join(right, ["conv", "up"]).select(
-            "conv",
-            *[c for c in left.columns if c in ("node", "leaf")],
-            F.col("next").alias("up"),
-            F.concat("above", "path").alias("path"),
-            (F.col("total") + F.col("more")).alias("total"),
-        )
-        return left.where("up is null").unionByName(moved)
-
-    for _ in range(max(most, 1).bit_length()):
-        if leaves.where("up is not null").isEmpty():
+    inner = state.select("conv", F.col("up").alias("node")).where("node is not null").distinct()
+    steps = state.join(inner, ["conv", "node"], "left_anti").select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    jumps = state.where("up is not null").select("conv", "node", "up")
+    most = state.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    for k in range(max(most, 1).bit_length()):
+        if jumps.isEmpty():
             break
-        leaves, state = materialise(hop(leaves), "chat-leaves"), materialise(hop(state), "chat-nodes")
+        further = steps.join(jumps, ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        steps = materialise(steps.unionByName(further), "chat-steps")
+        beyond = jumps.select("conv", F.col("node").alias("up"), F.col("up").alias("next"))
+        jumps = materialise(jumps.join(beyond, ["conv", "up"]).select("conv", "node", F.col("next").alias("up")), "chat-jumps")
+    own = steps.join(state, ["conv", "node"])
+    paths = own.groupBy("conv", "leaf").agg(F.avg("score").alias("path_score"), F.max("back").alias("last"), F.bool_or(F.col("up").isNull()).alias("rooted")).where("rooted")
     ranked = Window.partitionBy("conv").orderBy(F.col("path_score").desc(), "leaf")
-    out = (
-        leaves.where("up is null")
-        .withColumn("path_score", F.col("total") / F.size("path"))
-        .withColumn("branch", F.row_number().over(ranked))
-        .select("conv", "leaf", "path", "path_score", "branch")
-    )
-    return out if top_paths is None else out.where(F.col("branch") <= top_paths)
+    paths = paths.withColumn("branch", F.row_number().over(ranked))
+    paths = paths if top_paths is None else paths.where(F.col("branch") <= top_paths)
+    return steps.join(paths, ["conv", "leaf"]).select("conv", "leaf", "branch", "path_score", (F.col("last") - F.col("back")).alias("pos"), "node")
 
 
 def chat_format(
@@ -99,7 +86,8 @@ def chat_format(
     (ties: role, then text; null turns first). formatted holds every turn under the template with
     control strings escaped; loss_spans are (start, length) in code points of formatted, one for
     each text of loss_role in order. Null role and text count as empty; a null conversation id is a
-    conversation of its own. Empty input gives no rows; other columns are ignored.
+    conversation of its own; messages that repeat a node id are turns one after another, by role and
+    text. Empty input gives no rows; other columns are ignored.
     """
     base = messages.select(
         F.col(conv_col).alias("conv_id"),
@@ -119,8 +107,7 @@ def chat_format(
             "parent", F.when(F.col("node") > 1, F.col("node") - 1)
         )
     base = materialise(base, "chat-messages")
-    paths = reply_paths(base.select("conv", "node", "parent", "score"), top_paths)
-    steps = paths.select("conv", "branch", "path_score", F.posexplode("path").alias("pos", "node"))
+    steps = reply_paths(base.select("conv", "node", "parent", "score"), top_paths).drop("leaf")
     head = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(BREAK))
     turns = (
         steps.join(base, ["conv", "node"])
@@ -128,10 +115,11 @@ def chat_format(
         .withColumn("body", escape(F.col("text")))
         .withColumn("length", F.length("head") + F.length("body") + F.lit(len(CLOSE)))
     )
-    before = Window.partitionBy("conv", "branch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv", "branch").orderBy("pos", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)) + F.length("head"))
     turn = F.struct(
         "pos",
+        F.col("start").alias("at"),
         F.concat("head", "body", F.lit(CLOSE)).alias("said"),
         F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length")).alias("span"),
         (F.col("role") == loss_role).alias("learn"),

@@ -201,6 +201,11 @@ def test_reply_trees(spark):
     assert got[1, 1] == ["t1", "t2", "t4"] and got[1, 2] == ["t1", "t3", "t5", "t6"] and got[1, 3] == ["t9"] and got[2, 1] == [str(n) for n in range(70)]
     assert len(got) == 4
     assert chat_format(df, node_col="node", parent_col="parent", score_col="score", top_paths=1).count() == 2
+    assert [r["path_score"] for r in made.where("conv_id = 1").orderBy("branch").collect()] == [3.0, 3.0, 0.5]
+    # a leaf that hangs on a cycle has no root; a repeated node is one node with two turns
+    odd = [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0), (1, 3, 1, "user", "c", 0.0), (2, 1, None, "user", "x", 0.0), (2, 1, None, "assistant", "y", 0.0), (2, 2, 1, "user", "z", 0.0)]
+    made = chat_format(spark.createDataFrame(odd, df.schema), node_col="node", parent_col="parent", score_col="score")
+    assert [[t["text"] for t in r["t"]] for r in made.select(parse_turns(F.col("formatted")).alias("t")).collect()] == [["y", "x", "z"]]
 
 
 def test_language_id(spark, sf):

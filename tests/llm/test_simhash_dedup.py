@@ -121,3 +121,26 @@ def test_mix_gives_one_row_per_copy(spark):
     for s in "abc":
         taken = [r for r in made if r["source"] == s]
         assert abs(sum(r["size"] for r in taken) - taken[0]["target"]) <= 1
+
+
+def test_stages_keep_clashing_columns(spark, sf):
+    """Extra columns with the names that stages use inside come through as they are."""
+    rows = [(i, f"the of and text number{i} w{i} " * 6, "en", "s", i, f"own{i}") for i in range(12)]
+    extra = ["size", "copy", "target", "id", "fp", "h", "cell", "rep", "component", "n", "_row", "chunk", "held_out", "entry", "sig"]
+    docs = spark.createDataFrame(rows, COLUMNS + ", x string")
+    for c in extra:
+        docs = docs.withColumn(c, docs["x"])
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf)
+        assert made.columns[: len(docs.columns)] == docs.columns and len(set(made.columns)) == len(made.columns)
+        assert all(r[c] == r["x"] for r in made.collect() for c in extra), name
+        if name == "mixing":
+            assert {"mix_size", "mix_copy", "mix_target", "source_size"} <= set(made.columns)
+
+
+def test_run_leaves_its_input_and_its_last_tables_only(spark, sf):
+    from docweave.llm import _shared
+
+    before = _shared.mark()
+    made = corpus_pipeline.run(spark, sf)
+    assert made.count() > 0 and _shared.mark() - before < 12
