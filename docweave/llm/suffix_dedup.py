@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,8 @@ def anchored_runs(chunk: Chunk, min_len: int, gram: int) -> Iterator[tuple[np.nd
         i = j
 
 
-def _cut(chunk: Chunk, answers: list[bytes], min_len: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _cut(chunk: Chunk, answers: list[bytes], min_len: int, gram: int, buckets: int, every: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pieces of the runs that may repeat; with every, all occurrences are sent and none is told here."""
     parts, (known, hot) = [], known_keys(answers)
     for first, count, minimiser, rolling, base in anchored_runs(chunk, min_len, gram):
         key = keys_of(minimiser, buckets)
@@ -83,7 +85,7 @@ def _cut(chunk: Chunk, answers: list[bytes], min_len: int, gram: int, buckets: i
     number = equal_groups(chunk.raw, first, end, whole, order)
     _, lead, number = np.unique(number, return_index=True, return_inverse=True)
     # equal runs in a later document are told at once; those of the first document travel as occurrences
-    late = chunk.order_ids[doc] > chunk.order_ids[doc[lead[number]]]
+    late = (chunk.order_ids[doc] > chunk.order_ids[doc[lead[number]]]) & (not every)
     rows = []
     if late.any():
         spans = merged(first[late], end[late])
@@ -184,60 +186,147 @@ def repeat_groups(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_le
     return group, owner[member], at[member] - starts[owner[member]], np.repeat(depth, hi - lo)
 
 
-def _meet(numbers: list[int], kinds: list[int], pieces: list[bytes], min_len: int) -> Iterator[tuple[int, bytes]]:
+@dataclass
+class Groups:
+    """Maximal repeats of one bucket. Rows (group, text, offset, length) and, by text, the occurrences: chunk, document, place."""
+
+    group: np.ndarray
+    owner: np.ndarray
+    offset: np.ndarray
+    length: np.ndarray
+    chunk: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    by: np.ndarray
+    begin: np.ndarray
+    per: np.ndarray
+    text: np.ndarray
+    starts: np.ndarray
+
+    def occurrences(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, occurrence) of every occurrence of these rows' texts."""
+        owner = self.owner[rows]
+        return np.repeat(rows, self.per[owner]), self.by[ranges(self.begin[owner], self.per[owner])]
+
+
+def bucket_groups(sent: list[tuple[int, bytes]], min_len: int) -> Groups:
+    """The repeats among the texts that chunks sent, each text once with all its occurrences."""
     got, texts, chunk_of = [], [], []
-    for number, kind, piece in zip(numbers, kinds, pieces):
-        if kind == TOLD:
-            yield number, piece
-            continue
+    for number, piece in sent:
         arrays, text = unpack(piece, [np.int64, np.int32, np.uint16, np.bool_])
         got.append(arrays)
         texts.append(text)
         chunk_of.append(np.full(len(arrays[0]), number, np.int64))
-    if not got:
-        return
     doc, place, length, new = (np.concatenate(x) for x in zip(*got))
-    chunk, length = np.concatenate(chunk_of), length.astype(np.int64)
+    length = length.astype(np.int64)
     raw = b"".join(texts)
     text = np.frombuffer(raw, np.uint8)
-    sent = np.cumsum(new) - 1  # text of each occurrence
+    of = np.cumsum(new) - 1  # text of each occurrence
     ends = np.cumsum(length[new])
     starts = ends - length[new]
     # texts that several chunks sent are one text
     whole = Rolling(text).of(starts, ends)
     number = equal_groups(raw, starts, ends, whole, np.argsort(whole, kind="stable"))
     _, lead, number = np.unique(number, return_index=True, return_inverse=True)
-    starts, ends, of = starts[lead], ends[lead], number[sent]
-    first_doc = np.full(len(lead), np.iinfo(np.int64).max)
-    np.minimum.at(first_doc, of, doc)
+    starts, ends, of = starts[lead], ends[lead], number[of]
     group, owner, offset, depth = repeat_groups(text, starts, ends, min_len)
-    n_groups = int(group.max()) + 1 if len(group) else 0
-    smallest = np.full(n_groups, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, group, first_doc[owner])
-    # a text that occurs in several documents is a group of itself
-    owner = np.concatenate([owner, np.arange(len(lead))])
-    offset = np.concatenate([offset, np.zeros(len(lead), np.int64)])
-    depth = np.concatenate([depth, ends - starts])
-    smallest = np.concatenate([smallest[group], first_doc])
-    by = np.argsort(of, kind="stable")
+    # a leaf is a group of its own: the text itself, as often as it occurs
+    leaves = np.arange(len(lead))
+    n = int(group.max()) + 1 if len(group) else 0
+    group, owner = np.concatenate([group, n + leaves]), np.concatenate([owner, leaves])
+    offset, depth = np.concatenate([offset, np.zeros(len(lead), np.int64)]), np.concatenate([depth, ends - starts])
     per = np.bincount(of, minlength=len(lead))
-    begin = np.cumsum(per) - per
-    last_doc = np.zeros(len(lead), np.int64)
-    np.maximum.at(last_doc, of, doc)
-    some = last_doc[owner] > smallest
-    owner, offset, depth, smallest = owner[some], offset[some], depth[some], smallest[some]
-    hit = by[ranges(begin[owner], per[owner])]
-    row = np.repeat(np.arange(len(owner)), per[owner])
-    late = doc[hit] > smallest[row]
-    hit, row = hit[late], row[late]
-    to, start = chunk[hit], place[hit] + offset[row]
-    end = start + depth[row]
-    order = np.argsort(to, kind="stable")
-    cuts = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(order))
+    return Groups(group, owner, offset, depth, np.concatenate(chunk_of), doc, place, np.argsort(of, kind="stable"), np.cumsum(per) - per, per, text, starts)
+
+
+def by_chunk(chunk: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(chunk, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
     for a, z in zip(cuts[:-1], cuts[1:]):
-        own = order[a:z]
-        spans = merged(start[own], end[own])
-        yield int(to[own[0]]), pack([s.astype(np.int32) for s in spans], b"")
+        yield int(chunk[order[a]]), order[a:z]
+
+
+def extremes(groups: Groups, ufunc: np.ufunc, fill: int) -> np.ndarray:
+    """The least (or greatest) document of each group."""
+    of_text = np.full(len(groups.per), fill, np.int64)
+    text_of = np.repeat(np.arange(len(groups.per)), groups.per)
+    ufunc.at(of_text, text_of, groups.doc[groups.by])
+    out = np.full(int(groups.group.max()) + 1 if len(groups.group) else 0, fill, np.int64)
+    ufunc.at(out, groups.group, of_text[groups.owner])
+    return out
+
+
+NONE, ANY = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+
+def _meet(numbers: list[int], kinds: list[int], pieces: list[bytes], min_len: int) -> Iterator[tuple[int, bytes]]:
+    """To every chunk the spans of its occurrences whose group has one in a smaller document."""
+    sent = []
+    for number, kind, piece in zip(numbers, kinds, pieces):
+        if kind == TOLD:
+            yield number, piece
+        else:
+            sent.append((number, piece))
+    if not sent:
+        return
+    g = bucket_groups(sent, min_len)
+    least, most = extremes(g, np.minimum, NONE), extremes(g, np.maximum, ANY)
+    row, hit = g.occurrences(np.flatnonzero(least[g.group] < most[g.group]))
+    late = g.doc[hit] > least[g.group[row]]
+    row, hit = row[late], hit[late]
+    start = g.place[hit] + g.offset[row]
+    end = start + g.length[row]
+    for number, own in by_chunk(g.chunk[hit]):
+        yield number, pack([s.astype(np.int32) for s in merged(start[own], end[own])], b"")
+
+
+def _tell_groups(numbers: list[int], kinds: list[int], pieces: list[bytes], min_len: int) -> Iterator[tuple[int, bytes]]:
+    """To every chunk (key, start, length) of all occurrences of the groups that two documents or more share."""
+    g = bucket_groups(list(zip(numbers, pieces)), min_len)
+    at = g.starts[g.owner] + g.offset
+    key = Rolling(g.text).of(at, at + g.length)
+    row, hit = g.occurrences(np.flatnonzero((extremes(g, np.minimum, NONE) < extremes(g, np.maximum, ANY))[g.group]))
+    start = g.place[hit] + g.offset[row]
+    for number, own in by_chunk(g.chunk[hit]):
+        yield number, pack([key[row[own]], start[own].astype(np.int32), g.length[row[own]].astype(np.int32)], b"")
+
+
+def _answers(docs: DataFrame, id_col: str, text_col: str, min_len: int, gram: int, chunk_bytes: int, bucket_bytes: int, hot_runs: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The chunks of docs, and what the buckets answer them."""
+    chunks = make_chunks(docs, id_col, text_col, "suffixes", chunk_bytes)
+    buckets = n_buckets(chunks, bucket_bytes)
+
+    def runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        found = [(m, rolling.of(first, first + count + min_len - 1)) for first, count, m, rolling, _ in anchored_runs(chunk, min_len, gram)]
+        return tuple(np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*found) if found else ((), ())))
+
+    known = shared_minimisers(chunks, runs, buckets, hot_runs)
+    sent = answer_chunks(chunks, known, lambda c, got: _cut(c, got, min_len, gram, buckets, every), PIECES)
+    meet = _tell_groups if every else _meet
+    return chunks, gather(sent, buckets, lambda *a: meet(*a, min_len))
+
+
+def maximal_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, gram: int = GRAM,
+    chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS,
+) -> DataFrame:
+    """One row per occurrence of a maximal repeat: (group_key, id_col long, start, length), in bytes.
+
+    A group is a string of min_len bytes or more that two documents or more hold, with all its
+    occurrences, also several in one document; group_key is a hash of the string. A string longer
+    than 2 min_len - gram bytes is given by several groups that overlap. Null texts have none.
+    """
+    chunks, answers = _answers(docs, id_col, text_col, min_len, gram, chunk_bytes, bucket_bytes, hot_runs, every=True)
+
+    def tell(chunk: Chunk, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+        told = [unpack(piece, [np.uint64, np.int32, np.int32])[0] for piece in got]
+        key, start, length = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 2)
+        doc = np.searchsorted(chunk.ends, start, "right")
+        ids = pa.array(chunk.ids, pa.int64()).take(pa.array(doc))
+        columns = [pa.array(key.view(np.int64)), ids, pa.array(start - chunk.starts[doc]), pa.array(length.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["group_key", id_col, "start", "length"])
+
+    return answer_chunks(chunks, answers, tell, f"group_key long, {id_col} long, start long, length long").distinct()
 
 
 def dedup_substrings(
@@ -251,16 +340,7 @@ def dedup_substrings(
     removed runs. Null text counts as empty, shorter texts lose nothing, null ids come last and rows
     repeated under one id count as one document. An empty table gives no rows.
     """
-    chunks = make_chunks(docs, id_col, text_col, "suffixes", chunk_bytes)
-    buckets = n_buckets(chunks, bucket_bytes)
-
-    def runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        found = [(m, rolling.of(first, first + count + min_len - 1)) for first, count, m, rolling, _ in anchored_runs(chunk, min_len, gram)]
-        return tuple(np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*found) if found else ((), ())))
-
-    known = shared_minimisers(chunks, runs, buckets, hot_runs)
-    runs = answer_chunks(chunks, known, lambda c, got: _cut(c, got, min_len, gram, buckets), PIECES)
-    answers = gather(runs, buckets, lambda *a: _meet(*a, min_len))
+    chunks, answers = _answers(docs, id_col, text_col, min_len, gram, chunk_bytes, bucket_bytes, hot_runs, every=False)
 
     def tell(chunk: Chunk, got: list[bytes]) -> Iterator[pa.RecordBatch]:
         edge = np.zeros(len(chunk.raw) + 1, np.int32)

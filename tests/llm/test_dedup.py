@@ -11,7 +11,7 @@ from docweave.llm import simhash, suffix_dedup
 from docweave.llm.exact_dedup import exact_dedup, exact_groups
 from docweave.llm.simhash import components, fingerprint, near_groups, near_links
 from docweave.llm.substring_dedup import dedup_windows
-from docweave.llm.suffix_dedup import dedup_substrings
+from docweave.llm.suffix_dedup import maximal_repeats, dedup_substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, keep_id long, rank int, chunk string, fp string, id long"
 
@@ -120,6 +120,27 @@ def test_substrings(docs, chunk, bucket, hot):
     assert sorted(got, key=str) == sorted(brute_substrings(corpus()), key=str)
 
 
+@pytest.mark.parametrize("chunk,hot", [(4 << 20, 1 << 14), (2000, 2)])
+def test_maximal_repeats_give_all_occurrences(docs, chunk, hot):
+    """Every group lists exactly the places where its string stands, and together they cover what two documents share."""
+    rows = [(r[0], (r[1] or "").encode()) for r in corpus() if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())
+    spark = docs.sparkSession
+    made = maximal_repeats(spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").repartition(3), chunk_bytes=chunk, bucket_bytes=500, hot_runs=hot)
+    groups, text, covered = {}, dict(rows), set()
+    for r in made.collect():
+        groups.setdefault((text[r["doc_id"]][r["start"] : r["start"] + r["length"]], r["group_key"]), set()).add((r["doc_id"], r["start"]))
+    for (string, _), places in groups.items():
+        want = {(i, at) for i, t in rows for at in range(len(t) - len(string) + 1) if t.startswith(string, at)}
+        assert places == want and len({i for i, _ in places}) > 1 and len(string) >= 50
+        covered |= {(i, at + k) for i, at in places for k in range(len(string) - 49)}
+    held = {}
+    for i, t in rows:
+        for at in range(len(t) - 49):
+            held.setdefault(t[at : at + 50], set()).add((i, at))
+    assert covered == {p for places in held.values() if len({i for i, _ in places}) > 1 for p in places}
+
+
 def test_empty_tables(none):
     assert dedup_windows(none).count() == dedup_substrings(none).count() == near_groups(none).count() == 0
 
