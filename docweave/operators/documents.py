@@ -340,6 +340,11 @@ def page_parts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     })
 
 
+def path_of(url: Column) -> Column:
+    """The path of an address, whatever follows it; empty without one."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
 def first_family(text: Column, families: tuple[tuple[str, tuple[str, ...]], ...], otherwise: Column) -> Column:
     out = F
     for name, words in families:
@@ -349,7 +354,7 @@ def first_family(text: Column, families: tuple[tuple[str, tuple[str, ...]], ...]
 
 def page_type(url: Column, title: Column, headings: Column, text: Column) -> Column:
     whole = F.lower(F.concat_ws(" ", url, title, F.array_join(F.slice(headings, 1, 5), " "), F.substring(text, 1, 500)))
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "^/+|/+$", "")
+    path = F.regexp_replace(path_of(url), "^/+|/+$", "")
     return first_family(whole, PAGE_TYPES, F.when(path.isin("", "index.html"), "home").otherwise("other"))
 
 
@@ -366,7 +371,7 @@ def normal_url(url: Column) -> Column:
 
 def url_priority(url: Column, depth: Column) -> Column:
     """Crawl priority, lower first: skipped 999, home 0, the first keyword of the first segment with one, else 4; and depth."""
-    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    path = F.lower(path_of(url))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def of(segment: Column) -> Column:

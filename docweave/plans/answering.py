@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweave.operators import answering as A
 from docweave.operators import graph as G
 from docweave.operators import retrieval as R
-from docweave.plans.retrieval import _BM25, _HEAD, PROBES, probes, user_chunks
+from docweave.plans.retrieval import _BM25, _HEAD, _USER, PROBE_SQL, PROBES, probes, user_chunks
 from docweave.plans.views import CHUNKS, EDGES, LOG, chat_log, chunks, kg_edges, table
 
 #: Beginnings that make the users' turns ask for something; the turn's number picks one.
@@ -221,6 +221,13 @@ f as (select *, row_number() over (partition by query_id order by s desc, chunk_
 t as (select query_id, chunk_id, before, list_distinct({_TOK.format('substring(query, 1, 300)')}) as a, {_TOK.format('substring(text, 1, 600)')} as b from f join probes using (query_id) join seen using (chunk_id)),
 s as (select *, round(len(list_intersect(a, b)) / cast(greatest(len(a), 1) as double), 9) as score from t)
 select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, before) as rank from s) where rank <= 10""",
+    "multi_hop_search": f"""with {CHUNKS}, {PROBE_SQL.replace('probes(', 'asked_whole(')}, cut as (select query_id, {_PARTS.replace('(q,', '(query,')}[1:3] as ps from asked_whole),
+probes as (select query_id * 10 + generate_subscripts(ps, 1) as query_id, unnest(ps) as query from cut), {_USER}, {_BM25},
+t as (select query_id, chunk_id, doc_key, rank as before, list_distinct({_TOK.format('substring(query, 1, 300)')}) as a, {_TOK.format('substring(text, 1, 600)')} as b
+  from lex_ranked join probes using (query_id) join (select chunk_id, text from seen) using (chunk_id) where rank <= 20),
+s as (select query_id, chunk_id, doc_key, before, round(len(list_intersect(a, b)) / cast(greatest(len(a), 1) as double), 9) as score from t),
+best as (select query_id // 10 as query_id, chunk_id, doc_key, max(score) as score from (select * from s qualify row_number() over (partition by query_id order by score desc, before) <= 10) group by all)
+select * from (select query_id, chunk_id, doc_key, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from best) where rank <= 10""",
     "confidence_probes": f"""{_HEAD}, {EDGES}, nodes as (select from_node as name from raw_edges union select to_node from raw_edges),
 rag as (select query_id, max(score) as rag from vec group by 1),
 g as (select p.query_id, case when p.query_id <= 3 then (select count(*) from nodes where name in ('supplier:1', 'part:' || p.query_id)) / cast(3 as double)

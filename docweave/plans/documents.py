@@ -213,7 +213,17 @@ QUERIES = {
         page_changes, due_sources, after_run, document_types, source_register,
     )
 }
+_FAMILIES = " ".join(f"when regexp_matches(x, '{words}') then {score}" for score, words in D.URL_PRIORITY)
 ORACLES = {
+    "url_priority": f"""with u as (select page_id, url || ['', '/about-us#top', '/blog/1', '/x.pdf', '/team/'][page_id % 5 + 1] as url from pages),
+s as (select *, list_filter(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') as seg from u),
+k as (select *, list_filter(list_transform(seg, lambda x: case {_FAMILIES} end), lambda x: x is not null) as known from s)
+select page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') as url,
+  case when regexp_matches(url, '{D.SKIP_URL}') then 999 when len(known) > 0 then known[1] + 2 when len(seg) = 0 then 0 else 6 end as priority from k""",
+    "page_links": r"""with h as (select url, regexp_extract(url, '^(https?://[^/]+)', 1) as host, regexp_extract_all(html, '(?i)<a\s+href="([^"#]+)"', 1) as l from pages),
+e as (select url, host, unnest(l) as a, generate_subscripts(l, 1) as pos from h), r as (select url, host, case when starts_with(a, '/') then host || a else a end as link, pos from e),
+f as (select url, link, min(pos) as pos from r where starts_with(link, host) group by 1, 2)
+select url, cast(n - 1 as int) as n, link from (select url, link, row_number() over (partition by url order by pos) as n from f) where n <= 100""",
     "document_types": f"""with d as (select lower(source || ['.pdf', '_invoice.txt', '.xyz'][doc_id % 3 + 1]) as f, lower(coalesce(text, '')) as t from documents)
 select case {" ".join(f"when regexp_matches({c}, '{'|'.join(ps)}') then '{k}'" for c in ("f", "t") for k, ps in D.DOCUMENT_TYPES)} when f like '%.pdf' then 'PDF Document' when f like '%.txt' then 'Text Document' else 'Document' end as doc_type, count(*) as n from d group by 1""",
     "source_register": """select s_suppkey as source_id, 'u' || s_suppkey as url, 'web' as source_type, case when s_suppkey % 4 = 0 then 'high' else 'low' end as priority, case when s_suppkey % 4 = 0 then 'active' else 'paused' end as status from supplier

@@ -34,7 +34,7 @@ def stored_rules(spark, sf_dir):
 
 
 def rate_limited(spark, sf_dir):
-    """Admissions of 3 requests an hour per user; a fold, so it has no SQL."""
+    """Admissions of 3 requests an hour per user."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("request_id"), F.col("ts"), F.lit("user").alias("role"))
     return S.admitted(e, 3, 3600)
 
@@ -61,7 +61,13 @@ _ASKED = f"asked as (select conv_id, turn, role, [{', '.join(repr(p) for p in PR
 _TYPES = "list_filter([" + ", ".join(f"case when f{i} then '{n}' end" for i, (n, _) in enumerate(S.PII)) + "], lambda x: x is not null)"
 
 QUERIES = {f.__name__: f for f in (security_analysis, stored_rules, rate_limited, pii_counts)}
+_HELD = "list_filter(f.held, lambda x: o.s - x < 3600)"
 ORACLES = {
+    "rate_limited": f"""with recursive o as (select user_id, event_id, epoch_us(ts) / 1e6 as s, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select user_id, event_id, n, [s] as held, true as allowed, 0 as retry_after from o where n = 1
+  union all select o.user_id, o.event_id, o.n, case when len({_HELD}) < 3 then list_append({_HELD}, o.s) else {_HELD} end, len({_HELD}) < 3,
+    case when len({_HELD}) < 3 then 0 else cast(floor(3600 - (o.s - ({_HELD})[1])) as int) + 1 end from f join o on o.user_id = f.user_id and o.n = f.n + 1)
+select user_id, event_id as request_id, allowed, retry_after from f""",
     "security_analysis": f"""with {_ASKED}, m as ({_masked('asked', 'query')}),
 h as (select *, {_any('query', S.INJECTION)} as i, {_any('query', S.LEAKAGE)} as l, {_any('query', S.SCRAPING)} as s, {_TYPES} as types from m),
 t as (select *, case when i then 'prompt_injection' when l then 'data_leakage' when s then 'scraping' end as threat, case when i or l then 'high' when s then 'medium' else 'none' end as severity,
