@@ -37,7 +37,20 @@ select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_r
 from words left join left_over using (doc_id)
 """
 
+OP6 = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (select r, doc_id, p, substring(h, 2 * p + 1, 100) as s from (select r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) as p from d where length(h) >= 100)),
+firsts as (select s, min(doc_id) as least from windows group by s),
+late as (select r, p, lag(p) over (partition by r order by p) as before from windows join firsts using (s) where doc_id > least),
+runs as (select r, p, sum(case when p - before <= 50 then 0 else 1 end) over (partition by r order by p) as g from late),
+spans as (select r, min(p) as a, max(p) + 50 as z from runs group by r, g),
+gaps as (select *, coalesce(lag(z) over (partition by r order by a), 0) as y from spans),
+kept as (select r, count(*) as n, sum(z - a) as gone, string_agg(substring(h, 2 * y + 1, 2 * (a - y)), '' order by a) || substring(any_value(h), 2 * max(z) + 1) as t from gaps join d using (r) group by r)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans, sha256(unhex(coalesce(t, h))) as kept_sha256 from d left join kept using (r)
+"""
+
 ORACLES = {
+    "op6_suffix_dedup": OP6,
     "op2_substring_dedup": OP2,
     "op7_chat_format": OP7,
     "op9_exact_dedup": OP9,
