@@ -202,10 +202,10 @@ def test_error_log(spark, tmp_path):
 
 
 def test_last_entry_of_a_feed_counts(spark):
-    known = spark.createDataFrame([(1, "a", 5)], "item_id long, name string, size long").withColumn("modified", F.to_timestamp(F.lit("2024-01-01")))
-    feed = [(1, 1, "b", False, False, 6), (1, 2, "c", False, False, 7), (2, 1, "n", False, False, 1), (2, 3, "n", True, False, 1)]
+    known = spark.createDataFrame([(1, "a.pdf", 5)], "item_id long, name string, size long").withColumn("modified", F.to_timestamp(F.lit("2024-01-01")))
+    feed = [(1, 1, "b.pdf", False, False, 6), (1, 2, "c.pdf", False, False, 7), (2, 1, "n.pdf", False, False, 1), (2, 3, "n.pdf", True, False, 1)]
     delta = spark.createDataFrame(feed, "item_id long, seq int, name string, deleted boolean, is_folder boolean, size long").withColumn("modified", F.to_timestamp(F.lit("2024-02-01")))
-    assert [(r["item_id"], r["name"]) for r in cdc.apply_delta(known, delta, "seq").collect()] == [(1, "c")]
+    assert [(r["item_id"], r["name"]) for r in cdc.apply_delta(known, delta, "seq").collect()] == [(1, "c.pdf")]
 
 
 def test_sources_are_controlled_and_dispatched(spark):
