@@ -180,15 +180,16 @@ def _stars(buckets: DataFrame, similarity: float, radius: int) -> DataFrame:
 
 
 class Sets:
-    """Union-find over the numbers below n."""
+    """Union-find over numbers."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
+        up = self.up
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
         return i
 
     def join(self, i: int, j: int) -> bool:
@@ -225,15 +226,18 @@ def _ties(buckets: DataFrame, labels: DataFrame, similarity: float, radius: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: set[tuple[int, int]] = set()
+        tied = Sets()  # components that earlier buckets of this task have tied are not compared again
         for _, rows in sorted_groups(batches, ["h1", "h2"]):
             rep, size, fp, own = (rows[c].to_numpy() for c in ("rep", "size", "fp", "component"))
             if (own == own[0]).all():
                 continue
-            _, number = np.unique(own, return_inverse=True)
-            sets = Sets(int(number.max()) + 1)
+            kinds, number = np.unique(own, return_inverse=True)
+            own = np.array([tied.find(k) for k in kinds.tolist()], np.int64)[number]
+            if (own == own[0]).all():
+                continue
             for i, places in apart(own, size, fp, similarity, radius):
-                _, first = np.unique(number[places], return_index=True)
-                edges |= {(int(rep[i]), int(rep[j])) for j in places[first].tolist() if sets.join(int(number[i]), int(number[j]))}
+                _, first = np.unique(own[places], return_index=True)
+                edges |= {(int(rep[i]), int(rep[j])) for j in places[first].tolist() if tied.join(int(own[i]), int(own[j]))}
             if len(edges) > PAIRS:
                 yield edges_of(sorted(edges))
                 edges = set()
@@ -256,8 +260,7 @@ def _family_links(members: DataFrame, similarity: float, radius: int, shingle: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), rows in sorted_groups(batches, keys):
             rep, size, fp, own, mine = (rows[c].to_numpy() for c in ("rep", "size", "fp", "component", "mine"))
-            _, number = np.unique(own, return_inverse=True)
-            joined, found = Sets(int(number.max()) + 1), []
+            joined, found, number = Sets(), [], own.tolist()
             texts = rows["text"].cast(pa.binary()).to_pylist()
             shingles: dict[int, np.ndarray] = {}
 
