@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm import ball_kmeans, bpe, chat_repair
 from docweave.llm.chat_format import chat_format, digest
 from docweave.llm.decontaminate import find_leaks
 from docweave.llm.exact_dedup import exact_groups
@@ -70,6 +71,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the driver alone needs the file
+
+    tokenizer = bpe.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
+    return bpe.digest(bpe.decode_ids(coded, tokenizer))
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat_repair.digest(chat_repair.repair(chat_repair.damage(turns)), turns)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.digest(*ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_bpe_tokens": op11_bpe_tokens,
+    "op12_chat_repair": op12_chat_repair,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
