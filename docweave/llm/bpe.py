@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,7 +37,9 @@ from docweave.llm._shared import slices
 #: Texts of about so many bytes are encoded before their ids leave the worker.
 PIECE = 8 << 20
 #: Entries of a worker's tables of known words and transitions; a full table begins anew.
-KNOWN, ARCS = 300_000, 1_000_000
+KNOWN, ARCS = 400_000, 1_000_000
+#: Symbols of a token; a longer rest of a word is not looked up as one.
+LONGEST = 256
 #: A decoded batch holds about so many ids.
 IDS = 1 << 20
 
@@ -58,17 +61,32 @@ class Automaton:
         self._target, self._left, self._born = self.target.tolist(), self.left.tolist(), self.born.tolist()
         self._arcs: dict[int, bool] = {}
         self._lacking: dict[int, dict[int, int]] = {}
-        self._trie: dict = {}  # symbol -> node; "" -> token that ends here inside a word, None -> at its end
-        for token, label in enumerate(self.labels):
-            if self._target[token] >= 0:
-                ends = bool(self.suffix) and label.endswith(self.suffix)
-                node = self._trie
-                for c in label.removesuffix(self.suffix) if ends else label:
+        self._tries: tuple[dict, dict, list[int]] | None = None
+
+    def tries(self) -> tuple[dict, dict, list[int]]:
+        """Tries of the tokens inside words and of whole labels at their ends, and of each token the next shorter one it begins with.
+
+        A node leads from symbols to nodes, and from "" to the longest token that is a prefix of it.
+        """
+        if self._tries is None:
+            inner: dict = {}
+            final: dict[str, int] = {}
+            short = [-1] * len(self.labels)
+            # by length, so that a label's prefixes are there before it
+            for token in sorted((t for t in range(len(self.labels)) if self._target[t] >= 0), key=lambda t: len(self.labels[t])):
+                label = self.labels[token]
+                if self.suffix and label.endswith(self.suffix):
+                    final[label.removesuffix(self.suffix)] = token
+                    continue
+                if not self.suffix:
+                    final[label] = token
+                node, best = inner, -1
+                for c in label:
+                    best = node.get("", best)
                     node = node.setdefault(c, {})
-                if not ends:
-                    node[""] = token
-                if ends or not self.suffix:
-                    node[None] = token
+                short[token], node[""] = best, token
+            self._tries = inner, final, short
+        return self._tries
 
     def __getstate__(self) -> dict[str, Any]:
         return {k: v for k, v in vars(self).items() if not k.startswith("_")}
@@ -95,49 +113,54 @@ class Automaton:
         """Ids of a word of symbols, by transitions from the initial state.
 
         A prefix has one accepted tokenization, so a position is reached in one state; where no transition leads
-        on from it, the longest one before it was wrong and the next is taken. A position is left for good once.
+        on from it, the longest one before it was wrong and the next shorter is taken. A position is left for good once.
         """
+        inner, final, short = self._tries or self.tries()
+        if (token := final.get(word)) is not None:
+            return [token]  # a transition from the initial state, which lacks no arc
         n, arcs, target = len(word), self._arcs, self._target
         out: list[int] = []
-        open_: list[tuple[int, int, list[tuple[int, int]]]] = []  # position, state, transitions not yet tried
+        path: list[tuple[int, int]] = []  # positions and states before the tokens of out
         dead: set[int] = set()
         at = state = 0
         while at < n:
-            node, ahead = self._trie, []
-            for j in range(at, n):
-                if (node := node.get(word[j])) is None:
-                    break
-                if "" in node and j < n - 1:
-                    ahead.append((j + 1, node[""]))
-            else:
-                if None in node:
-                    ahead.append((n, node[None]))
+            # the rest of the word as one token, else the longest token that it begins with
+            token = final.get(word[at:], -1) if n - at <= LONGEST else -1
+            end = n
+            if token < 0 or not ((known := arcs.get(state << 32 | token)) or known is None and self.arc(state, token)):
+                node, token, j = inner, -1, at
+                while j < n - 1 and (node := node.get(word[j])) is not None:
+                    j += 1
+                    if (found := node.get("")) is not None:
+                        token, end = found, j
             while True:
-                while ahead:
-                    end, token = ahead.pop()
+                while token >= 0:
                     if end not in dead and ((known := arcs.get(state << 32 | token)) or known is None and self.arc(state, token)):
                         break
-                else:
-                    if not open_:
-                        raise ValueError(f"the vocabulary has no symbol for part of {word!r}")
-                    dead.add(at)
-                    out.pop()
-                    at, state, ahead = open_.pop()
-                    continue
-                break
-            open_.append((at, state, ahead))
+                    token = short[token]
+                    if token >= 0:
+                        end = at + len(self.labels[token])
+                if token >= 0:
+                    break
+                if not path:
+                    raise ValueError(f"the vocabulary has no symbol for part of {word!r}")
+                dead.add(at)
+                at, state = path.pop()
+                token = short[out.pop()]
+                end = at + len(self.labels[token]) if token >= 0 else at
+            path.append((at, state))
             out.append(token)
             at, state = end, target[token]
         return out
 
 
-def keep(known: dict[str, tuple[int, ...]], text: str, ids: list[int]) -> Sequence[int]:
-    if len(text) > 64:
-        return ids
-    if len(known) >= KNOWN:
-        known.clear()
-    found = known[text] = tuple(ids)
-    return found
+def keep(known: dict[str, bytes], text: str, ids: bytes) -> bytes:
+    """Put ids into a table of known texts, unless the text is long, and return them."""
+    if len(text) <= 64:
+        if len(known) >= KNOWN:
+            known.clear()
+        known[text] = ids
+    return ids
 
 
 def has_arc(lacking: dict[int, int], token: int, left: list[int], born: list[int]) -> bool:
@@ -211,12 +234,13 @@ class Tokenizer:
     joined: bool  # tokens are joined by one space, else their bytes are one text
 
     def __post_init__(self) -> None:
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._known_words: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
+        self._known_words: dict[str, bytes] = {}
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = {token: label for label, token in self.special.items()}
-        self._labels = [names.get(i, label) for i, label in enumerate(self.automaton.labels)]
-        self._labels += [names.get(i, "") for i in range(len(self._labels), max(names, default=-1) + 1)]
+        labels = [names.get(i, label) for i, label in enumerate(self.automaton.labels)]
+        labels += [names.get(i, "") for i in range(len(labels), max(names, default=-1) + 1)]
+        self._labels, self._special_ids = np.array(labels, object), set(names)
 
     def __getstate__(self) -> dict[str, Any]:
         return {k: v for k, v in vars(self).items() if not k.startswith("_")}
@@ -235,35 +259,40 @@ class Tokenizer:
 
     def ids(self, text: str) -> list[int]:
         """All ids of a text."""
-        out: list[int] = []
-        known = self._known
+        return array("i", self.packed(text)).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """All ids of a text as 32-bit integers."""
+        out: list[bytes] = []
         for part in self._specials.split(text) if self._specials else [text]:
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            if not self.by_chunk:
-                for word in self.words(part):
-                    out += self._word(word)
-                continue
-            # str.split also cuts at four control characters that Unicode does not count as white space
-            for chunk in SPACE.split(part) if CONTROL.search(part) else part.split():
-                if (ids := known.get(chunk)) is None:
-                    ids = keep(known, chunk, [i for word in self.words(chunk) for i in self._word(word)])
-                out += ids
-        return out
+                out.append(array("i", [self.special[part]]).tobytes())
+            elif self.by_chunk:
+                # str.split also cuts at four control characters that Unicode does not count as white space
+                chunks = SPACE.split(part) if CONTROL.search(part) else part.split()
+                found = list(map(self._known.get, chunks))
+                if None in found:
+                    found = [self._chunk(c) if ids is None else ids for c, ids in zip(chunks, found)]
+                out += found
+            else:
+                out += map(self._word, self.words(part))
+        return b"".join(out)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return keep(self._known, chunk, b"".join(map(self._word, self.words(chunk))))
 
-    def _word(self, word: str) -> Sequence[int]:
+    def _word(self, word: str) -> bytes:
         if (ids := self._known_words.get(word)) is None:
-            ids = keep(self._known_words, word, self.automaton.encode(word))
+            ids = keep(self._known_words, word, array("i", self.automaton.encode(word)).tobytes())
         return ids
 
-    def text(self, ids: list[int]) -> str:
+    def text(self, ids: Sequence[int] | np.ndarray) -> str:
         """The labels of the arcs, as the file's decoder joins them."""
-        labels = self._labels
+        labels = self._labels[np.asarray(ids, np.int64)].tolist()
         if self.joined:
-            return " ".join([labels[i] for i in ids])
+            return " ".join(labels)
         table = byte_of_symbol()
-        return bytes(b for i in ids for b in ([table[c] for c in labels[i]] if i not in self.special.values() else labels[i].encode())).decode(errors="replace")
+        return bytes(b for i, label in zip(ids, labels) for b in (label.encode() if i in self._special_ids else [table[c] for c in label])).decode(errors="replace")
 
 
 #: The pattern that word tokenizer files cut words by. Fixed value.
@@ -314,27 +343,30 @@ def load_tokenizer(path: str) -> Tokenizer:
     return Tokenizer(automaton, {t["content"]: t["id"] for t in added}, library.normalizer, library.pre_tokenizer, by_chunk, decoder is None)
 
 
-def encode_texts(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """The rows and columns of docs, and their texts' ids as an array of integers.
+def encode_texts(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """The rows and columns of docs, and their texts' ids as an array of integers; with decoded_col also what the ids decode to.
 
     Null and empty texts give an empty array; texts of any length are encoded whole; rows are independent, so
     repeated rows and ids do not matter, an empty table gives an empty result, and other columns stay as they
-    are. A column that has the name of ids_col is replaced.
+    are. A column that has the name of ids_col or decoded_col is replaced.
     """
-    kept = [f for f in docs.schema.fields if f.name != ids_col]
-    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    added = {ids_col: T.ArrayType(T.IntegerType())} | ({decoded_col: T.StringType()} if decoded_col else {})
+    kept = [f for f in docs.schema.fields if f.name not in added]
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for batch in batches:
             for piece, texts in slices(batch, text_col, PIECE):
-                found = [np.array(coder.ids(t.decode("utf-8", "replace")), np.int32) for t in texts]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*piece.columns, column], names=[*piece.schema.names, ids_col])
+                packed = [coder.packed(t.decode("utf-8", "replace")) for t in texts]
+                ends = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
+                ids = np.frombuffer(b"".join(packed), np.int32)
+                columns = [*piece.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                if decoded_col:
+                    columns.append(pa.array([coder.text(ids[a:z]) for a, z in zip(ends, ends[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, *added])
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, T.StructType([*kept, *[T.StructField(n, t) for n, t in added.items()]]))
 
 
 def decode_ids(rows: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -351,13 +383,13 @@ def decode_ids(rows: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text
         size = len(coder._labels)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            lengths = [n or 0 for n in pc.list_value_length(batch.column(at)).to_pylist()]
+            lengths = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
             start = held = 0
             for i, n in enumerate([*lengths, IDS]):
                 if held and held + n > IDS or i == len(lengths):
                     piece = batch.slice(start, i - start)
-                    texts = [coder.text([x for x in ids or () if x is not None and 0 <= x < size]) for ids in piece.column(at).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=[*piece.schema.names, text_col])
+                    known = [np.array([x for x in ids or () if x is not None and 0 <= x < size], np.int32) for ids in piece.column(at).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(map(coder.text, known), pa.string())], names=[*piece.schema.names, text_col])
                     start, held = i, 0
                 held += n
 

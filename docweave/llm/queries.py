@@ -75,8 +75,7 @@ def op11_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the driver alone needs the file
 
     tokenizer = bpe.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
-    return bpe.digest(bpe.decode_ids(coded, tokenizer))
+    return bpe.digest(bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, decoded_col="decoded"))
 
 
 def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
