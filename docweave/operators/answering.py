@@ -12,19 +12,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.operators import retrieval as R
+from docweave.operators.containment import contained
 
 # fixed values: phrases by which a text says that it is public
 PUBLIC_SIGNALS = ("public release", "press release", "for immediate release", "open source", "publicly available")
 # fixed values: what makes a question need the graph or the calculator (the latter in lower case only)
-NEEDS_GRAPH = r"(?i)\b(when|date|start|end|expir|relationship|connect|link|associat|contract.?number|agree|issu|compan|organiz|provider|vendor|amount|price|cost|value)\b"
-NEEDS_CALCULATOR = r"(\bcalculat|\bhow\s+much|\btotal|\bsum\b|\baverage|\bpercent|\d+\s*[\+\-\*\/])"
+NEEDS_GRAPH = r"(?iU)\b(when|date|start|end|expir|relationship|connect|link|associat|contract.?number|agree|issu|compan|organiz|provider|vendor|amount|price|cost|value)\b"
+NEEDS_CALCULATOR = r"(?U)(\bcalculat|\bhow\s+much|\btotal|\bsum\b|\baverage|\bpercent|\d+\s*[\+\-\*\/])"
+# fixed values: what sends a question to the graph, in lower case
 GRAPH_TRIGGERS = (
     r"\bwhen\b", r"\bdate\b", r"\bstart\b", r"\bend\b", r"\bexpir", r"\brelationship\b", r"\bconnect", r"\blink\b", r"\bassociat", r"\bcontract\s*number\b",
     r"\bagree", r"\bissu", r"\bcompan", r"\borganiz", r"\bprovider\b", r"\bvendor\b", r"\bamount\b", r"\bprice\b", r"\bcost\b", r"\bvalue\b",
     r"\band\b.*\bdate\b", r"\band\b.*\bnumber\b",
 )
+# fixed values: what asks for a comparison
 COMPARES = (
-    r"(?i)\b(?:compare|contrast|difference|similar|both|between|versus|vs\.?|across\s+(?:documents?|files?)|multiple\s+(?:documents?|files?)|"
+    r"(?iU)\b(?:compare|contrast|difference|similar|both|between|versus|vs\.?|across\s+(?:documents?|files?)|multiple\s+(?:documents?|files?)|"
     r"from\s+(?:both|all|different)\s+(?:documents?|files?))\b"
 )
 # fixed values: words that tell what a question is about
@@ -40,17 +43,18 @@ INTENTS = {
 }
 # fixed values: requests of administrators, and what the assistant does not answer
 FILE_LIST = (
-    r"(?i)\b(list|show|display|what|which|all|get|give|tell).{0,30}(file|document|upload|doc)s?\b|\b(uploaded|available)\s+(file|document|doc)s?\b|\bfile\s*(list|name)s?\b"
+    r"(?iU)\b(list|show|display|what|which|all|get|give|tell).{0,30}(file|document|upload|doc)s?\b|\b(uploaded|available)\s+(file|document|doc)s?\b|\bfile\s*(list|name)s?\b"
 )
 DOCUMENT_READ = (
-    r"(?i)\b(show|display|read|print|give|fetch|get)\b.{0,50}\.(pdf|xml|txt|docx|json|csv|html|pptx|md)\b|whole\s+document|entire\s+document|every\s+line|as\s+it\s+is|full\s+content"
+    r"(?iU)\b(show|display|read|print|give|fetch|get)\b.{0,50}\.(pdf|xml|txt|docx|json|csv|html|pptx|md)\b|whole\s+document|entire\s+document|every\s+line|as\s+it\s+is|full\s+content"
     r"|contents?\s+of\s+\w"
 )
 LOG_VIEW = (
-    r"(?i)\b(error|system|access|recent|latest|last|show|get)\s+(log|error|warning)s?\b|\blog\s+(entry|entries|file)\b|\b(what|show|get|access)\s+.{0,20}log\b"
+    r"(?iU)\b(error|system|access|recent|latest|last|show|get)\s+(log|error|warning)s?\b|\blog\s+(entry|entries|file)\b|\b(what|show|get|access)\s+.{0,20}log\b"
 )
 SECRET_TERMS = ("password", "api key", "secret", "access token", "private key", "jwt")
 DANGEROUS_TERMS = ("drop database", "delete all", "wipe data", "bypass auth")
+# fixed values: an arithmetic expression in a question
 EXPRESSION = r"(\d[\d\s\+\-\*\/\.\(\)%]{1,50}\d)"
 
 
@@ -140,7 +144,7 @@ def graph_confidence(asked: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def question_parts(question: Column) -> Column:
     """Up to three parts of a question, cut at question marks, "and", semicolons and line ends; the question where nothing is left."""
-    parts = F.filter(F.transform(F.split(question, r"(?i)\?|\band\b|;|\n"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(question, r"(?iU)\?|\band\b|;|\n"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) == 0, F.array(question)).otherwise(F.slice(parts, 1, 3))
 
 
@@ -148,7 +152,7 @@ def query_flags(query: Column) -> dict[str, Column]:
     """What a question needs: graph, calculator, graph triggers, comparison."""
     return {
         "needs_graph": query.rlike(NEEDS_GRAPH), "needs_calculator": query.rlike(NEEDS_CALCULATOR),
-        "graph_trigger": R.any_of([F.lower(query).rlike(p) for p in GRAPH_TRIGGERS]), "compares": query.rlike(COMPARES),
+        "graph_trigger": R.any_of([F.lower(query).rlike("(?U)" + p) for p in GRAPH_TRIGGERS]), "compares": query.rlike(COMPARES),
     }
 
 
@@ -231,13 +235,14 @@ def labelled_context(ranked: DataFrame, per_document: int = 5) -> DataFrame:
 def mentioned_in_comparison(queries: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
     """(query_id, doc_key): files one of whose stem's words (of three characters or more) stands inside the query.
 
-    A word stands inside a query if it is a piece of one of its words or of several in a row; the
-    names are a file list, so they are joined by containment.
+    A word stands inside a query if it is a piece of one of its words or of several in a row. Words
+    meet the queries through their rarest pieces; a word that all queries hold gives all its rows, as it must.
     """
     stem = F.regexp_replace(F.lower("doc_key"), r"\.[^.]+$", "")
     words = names.select("doc_key", F.explode(F.array_distinct(F.split(stem, r"[\s_\-./\\]+"))).alias("word")).where(F.length("word") >= least)
-    asked = queries.select("query_id", F.lower("query").alias("q"))
-    return asked.join(words, F.contains(asked["q"], words["word"])).select("query_id", "doc_key").distinct()
+    asked = queries.select(F.col("query_id").alias("long_id"), F.lower("query").alias("t"))
+    found = contained(words.select(F.col("word").alias("short_id"), F.col("word").alias("s")).distinct(), asked)
+    return found.join(words, F.col("short_id") == F.col("word")).select(F.col("long_id").alias("query_id"), "doc_key").distinct()
 
 
 def similar_before(log: DataFrame, last: int = 10, shared: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.operators.containment import contained
+
 SENTENCE_END = r"(?<=[.!?])\s+"
 # fixed values: requests for more than a passage, read in lower case
 EXFILTRATION = (
@@ -60,18 +62,20 @@ def mentioned_files(queries: DataFrame, names: DataFrame, least: float = 0.4) ->
     """(query_id, doc_key, score): the file name that a query mentions best.
 
     The stem inside the query scores 1, otherwise the share of its words that the query has, two at
-    least unless it is one word. Word matches go through an equi-join on the words; whole stems are
-    found among the files that share their first word with the query.
+    least unless it is one word. Word matches go through an equi-join on the words, stems through a
+    containment join, so names without a word of three characters are found too.
     """
     words = F.filter(F.array_distinct(F.split(F.lower("query"), r"[\s_\-./\\]+")), lambda w: F.length(w) >= 3)
-    asked = queries.select("query_id", F.lower("query").alias("q"), F.explode(words).alias("word"))
-    stem = F.regexp_replace(F.lower("doc_key"), r"\.[^.]+$", "")
-    of = names.select("doc_key", stem.alias("stem"), F.size(stem_words(F.col("doc_key"))).alias("n"), F.explode(stem_words(F.col("doc_key"))).alias("word"))
-    hits = asked.join(of, "word").groupBy("query_id", "q", "doc_key", "stem", "n").agg(F.count("*").alias("k"))
+    asked = queries.select("query_id", F.explode(words).alias("word"))
+    of = names.select("doc_key", F.size(stem_words(F.col("doc_key"))).alias("n"), F.explode(stem_words(F.col("doc_key"))).alias("word"))
+    hits = asked.join(of, "word").groupBy("query_id", "doc_key", "n").agg(F.count("*").alias("k"))
     share = F.when((F.col("k") < 2) & (F.col("n") > 1), 0.0).otherwise(F.col("k") / F.col("n"))
-    scored = hits.select("query_id", "doc_key", F.when(F.contains("q", F.col("stem")), 1.0).otherwise(share).alias("score")).where(F.col("score") >= least)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_key")
-    return scored.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    stem = F.regexp_replace(F.lower("doc_key"), r"\.[^.]+$", "")
+    inside = contained(names.select(F.col("doc_key").alias("short_id"), stem.alias("s")), queries.select(F.col("query_id").alias("long_id"), F.lower("query").alias("t")))
+    whole = inside.select(F.col("long_id").alias("query_id"), F.col("short_id").alias("doc_key"), F.lit(1.0).alias("score"))
+    scored = hits.select("query_id", "doc_key", share.alias("score")).unionByName(whole).groupBy("query_id", "doc_key").agg(F.max("score").alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), "doc_key")).alias("b")
+    return scored.where(F.col("score") >= least).groupBy("query_id").agg(best).select("query_id", "b.doc_key", (-F.col("b.s")).alias("score"))
 
 
 def key_sentences(text: Column, most: int) -> Column:

@@ -123,6 +123,26 @@ def document_neighbours(links: DataFrame, name: str) -> DataFrame:
     return at.select(F.when(F.col("from_node") == name, F.col("to_node")).otherwise(F.col("from_node")).alias("document")).distinct()
 
 
+def entity_classes(mentions: DataFrame) -> DataFrame:
+    """(entity, members, links) of mentions(source, entity): the documents that name an entity, and the pairs they would make.
+
+    Links between documents are kept as these classes; pairs are never made.
+    """
+    each = mentions.select("source", "entity").distinct().groupBy("entity").agg(F.count("*").alias("members"))
+    return each.select("entity", "members", (F.col("members") * (F.col("members") - 1) / 2).cast("long").alias("links"))
+
+
+def entity_neighbours(mentions: DataFrame, document: str) -> DataFrame:
+    """(document, shared): every other document that names an entity of the document, with how many they share.
+
+    Two steps: the document's own entities, then all that name one of those (a semi-join; distinct per
+    document and entity before anything is counted). An entity that all documents name gives a row a document.
+    """
+    own = mentions.where(F.col("source") == document).select("entity").distinct()
+    met = mentions.where(F.col("source") != document).join(own, "entity", "left_semi").select("source", "entity").distinct()
+    return met.groupBy(F.col("source").alias("document")).agg(F.count("*").alias("shared"))
+
+
 def export(nodes: DataFrame, edges: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
     """At most 2 x most nodes and most edges, by name."""
     return nodes.orderBy("name").limit(2 * most), edges.orderBy("from_node", "relation", "to_node").limit(most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docweave.operators import answering as A
@@ -187,11 +189,27 @@ def _list(words) -> str:
     return "(" + " or ".join(f"contains(lower(q), '{w}')" for w in words) + ")"
 
 
+#: What \\b means to the operators, spelled for an engine whose \\b knows ASCII only.
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+def _unicode(pattern: str) -> str:
+    """The pattern with word boundaries as letter classes; white space of any kind, and no flag for Unicode."""
+    flags, out = ("(?i)" if pattern.startswith(("(?i)", "(?iU)")) else ""), re.sub(r"^\(\?i?U?\)", "", pattern)
+    out = out.replace(r"\b.*\b", f"[^{_WORD}](?:.*[^{_WORD}])?").replace(r"\s", r"[\s\p{Z}]")
+    out = re.sub(r"\\b(?=[(\w])", lambda _: f"(?:^|[^{_WORD}])", out)
+    return flags + out.replace(r"\b", f"(?:$|[^{_WORD}])")
+
+
 def _re(pattern: str, text: str = "q") -> str:
-    return f"regexp_matches({text}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_matches({text}, '{_unicode(pattern).replace(chr(39), chr(39) * 2)}')"
+
+
+def _without_and(text: str) -> str:
+    return f"regexp_replace({text}, '(?i)(^|[^{_WORD}])and($|[^{_WORD}])', '\\1;\\2', 'g')"
 
 
-_PARTS = r"list_filter(list_transform(regexp_split_to_array(q, '(?i)\?|\band\b|;|\n'), lambda x: trim(x)), lambda x: x <> '')"
+_PARTS = rf"list_filter(list_transform(regexp_split_to_array({_without_and(_without_and('q'))}, '\?|;|\n'), lambda x: trim(x)), lambda x: x <> '')"
 _CUT = r"""case when length(text) <= 6000 then text else case when contains(substring(text, 1, 6000), '.') and 6000 - strpos(reverse(substring(text, 1, 6000)), '.') > 4200
   then substring(text, 1, 6001 - strpos(reverse(substring(text, 1, 6000)), '.')) else substring(text, 1, 6000) end || chr(10) || '[Context truncated for LLM]' end"""
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"

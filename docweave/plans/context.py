@@ -31,9 +31,19 @@ def read_lines(spark, sf_dir):
 
 
 def mentioned_files(spark, sf_dir):
-    names = spark.createDataFrame([("annual_report_2024.pdf",), ("budget.xlsx",), ("travel_policy.docx",)], "doc_key string")
-    asked = spark.createDataFrame([(1, "open the annual report please"), (2, "what about budget.xlsx"), (3, "travel rules"), (4, "the travel_policy text"), (5, "nothing")], "query_id long, query string")
-    return C.mentioned_files(asked, names).select("query_id", "doc_key", F.round("score", 6).alias("score"))
+    """Files named after all parts, asked for by every part's name: as it is, with one of its words changed, or with underscores."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.select(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.when(F.col("p_partkey") % 2 == 0, "_v2").otherwise(""), F.lit(".pdf")).alias("doc_key")).distinct()
+    names = names.unionByName(parts.select(F.concat(F.lit("p"), F.col("p_size").cast("string"), F.lit(".xml")).alias("doc_key")).distinct())
+    k = F.col("p_partkey") % 4
+    asked = (
+        F.when(k == 0, F.concat(F.lit("Show "), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(" now")))
+        .when(k == 1, F.concat(F.lit("open the "), F.col("p_name"), F.lit(" v2 please")))
+        .when(k == 2, F.concat(F.substring_index("p_name", " ", 1), F.lit(" things")))
+        .otherwise(F.concat(F.lit("sizes xP"), F.col("p_size").cast("string"), F.lit("?")))
+    )
+    found = C.mentioned_files(parts.select(F.col("p_partkey").alias("query_id"), asked.alias("query")), names)
+    return found.select("query_id", "doc_key", F.round("score", 6).alias("score"))
 
 
 def key_sentences(spark, sf_dir):
@@ -81,7 +91,14 @@ select query, count(*) as n from a where doc_id % 4 <> 0 and regexp_matches(lowe
     "read_lines": f"""with a as (select doc_id, doc_id % {len(ASKS)} as k, string_split(text, chr(10)) as l from documents),
 w as (select doc_id, k, l, unnest(generate_series(1, len(l))) as n from a)
 select doc_id as query_id, cast(n as int) as line_no, md5(l[n]) as md5 from w where case k when 0 then n = 2 when 1 then n between 3 and 5 when 2 then true when 5 then n = 4 else n <= 20 end""",
-    "mentioned_files": "select * from (values (1, 'annual_report_2024.pdf', cast(round(2/3, 6) as double)), (2, 'budget.xlsx', cast(1 as double)), (4, 'travel_policy.docx', cast(1 as double))) t(query_id, doc_key, score)",
+    "mentioned_files": r"""with n as (select distinct replace(p_name, ' ', '_') || case when p_partkey % 2 = 0 then '_v2' else '' end || '.pdf' as doc_key from part union select 'p' || p_size || '.xml' from part),
+w as (select doc_key, regexp_replace(lower(doc_key), '\.[^.]+$', '') as stem, list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(doc_key), '\.[^.]+$', ''), '[\s_\-./\\]+')), lambda x: length(x) >= 3) as ws from n),
+q as (select p_partkey as query_id, lower(case p_partkey % 4 when 0 then 'Show ' || replace(p_name, ' ', '_') || ' now' when 1 then 'open the ' || p_name || ' v2 please'
+  when 2 then string_split(p_name, ' ')[1] || ' things' else 'sizes xP' || p_size || '?' end) as q from part),
+kinds as (select q, list_filter(list_distinct(regexp_split_to_array(q, '[\s_\-./\\]+')), lambda x: length(x) >= 3) as qs from (select distinct q from q)),
+s as (select q, doc_key, case when contains(q, stem) then 1.0 when len(ws) = 0 then 0.0 when len(list_intersect(ws, qs)) < 2 and len(ws) > 1 then 0.0 else len(list_intersect(ws, qs)) / len(ws) end as score from kinds, w),
+best as (select q, doc_key, score from s where score >= cast(0.4 as double) qualify row_number() over (partition by q order by score desc, doc_key) = 1)
+select query_id, doc_key, round(cast(score as double), 6) as score from q join best using (q)""",
     "context_assembly": f"""{_HEAD}, top as (select * from vec_ranked where rank <= 8), part as (select query_id, rank, doc_key, '[' || doc_key || '] ' || substring(text, 1, cast(floor(8000 / count(*) over (partition by query_id)) as int)) as p from top),
 src as (select query_id, doc_key, min(rank) as r from top group by 1, 2)
 select query_id, md5(substring(string_agg(p, chr(10) || '---' || chr(10) order by rank), 1, 8000)) as md5, (select string_agg(doc_key, ',' order by r) from src where src.query_id = part.query_id) as sources from part group by query_id""",

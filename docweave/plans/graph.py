@@ -55,6 +55,18 @@ def cross_document_links(spark, sf_dir):
     return G.shared_entity_links(e)
 
 
+def _named(spark, sf_dir):
+    return kg_edges(spark, sf_dir).select(F.col("from_node").alias("source"), F.col("to_node").alias("entity"))
+
+
+def entity_classes(spark, sf_dir):
+    return G.entity_classes(_named(spark, sf_dir))
+
+
+def entity_neighbours(spark, sf_dir):
+    return G.entity_neighbours(_named(spark, sf_dir), "supplier:1")
+
+
 def prune_nodes(spark, sf_dir):
     nodes, _ = G.prune(_nodes(spark, sf_dir), _edges(spark, sf_dir), 0.9)
     return nodes.select("name")
@@ -102,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_upsert, node_upsert, incident_edges, keyword_entities, multi_hop, cross_document_links, prune_nodes, orphan_nodes,
-        graph_context, node_types, entity_extraction, entity_relations, relation_counts, metadata_edges,
+        graph_context, node_types, entity_extraction, entity_relations, relation_counts, metadata_edges, entity_classes, entity_neighbours,
     )
 }
 ORACLES = {
@@ -116,6 +128,9 @@ reach(name, hop) as (select 'supplier:1', 0 union select b, hop + 1 from reach j
 select name, cast(min(hop) as int) as hop from reach group by name""",
     "cross_document_links": f"""with {EDGES}, m as (select distinct from_node as source, to_node as entity from raw_edges)
 select x.source as a, y.source as b, count(*) as shared from m x join m y using (entity) where x.source < y.source group by 1, 2""",
+    "entity_classes": f"with {EDGES}, m as (select distinct from_node as source, to_node as entity from raw_edges) select entity, count(*) as members, count(*) * (count(*) - 1) // 2 as links from m group by 1",
+    "entity_neighbours": f"""with {EDGES}, m as (select distinct from_node as source, to_node as entity from raw_edges)
+select y.source as document, count(*) as shared from m x join m y using (entity) where x.source = 'supplier:1' and y.source <> 'supplier:1' group by 1""",
     "prune_nodes": f"with {_UP} select distinct name from nodes where name in (select from_node from edges where weight >= 0.9 union select to_node from edges where weight >= 0.9)",
     "orphan_nodes": f"with {_UP} select name from nodes where name not in (select from_node from edges where weight >= 0.9 union select to_node from edges where weight >= 0.9)",
     "graph_context": f"with {_UP} select distinct from_node || ' --[' || relation || ']--> ' || to_node as line from edges where from_node in ('supplier:3', 'part:11') or to_node in ('supplier:3', 'part:11')",

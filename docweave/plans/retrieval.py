@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.plans.views import CHUNKS, chunks, table
+from docweave.sources.shared import new_folder
 
 #: Probe queries: words of the corpus, one stop word, one repeated word.
 PROBES = [(1, "the license of and"), (2, "Licensed under CC"), (3, "der und die kinder"), (4, "que de la que"), (5, "inthe email user")]
@@ -38,6 +40,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 25)
 
 
+def kept_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk from a kept index: built from a part of the chunks, then brought up to all of them by three increments, of which two take chunks away."""
+    all_, path = user_chunks(spark, sf_dir, False), new_folder(spark, "postings")
+    turn = F.col("chunk_id") % 4
+    old = F.concat("text", F.lit(" outdated words of and"))
+    P.refresh(spark, path, all_.where(turn == 0).withColumn("text", old).unionByName(all_.where(turn == 1)), buckets=16)
+    P.refresh(spark, path, all_.where(turn == 0), all_.where(turn == 0).select("chunk_id"))
+    P.refresh(spark, path, all_.where(turn >= 2).withColumn("chunk_id", -F.col("chunk_id") - 1))
+    P.refresh(spark, path, all_.where(turn >= 2), all_.where(turn >= 2).select((-F.col("chunk_id") - 1).alias("chunk_id")))
+    scored = P.search(spark, path, probes(spark, sf_dir).select("query_id", "query"))
+    return R.top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 25)
+
+
 def role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     out = None
@@ -130,7 +145,7 @@ _HEAD = f"with {CHUNKS}, {PROBE_SQL}, {_USER}, {_VECTOR}"
 _GRAMS = """case when length(t) < 3 then [] else list_distinct(list_transform(generate_series(1, length(t) - 2), lambda i: substring(t, i, 3))) end"""
 
 QUERIES = {
-    "hybrid_search": hybrid_search, "vector_topk": vector_topk, "bm25_topk": bm25_topk, "role_filter": role_filter,
+    "hybrid_search": hybrid_search, "vector_topk": vector_topk, "bm25_topk": bm25_topk, "kept_index_search": kept_index_search, "role_filter": role_filter,
     "diverse_topk": diverse_topk, "trigram_similarity": trigram_similarity, "context_dedupe": context_dedupe,
     "query_classes": query_classes, "confidence_route": confidence_route, "weighted_fusion": weighted_fusion,
     "query_decompose": decompose, "feedback_scores": feedback_scores, "answer_confidence": answer_confidence, "grounding": grounding,
@@ -150,6 +165,7 @@ select answer_id, coalesce(sentences, 0) as sentences, coalesce(score, case when
 select query_id, chunk_id, doc_key, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from fused) where rank <= 25""",
     "vector_topk": f"{_HEAD} select query_id, chunk_id, doc_key, score, rank from vec_ranked where rank <= 25",
     "bm25_topk": f"{_HEAD}, {_BM25} select query_id, chunk_id, doc_key, score, rank from lex_ranked where rank <= 25",
+    "kept_index_search": f"{_HEAD}, {_BM25} select query_id, chunk_id, doc_key, score, rank from lex_ranked where rank <= 25",
     "role_filter": f"""with {CHUNKS} select tenant_id, count(*) as n, role from chunks, (values ('public'), ('user'), ('admin')) r(role)
 where role = 'admin' or list_contains(access_roles, role) group by tenant_id, role""",
     "diverse_topk": f"""{_HEAD}, tiers as (

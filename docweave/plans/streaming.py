@@ -7,8 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.plans.documents import ORACLES as DELTA_ORACLES
+from docweave.plans.documents import _delta, _known
 from docweave.plans.views import table
+from docweave.sources import versioned
+from docweave.sources.shared import new_folder
 from docweave.streaming import events as S
+from docweave.streaming import sync
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +46,32 @@ def stream_sessions(spark, sf_dir):
     return _finished(S.sessions(_live(spark, sf_dir), gap="6 hours"), "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions)}
+def _synced(spark, sf_dir):
+    """The known files after the whole feed came as a stream of several files; a folder of the table."""
+    path = new_folder(spark, "known-files")
+    versioned.write(_known(spark, sf_dir), f"{path}/table", "item_id", tag=-1)
+    _delta(spark, sf_dir).repartitionByRange(5, "item_id").write.parquet(f"{path}/feed")
+    schema = spark.read.parquet(f"{path}/feed").schema
+    feed = S.read_events(spark, f"{path}/feed", schema, files_a_trigger=1)
+    sync.sync_files(feed, f"{path}/table", f"{path}/state").awaitTermination()
+    return f"{path}/table"
+
+
+def delta_synced(spark, sf_dir):
+    return versioned.read(spark, _synced(spark, sf_dir)).select("item_id", "name", "size")
+
+
+def files_rolled_back(spark, sf_dir):
+    """The table of known files with its first version made the newest again, by bucket folders that no later version changed."""
+    path = _synced(spark, sf_dir)
+    versioned.rollback(spark, path, versioned.versions(spark, path)[0])
+    return versioned.read(spark, path).select("item_id", "name", "size")
+
+
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, delta_synced, files_rolled_back)}
 ORACLES = {
+    "delta_synced": DELTA_ORACLES["delta_applied"],
+    "files_rolled_back": "select o_orderkey as item_id, 'f' || o_orderkey || '.pdf' as name, o_custkey as size from orders where o_orderkey % 3 <> 0",
     "stream_daily_counts": "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2",
     "stream_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as fresh from events)
 select user_id, cast(sum(fresh) as bigint) as sessions, count(*) as events from g group by 1""",
