@@ -7,10 +7,13 @@ notes; nothing leaves the row, so a pair costs its own two texts and no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.graph import checkpoint
+
 from docweave.operators.revisions import ITEM
 
 Texts = tuple[Column, Column]
@@ -252,19 +255,45 @@ def clean(notes: Column) -> Column:
     return F.array_distinct(F.array_compact(notes))
 
 
+#: Which differences are looked for in which types: by exact names, then by the first word that a type holds; others get any_document.
+EXACT = (("purchase order", "change order"), purchase_order)
+HOLDING = (
+    (("prescription",), prescription), (("offer",), offer_letter), (("proposal",), proposal), (("expense",), expense_report), (("contract",), contract),
+    (("patient", "record"), patient_record), (("lab",), lab_result),
+)
+FORMS = (EXACT[1], *[form for _, form in HOLDING], any_document)
+
+
+def form_number(doc_type: Column) -> Column:
+    """Place in FORMS of the differences for a document type; null for a null type."""
+    kind = F.lower(doc_type)
+    out = F.when(kind.isin(*EXACT[0]), 0)
+    for i, (words, _) in enumerate(HOLDING):
+        out = out.when(F.coalesce(*[F.when(kind.contains(w), True) for w in words], F.lit(False)), i + 1)
+    return out.otherwise(len(FORMS) - 1)
+
+
 def content_notes(doc_type: Column, prev: Column, curr: Column) -> Column:
     """Notes of the difference for the document's type; none where a text is empty or null."""
-    kind, texts = F.lower(doc_type), (F.lower(prev), F.lower(curr))
-    has = lambda *words: F.coalesce(*[F.when(kind.contains(w), True) for w in words], F.lit(False))
-    notes = (
-        F.when(kind.isin("purchase order", "change order"), purchase_order(texts)).when(has("prescription"), prescription(texts))
-        .when(has("offer"), offer_letter(texts)).when(has("proposal"), proposal(texts)).when(has("expense"), expense_report(texts))
-        .when(has("contract"), contract(texts)).when(has("patient", "record"), patient_record(texts)).when(has("lab"), lab_result(texts))
-        .otherwise(any_document(texts))
-    )
+    texts, number = (F.lower(prev), F.lower(curr)), form_number(doc_type)
+    notes = F.coalesce(*[F.when(number == i, form(texts)) for i, form in enumerate(FORMS)])
     return F.when((prev != "") & (curr != ""), clean(notes)).otherwise(F.array().cast("array<string>"))
 
 
+def routed_notes(rows: DataFrame, notes_col: str = "notes") -> DataFrame:
+    """rows(doc_type, prev, curr, ...) with content_notes() as notes_col, each type in a branch of its own.
+
+    One expression for all types is too large for generated code and is interpreted for every row; here the
+    rows are written once with the number of their form, and each branch reads the rows of its form only.
+    """
+    marked = checkpoint(rows.withColumns({"_form": form_number(F.col("doc_type")), "_both": F.coalesce((F.col("prev") != "") & (F.col("curr") != ""), F.lit(False))}))
+    none = F.array().cast("array<string>")
+    texts = (F.lower("prev"), F.lower("curr"))
+    parts = [marked.where(F.col("_both") & (F.col("_form") == i)).withColumn(notes_col, clean(form(texts))) for i, form in enumerate(FORMS)]
+    parts.append(marked.where(~F.col("_both") | F.col("_form").isNull()).withColumn(notes_col, none))
+    return reduce(DataFrame.unionByName, parts).drop("_form", "_both")
+
+
 def largest_percent(notes: Column) -> Column:
     """Of all percentages that the notes give, the one of the largest size; null without one."""
     found = F.transform(F.regexp_extract_all(F.array_join(notes, "\n"), F.lit(r"([+-]?\d+(?:\.\d+)?)%"), F.lit(1)), lambda x: x.cast("double"))

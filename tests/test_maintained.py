@@ -207,3 +207,32 @@ def test_words_end_at_letters_of_any_script(spark):
     assert not flags[-1]["g"]
     parts = spark.createDataFrame([("a éand b and c",)], "q string").select(A.question_parts(F.col("q"))).first()[0]
     assert parts == ["a éand b", "c"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_automaton_counts_as_replace_does(seed):
+    from docweave.operators.automaton import counter
+
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("ab é") for _ in range(n))
+    families = [tuple(word(rnd.randrange(1, 5)) for _ in range(6)) for _ in range(4)] + [("aa", "aa", "a"), ()]
+    whole = [("ab", "b"), ("é",)]
+    count = counter(families, whole)
+    for _ in range(60):
+        text = "".join(rnd.choice("aab é_.\n") for _ in range(rnd.randrange(0, 60)))
+        want = [sum((len(text) - len(text.replace(w, ""))) // len(w) for w in words) for words in families]
+        bounded = lambda w: sum(text.startswith(w, i) and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")) and not (i + len(w) < len(text) and (text[i + len(w)].isalnum() or text[i + len(w)] == "_")) for i in range(len(text)))
+        want += [sum(map(bounded, words)) for words in whole]
+        assert count(text) == [*want, len(text.split())], text
+    assert counter([])("a b") == [2]
+
+
+def test_routed_notes_are_content_notes(spark):
+    from docweave.operators import diffs
+
+    kinds = ["Purchase Order", "change order", "Prescription", "Offer Letter", "Proposal", "expense report", "Contract", "Patient Record", "LAB result", "memo", "", None]
+    texts = [("total: $100.00\n1. bolt qty: 2 @ $3.00", "total: $150.00\n1. bolt qty: 5 @ $3.00"), ("version v1 [changed]", "version v2 [changed] [new]"), ("", "x"), (None, "y")]
+    rows = spark.createDataFrame([(i, k, p, c) for i, (k, (p, c)) in enumerate((k, t) for k in kinds for t in texts)], "id long, doc_type string, prev string, curr string")
+    got = rows_of(diffs.routed_notes(rows), "id", "notes")
+    assert got == rows_of(rows.withColumn("notes", F.coalesce(diffs.content_notes(F.col("doc_type"), F.col("prev"), F.col("curr")), F.array().cast("array<string>"))), "id", "notes")
+    assert len(got) == rows.count()
