@@ -78,7 +78,7 @@ def mentioned_files(queries: DataFrame, names: DataFrame, least: float = 0.4) ->
     return scored.where(F.col("score") >= least).groupBy("query_id").agg(best).select("query_id", "b.doc_key", (-F.col("b.s")).alias("score"))
 
 
-def key_sentences(text: Column, most: int) -> Column:
+def key_sentences(text: Column, most: int | Column) -> Column:
     """The first sentence and the longest others that fit into most characters, in the text's order; short texts as they are."""
     sentences = F.split(F.trim(text), SENTENCE_END)
     rest = F.transform(F.slice(sentences, 2, 1_000_000), lambda s, i: F.struct((-F.length(s)).alias("size"), i.alias("at"), s.alias("s")))

@@ -118,3 +118,14 @@ def admitted(requests: DataFrame, limit: int, seconds: int, admin_limit: int | N
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = requests.select("user_id", "request_id", at.alias("at"), "role")
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "request_id").mapInPandas(fold, schema)
+
+
+def guarded(requests: DataFrame, limit: int, seconds: int, admin_limit: int | None = None) -> DataFrame:
+    """requests(user_id, request_id, ts, role, query) with allowed, retry_after, threat and severity: rate limits first, then the patterns.
+
+    A request beyond its user's limit is a rate_limit threat whatever it says; requests are told apart by request_id.
+    """
+    verdicts = admitted(requests, limit, seconds, admin_limit).drop("user_id")
+    rows = requests.join(verdicts, "request_id")
+    kind = threat(F.col("query"), ~F.col("allowed"))
+    return rows.withColumn("threat", kind).withColumn("severity", severity(F.col("threat")))

@@ -7,9 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from docweave.operators import answering as A
+from docweave.operators import flow
+from docweave.operators import graph as G
 from docweave.operators import graph as G
 from docweave.operators import retrieval as R
-from docweave.plans.retrieval import _BM25, _HEAD, _USER, PROBE_SQL, PROBES, probes, user_chunks
+from docweave.plans.retrieval import _BM25, _HEAD, _USER, KEY_SENTENCES, NEAR_REPEATS, PROBE_SQL, PROBES, probes, user_chunks
 from docweave.plans.views import CHUNKS, EDGES, LOG, chat_log, chunks, kg_edges, table
 
 #: Beginnings that make the users' turns ask for something; the turn's number picks one.
@@ -73,6 +75,20 @@ def multi_hop_search(spark, sf_dir):
     return A.multi_hop(parts, user_chunks(spark, sf_dir), 10)
 
 
+#: Questions for the whole flow: of each class, with nodes of the graph, of several parts, and one that finds nothing.
+QUESTIONS = [
+    (1, "the license of and"), (2, "Licensed under CC for supplier:7"), (3, "compare der und die kinder"), (4, "summary que de la que? part:11"),
+    (5, "zzzz qqqq xxxx"), (6, "inthe email risk and user"),
+]
+
+
+def ask(spark, sf_dir):
+    """Every question through the whole flow, over all chunks that a user may read."""
+    asked = spark.createDataFrame(QUESTIONS, "query_id long, query string")
+    out = flow.ask(asked, chunks(spark, sf_dir, False), G.upsert_edges(kg_edges(spark, sf_dir), ["seq", "sub", "weight"]), "user")
+    return out.select("query_id", "query_type", "accessible", "passages", F.array_join("sources", ",").alias("sources"), F.md5("context").alias("context"), "confidence")
+
+
 def confidence_probes(spark, sf_dir):
     """Confidence of both retrievers for the probes, and the route that follows."""
     q = probes(spark, sf_dir)
@@ -126,7 +142,7 @@ def fused_context(spark, sf_dir):
 def labelled_context(spark, sf_dir):
     c = user_chunks(spark, sf_dir)
     ranked = R.vector_rank(c, probes(spark, sf_dir).select("query_id", "query_vector"), 50).join(c.select("chunk_id", "text"), "chunk_id")
-    return A.labelled_context(ranked, 2).select("query_id", F.md5("context").alias("context"))
+    return A.labelled_context(ranked).select("query_id", F.md5("context").alias("context"))
 
 
 def compared_files(spark, sf_dir):
@@ -217,12 +233,34 @@ _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 QUERIES = {
     f.__name__: f
     for f in (
-        inferred_roles, document_access, role_update, tenant_search, file_search, score_gate, reranked_search, multi_hop_search, confidence_probes,
+        inferred_roles, document_access, role_update, tenant_search, file_search, score_gate, reranked_search, multi_hop_search, ask, confidence_probes,
         question_parts, query_flags, chat_intents, admin_intents, capped_answers, calculations, fused_context, labelled_context, compared_files,
         similar_before, retention, metadata_search, stale_indexes, question_feedback, transcripts, available_files, source_labels, ingest_jobs,
     )
 }
+_QUESTION_SQL = "asked_whole(query_id, query) as (values " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ")"
+_HOPS = f"""cut as (select query_id, {_PARTS.replace('(q,', '(query,')}[1:3] as ps from asked_whole),
+probes as (select query_id * 10 + generate_subscripts(ps, 1) as query_id, unnest(ps) as query from cut), {_USER}, {_BM25},
+t as (select query_id, chunk_id, doc_key, rank as before, list_distinct({_TOK.format('substring(query, 1, 300)')}) as a, {_TOK.format('substring(text, 1, 600)')} as b
+  from lex_ranked join probes using (query_id) join (select chunk_id, text from seen) using (chunk_id) where rank <= 20),
+s as (select query_id, chunk_id, doc_key, before, round(len(list_intersect(a, b)) / cast(greatest(len(a), 1) as double), 9) as score from t),
+best as (select query_id // 10 as query_id, chunk_id, doc_key, max(score) as score from (select * from s qualify row_number() over (partition by query_id order by score desc, before) <= 10) group by all)"""
+#: The flow's passages: near repeats dropped by a fold, two of a document first; then key sentences by another.
+_PASSAGES = f"""hits as (select * from (select query_id, chunk_id, doc_key, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from best) join (select chunk_id, text from seen) using (chunk_id) where rank <= 10),
+unlike as (select query_id, unnest({NEAR_REPEATS}, recursive := true) from hits group by query_id),
+tiers as (select h.*, row_number() over (partition by query_id, doc_key order by rank) > 2 as over from hits h join unlike u using (query_id, rank)),
+places as (select *, row_number() over (partition by query_id order by over, rank) as place from tiers qualify place <= 8),
+shares as (select *, cast(floor(8000 / count(*) over (partition by query_id)) as int) as most from places),
+built as (select query_id, string_agg({KEY_SENTENCES.format(text='text', most='most')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place) as c, string_agg(doc_key, ',' order by place) as sources, count(*) as passages from shares group by 1)"""
 ORACLES = {
+    "ask": f"""with {CHUNKS}, {_QUESTION_SQL}, {_HOPS}, {_PASSAGES}, {EDGES},
+lines as (select distinct query_id, from_node || ' --[' || relation || ']--> ' || to_node as line from asked_whole join raw_edges on contains(lower(query), from_node) or contains(lower(query), to_node)),
+graph as (select query_id, string_agg(line, chr(10) order by line) as g from (select * from lines qualify row_number() over (partition by query_id order by line) <= 50) group by 1)
+select query_id, case when contains(lower(query), 'summar') then 'summary' when contains(lower(query), 'compare') then 'comparison' when contains(lower(query), 'risk') then 'analytical' else 'fact' end as query_type,
+  c is not null as accessible, coalesce(passages, 0) as passages, coalesce(sources, '') as sources,
+  md5(case when c is null then '' else concat_ws(chr(10) || chr(10), '[Knowledge Graph]' || chr(10) || substring(g, 1, 1600), '[Documents]' || chr(10) || case when length(c) > 8000 then substring(c, 1, 8000) || chr(10) || '[Context truncated]' else c end) end) as context,
+  cast(case when c is null then 0 else least(97, least(98, 70 + case when g is not null then 15 else 0 end + case when passages >= 3 then 8 else 0 end + case when query_type = 'fact' then 3 else 0 end) + case when g is not null then 5 else 0 end) end as int) as confidence
+from asked_whole left join built using (query_id) left join graph using (query_id)""",
     "inferred_roles": f"""with t as (select doc_id, coalesce(text, '') || case when doc_id % 7 = 0 then ' FOR IMMEDIATE RELEASE' else '' end as q from documents)
 select doc_id, case when {_list(A.PUBLIC_SIGNALS)} then 'public,user,admin' else 'admin' end as roles from t""",
     "document_access": f"""with {CHUNKS}, f as (select doc_key, min_by(access_roles, chunk_id) as roles from chunks group by 1)
@@ -265,7 +303,7 @@ select doc_id, md5(case when doc_id % 3 <> 0 and len(w) > 150 then array_to_stri
     "calculations": "select o_orderkey as query_id, 0 as n, cast(o_orderkey + o_custkey * 3 as double) as value from orders",
     "fused_context": """select doc_id, md5(concat_ws(chr(10) || chr(10), case when doc_id % 2 = 0 then '[Knowledge Graph]' || chr(10) || substring(repeat('a --[R]--> b' || chr(10), 200), 1, 1600) end,
   case when doc_id % 3 = 0 then '[Calculations]' || chr(10) || '1 + 1 = 2.0' end, case when trim(coalesce(text, '')) <> '' then '[Documents]' || chr(10) || text end)) as context from documents""",
-    "labelled_context": f"""{_HEAD}, k as (select *, row_number() over (partition by query_id, doc_key order by score desc, chunk_id) as r from vec_ranked where rank <= 50 qualify r <= 2),
+    "labelled_context": f"""{_HEAD}, k as (select *, row_number() over (partition by query_id, doc_key order by score desc, chunk_id) as r from vec_ranked where rank <= 50 qualify r <= 5),
 p as (select query_id, doc_key, '=== ' || doc_key || ' ===' || chr(10) || string_agg(text, chr(10) order by r) as part from k group by 1, 2)
 select query_id, md5(string_agg(part, chr(10) || chr(10) order by doc_key)) as context from p group by 1""",
     "compared_files": """with w as (select distinct lower(n_name) || '_file.pdf' as doc_key, unnest(list_concat(regexp_split_to_array(lower(n_name), '[\\s_\\-./\\\\]+'), ['file'])) as word from nation),

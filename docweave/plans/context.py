@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweave.operators import context as C
 from docweave.operators import documents as D
 from docweave.operators import retrieval as R
-from docweave.plans.retrieval import _HEAD, probes, user_chunks
+from docweave.plans.retrieval import _HEAD, KEY_SENTENCES, probes, user_chunks
 from docweave.plans.views import table
 
 ASKS = ("show line 2 of it", "read lines 3 to 5", "give me the full document", "what is this", "show me all files", "the 4th line")
@@ -48,7 +48,7 @@ def mentioned_files(spark, sf_dir):
 
 def key_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(C.key_sentences(F.coalesce("text", F.lit("")), 400)).alias("chars"))
+    return d.select("doc_id", F.md5(C.key_sentences(F.coalesce("text", F.lit("")), 400)).alias("md5"))
 
 
 def context_assembly(spark, sf_dir):
@@ -99,6 +99,7 @@ kinds as (select q, list_filter(list_distinct(regexp_split_to_array(q, '[\s_\-./
 s as (select q, doc_key, case when contains(q, stem) then 1.0 when len(ws) = 0 then 0.0 when len(list_intersect(ws, qs)) < 2 and len(ws) > 1 then 0.0 else len(list_intersect(ws, qs)) / len(ws) end as score from kinds, w),
 best as (select q, doc_key, score from s where score >= cast(0.4 as double) qualify row_number() over (partition by q order by score desc, doc_key) = 1)
 select query_id, doc_key, round(cast(score as double), 6) as score from q join best using (q)""",
+    "key_sentences": f"with t as (select doc_id, coalesce(text, '') as text from documents) select doc_id, md5({KEY_SENTENCES.format(text='text', most='400')}) as md5 from t",
     "context_assembly": f"""{_HEAD}, top as (select * from vec_ranked where rank <= 8), part as (select query_id, rank, doc_key, '[' || doc_key || '] ' || substring(text, 1, cast(floor(8000 / count(*) over (partition by query_id)) as int)) as p from top),
 src as (select query_id, doc_key, min(rank) as r from top group by 1, 2)
 select query_id, md5(substring(string_agg(p, chr(10) || '---' || chr(10) order by rank), 1, 8000)) as md5, (select string_agg(doc_key, ',' order by r) from src where src.query_id = part.query_id) as sources from part group by query_id""",

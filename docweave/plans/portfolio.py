@@ -122,8 +122,7 @@ def full_risk(spark, sf_dir):
 
 
 def lifecycle_details(spark, sf_dir):
-    risk = _life(spark, sf_dir).select("lifecycle_id", F.lit(0.25).alias("risk_score"), F.lit("low").alias("risk_label"))
-    return P.detail_text(_life(spark, sf_dir), _events(spark, sf_dir), risk)
+    return P.detail_text(_life(spark, sf_dir), _events(spark, sf_dir), full_risk(spark, sf_dir).select("lifecycle_id", "risk_score", "risk_label"))
 
 
 def upload_stats(spark, sf_dir):
@@ -178,11 +177,11 @@ def url_parts(spark, sf_dir):
 
 
 def crawl_order(spark, sf_dir):
-    """A crawl over a tree of addresses: customer k links to 2k and 2k + 1."""
+    """A crawl of up to 500 pages over a tree of addresses of all customers: customer k links to six others."""
     url = lambda k: F.concat(F.lit("https://a.com/"), F.when(k % 3 == 0, "about/").when(k % 3 == 1, "blog/").otherwise("p"), k.cast("string"), F.when(k % 3 == 2, ".pdf").otherwise(""))
     k = F.col("c_custkey")
-    links = table(spark, sf_dir, "customer").where("c_custkey <= 60").select(url(k).alias("url"), F.explode(F.array(url(2 * k), url(2 * k + 1))).alias("link"))
-    return D.crawl(spark.range(1).select(url(F.lit(1)).alias("url")), links, 40, 4).select("url", "depth", "seq")
+    links = table(spark, sf_dir, "customer").select(url(k).alias("url"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: url(6 * k - 4 + i))).alias("link"))
+    return D.crawl(spark.range(1).select(url(F.lit(1)).alias("url")), links).select("url", "depth", "seq")
 
 
 _CLOSED = "('" + "', '".join(P.CLOSED_STATUSES) + "')"
@@ -209,6 +208,11 @@ QUERIES = {
         document_neighbours, graph_export, bounded_hops, page_meta, url_parts, crawl_order,
     )
 }
+_RISK = f"""s as (select lifecycle_id, count(*) as n, count(*) filter (where regexp_matches(upper(event_type), 'CHANGE|MODIFY')) as c, {_DAYS} as d from lc group by 1),
+rv as (select lifecycle_id, count(*) as r from docs group by 1),
+sc as (select lifecycle_id, round(least(cast(0.95 as double), cast(0.2 as double) + least(cast(0.15 as double), n * cast(0.03 as double)) + least(cast(0.25 as double), coalesce(r, 0) * cast(0.1 as double)) + least(cast(0.2 as double), c * cast(0.05 as double))
+  + least(cast(0.3 as double), abs(coalesce(v, 0)) / 100 * cast(0.5 as double)) + case when n <= 1 then cast(0 as double) when d > 0 then least(cast(0.15 as double), n / d * cast(0.05 as double)) else cast(0.1 as double) end), 6) as x
+  from s left join rv using (lifecycle_id) left join var using (lifecycle_id))"""
 ORACLES = {
     "lifecycle_parts": f"""with {LIFE}, e as (select lifecycle_id, count(distinct event_id) as n from lc group by 1),
 d as (select lifecycle_id, count(distinct document_id) as n, string_agg(distinct cast(document_id as varchar), ',' order by cast(document_id as varchar)) as s, list_sort(list(distinct document_id)) as l from docs group by 1)
@@ -236,16 +240,12 @@ select lifecycle_id, greatest(x, coalesce(n, 0)) as change_orders, greatest(x30,
   case lifecycle_type when 'hr' then 30 when 'sales' then 45 else 18 end as cycle_time_target, coalesce(v, 0) as variance_percent,
   case when v > 5 then 'above_threshold' when v < -5 then 'below_threshold' else 'normal' end as variance_status
 from own left join inf using (lifecycle_id) left join life using (lifecycle_id) left join var using (lifecycle_id)""",
-    "full_risk": f"""with {LIFE}, {VAR}, s as (select lifecycle_id, count(*) as n, count(*) filter (where regexp_matches(upper(event_type), 'CHANGE|MODIFY')) as c, {_DAYS} as d from lc group by 1),
-rv as (select lifecycle_id, count(*) as r from docs group by 1),
-sc as (select lifecycle_id, round(least(cast(0.95 as double), cast(0.2 as double) + least(cast(0.15 as double), n * cast(0.03 as double)) + least(cast(0.25 as double), coalesce(r, 0) * cast(0.1 as double)) + least(cast(0.2 as double), c * cast(0.05 as double))
-  + least(cast(0.3 as double), abs(coalesce(v, 0)) / 100 * cast(0.5 as double)) + case when n <= 1 then cast(0 as double) when d > 0 then least(cast(0.15 as double), n / d * cast(0.05 as double)) else cast(0.1 as double) end), 6) as x
-  from s left join rv using (lifecycle_id) left join var using (lifecycle_id))
+    "full_risk": f"""with {LIFE}, {VAR}, {_RISK}
 select lifecycle_id, coalesce(x, cast(0.2 as double)) as risk_score, case when x >= 0.7 then 'high' when x >= 0.4 then 'medium' else 'low' end as risk_label from life left join sc using (lifecycle_id)""",
-    "lifecycle_details": f"""with {LIFE}, n as (select *, row_number() over (partition by lifecycle_id order by ts desc, event_id desc) as r from lc), t as (select lifecycle_id, string_agg(event_type, ', ' order by r desc) as t from n where r <= 5 group by 1),
-c as (select lifecycle_id, count(*) as n from lc group by 1)
-select lifecycle_id, 'Lifecycle detail for ' || lifecycle_id || ':' || chr(10) || '- Status: ' || status || chr(10) || '- Events: ' || coalesce(n, 0) || chr(10) || '- Recent event types: ' || coalesce(t, 'none') || chr(10) || '- Risk: 25% (low)' as detail
-from life left join t using (lifecycle_id) left join c using (lifecycle_id)""",
+    "lifecycle_details": f"""with {LIFE}, {VAR}, {_RISK}, n as (select *, row_number() over (partition by lifecycle_id order by ts desc, event_id desc) as r from lc), t as (select lifecycle_id, string_agg(event_type, ', ' order by r desc) as t from n where r <= 5 group by 1),
+cn as (select lifecycle_id, count(*) as n from lc group by 1)
+select lifecycle_id, 'Lifecycle detail for ' || lifecycle_id || ':' || chr(10) || '- Status: ' || status || chr(10) || '- Events: ' || coalesce(cn.n, 0) || chr(10) || '- Recent event types: ' || coalesce(t, 'none') || chr(10) || '- Risk: ' || cast(round(coalesce(x, cast(0.2 as double)) * 100) as int) || '% (' || case when x >= 0.7 then 'high' when x >= 0.4 then 'medium' else 'low' end || ')' as detail
+from life left join sc using (lifecycle_id) left join t using (lifecycle_id) left join cn using (lifecycle_id)""",
     "upload_stats": f"""with {LIFE} select count(*) filter (where cast(uploaded_at as date) = date '2024-01-20' and uploaded_at <= timestamp '2024-01-20 12:00:00') as today, count(*) filter (where cast(uploaded_at as date) = date '2024-01-19') as yesterday,
   coalesce(round(avg(processing_s) filter (where cast(uploaded_at as date) = date '2024-01-20' and uploaded_at <= timestamp '2024-01-20 12:00:00' and processing_s > 0), 2), 0) as avg_processing_s, 'dated' as kind from docs
 union all select count(*), 0, 0, 'undated' from docs""",
@@ -261,7 +261,7 @@ select * from (select name, 1 as hop from h1 union all select name, 2 from h2) o
     "page_meta": "select page_id, 'About us' as description, 'Big & Co' as og_title, 'One two → /a' as first_link, true as has_json, 'Ada L' as person from pages where page_id % 2 = 0",
     "url_parts": """with u as (select c_custkey, case when c_custkey % 2 = 0 then 'www.' else '' end || 'acme' || c_custkey % 3 || '.com' as h from customer)
 select c_custkey, 'https://' || h || '/p' as url, h in ('acme1.com', 'www.acme1.com') as own, 'Acme' || c_custkey % 3 as name from u""",
-    "crawl_order": f"""with recursive t as (select 1 as k, 0 as depth union all select unnest([2 * k, 2 * k + 1]), depth + 1 from t where depth < 4 and k <= 60 and k % 3 <> 2),
+    "crawl_order": f"""with recursive t as (select cast(1 as bigint) as k, 0 as depth union all select unnest(range(6 * k - 4, 6 * k + 2)), depth + 1 from t where depth < 6 and k in (select c_custkey from customer) and k % 3 <> 2),
 u as (select {_URL.format(k='k')} as url, k, depth, case k % 3 when 0 then 1 else 5 end + depth as score from t where k % 3 <> 2)
-select url, depth, row_number() over (order by depth, score, url) as seq from u order by seq limit 40""",
+select url, depth, row_number() over (order by depth, score, url) as seq from u order by seq limit 500""",
 }

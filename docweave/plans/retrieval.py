@@ -150,7 +150,17 @@ QUERIES = {
     "query_classes": query_classes, "confidence_route": confidence_route, "weighted_fusion": weighted_fusion,
     "query_decompose": decompose, "feedback_scores": feedback_scores, "answer_confidence": answer_confidence, "grounding": grounding,
 }
+#: Folds as DuckDB expressions: the rows (rank, chunk_id) of a query that are unlike all kept before, and the key sentences of a text.
+_HEAD_GRAMS = "list_distinct(list_transform(range(1, greatest(1, least(500, length(text)) - 1)), lambda i: substring(lower(substring(text, 1, 500)), i, 3)))"
+NEAR_REPEATS = f"""list_transform(list_reduce(list([{{'rank': rank, 'chunk_id': chunk_id, 'g': {_HEAD_GRAMS}}}] order by rank),
+  lambda a, x: case when len(list_filter(a, lambda k: len(k.g) > 0 and len(x[1].g) > 0 and len(list_intersect(k.g, x[1].g)) / (len(k.g) + len(x[1].g) - len(list_intersect(k.g, x[1].g))) > cast(0.85 as double))) > 0 then a else list_concat(a, x) end),
+  lambda k: {{'rank': k.rank, 'chunk_id': k.chunk_id}})"""
+_SENTENCES = r"string_split(regexp_replace(trim({text}, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+KEY_SENTENCES = rf"""case when length({{text}}) <= {{most}} then {{text}} else array_to_string(list_transform(list_sort(list_reduce(list_prepend({{{{'left': cast({{most}} - length({_SENTENCES}[1]) as bigint), 'kept': [{{{{'at': cast(-1 as bigint), 's': {_SENTENCES}[1]}}}}]}}}},
+  list_transform(list_sort(list_transform({_SENTENCES}[2:], lambda s, i: {{{{'size': -length(s), 'at': cast(i as bigint), 's': s}}}})), lambda r: {{{{'left': cast(-r.size as bigint), 'kept': [{{{{'at': r.at, 's': r.s}}}}]}}}})),
+  lambda a, r: case when a.left > 0 and r.left <= a.left then {{{{'left': a.left - r.left - 1, 'kept': list_concat(a.kept, r.kept)}}}} else a end).kept), lambda k: k.s), ' ') end"""
 ORACLES = {
+    "context_dedupe": f"{_HEAD} select query_id, unnest({NEAR_REPEATS}, recursive := true) from vec_ranked where rank <= 25 group by query_id",
     "grounding": rf"""with a as (select conv_id * 1000 + turn as answer_id, coalesce(text, '') as text from conversations where role = 'assistant'),
 c as (select conv_id * 1000 + turn + 1 as answer_id, coalesce(text, '') as context from conversations where role = 'user'),
 s as (select answer_id, unnest(list_filter(regexp_split_to_array(text, '[.!?]\s+'), lambda x: length(trim(x, ' ')) > 15)) as s from a where text <> '' and answer_id in (select answer_id from c)),

@@ -39,6 +39,14 @@ def rate_limited(spark, sf_dir):
     return S.admitted(e, 3, 3600)
 
 
+def guarded_requests(spark, sf_dir):
+    """All events as requests: 2 an hour for users, 4 for administrators, then the threat patterns."""
+    k = F.col("event_id")
+    text = F.concat(F.element_at(F.array(*[F.lit(p) for p in PROBES]), (k % len(PROBES) + 1).cast("int")), F.col("event_type"))
+    e = table(spark, sf_dir, "events").select("user_id", k.alias("request_id"), "ts", F.when(F.col("user_id") % 5 == 0, "admin").otherwise("user").alias("role"), text.alias("query"))
+    return S.guarded(e, 2, 3600, 4).select("request_id", "allowed", "retry_after", "threat", "severity")
+
+
 def pii_counts(spark, sf_dir):
     m = S.mask_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return m.select(F.explode("pii").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
@@ -60,9 +68,17 @@ def _masked(source: str, column: str) -> str:
 _ASKED = f"asked as (select conv_id, turn, role, [{', '.join(repr(p) for p in PROBES)}][(conv_id * 3 + turn) % {len(PROBES)} + 1] || coalesce(text, '') as query from conversations)"
 _TYPES = "list_filter([" + ", ".join(f"case when f{i} then '{n}' end" for i, (n, _) in enumerate(S.PII)) + "], lambda x: x is not null)"
 
-QUERIES = {f.__name__: f for f in (security_analysis, stored_rules, rate_limited, pii_counts)}
+QUERIES = {f.__name__: f for f in (security_analysis, stored_rules, rate_limited, guarded_requests, pii_counts)}
 _HELD = "list_filter(f.held, lambda x: o.s - x < 3600)"
+_MOST = "(case when o.user_id % 5 = 0 then 4 else 2 end)"
 ORACLES = {
+    "guarded_requests": f"""with recursive o as (select user_id, event_id, epoch_us(ts) / 1e6 as s, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select user_id, event_id, n, [s] as held, true as allowed, 0 as retry_after from o where n = 1
+  union all select o.user_id, o.event_id, o.n, case when len({_HELD}) < {_MOST} then list_append({_HELD}, o.s) else {_HELD} end, len({_HELD}) < {_MOST},
+    case when len({_HELD}) < {_MOST} then 0 else cast(floor(3600 - (o.s - ({_HELD})[1])) as int) + 1 end from f join o on o.user_id = f.user_id and o.n = f.n + 1),
+q as (select event_id, allowed, retry_after, [{', '.join(repr(p) for p in PROBES)}][event_id % {len(PROBES)} + 1] || event_type as query from f join (select event_id, event_type from events) using (event_id)),
+t as (select event_id as request_id, allowed, retry_after, case when not allowed then 'rate_limit' when {_any('query', S.INJECTION)} then 'prompt_injection' when {_any('query', S.LEAKAGE)} then 'data_leakage' when {_any('query', S.SCRAPING)} then 'scraping' end as threat from q)
+select *, case when threat in ('prompt_injection', 'data_leakage') then 'high' when threat in ('rate_limit', 'scraping') then 'medium' else 'none' end as severity from t""",
     "rate_limited": f"""with recursive o as (select user_id, event_id, epoch_us(ts) / 1e6 as s, row_number() over (partition by user_id order by ts, event_id) as n from events),
 f as (select user_id, event_id, n, [s] as held, true as allowed, 0 as retry_after from o where n = 1
   union all select o.user_id, o.event_id, o.n, case when len({_HELD}) < 3 then list_append({_HELD}, o.s) else {_HELD} end, len({_HELD}) < 3,

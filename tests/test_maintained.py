@@ -236,3 +236,87 @@ def test_routed_notes_are_content_notes(spark):
     got = rows_of(diffs.routed_notes(rows), "id", "notes")
     assert got == rows_of(rows.withColumn("notes", F.coalesce(diffs.content_notes(F.col("doc_type"), F.col("prev"), F.col("curr")), F.array().cast("array<string>"))), "id", "notes")
     assert len(got) == rows.count()
+
+
+def brute_context(rows):
+    """The passages' context by hand: rows in rank order, dicts with text, score, doc_key, source_type, url and page fields."""
+    import re
+
+    rows = [r for r in rows if r["score"] >= 0] or rows
+    grams = lambda t: {t.lower()[:500][i : i + 3] for i in range(len(t[:500]) - 2)}
+    kept = []
+    for r in rows:
+        a = grams(r["text"])
+        if not any(a and grams(k["text"]) and len(a & grams(k["text"])) / len(a | grams(k["text"])) > 0.85 for k in kept):
+            kept.append(r)
+    first, seen = [], {}
+    for r in kept:
+        page = r["source_type"] == "website"
+        key = (page, r["url"] if page and r["url"] is not None else r["doc_key"])
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= (1 if page else 2):
+            first.append(r)
+    picked = (first + [r for r in kept if r not in first])[:8]
+    share, parts, sources = 8000 // len(picked), [], []
+    for i, r in enumerate(picked):
+        text = r["text"]
+        if len(text) > share:
+            sentences = re.split(r"(?<=[.!?])\s+", text.strip(" "))
+            left, chosen = share - len(sentences[0]), {0}
+            for n in sorted(range(1, len(sentences)), key=lambda n: (-len(sentences[n]), n)):
+                if left > 0 and len(sentences[n]) <= left:
+                    left -= len(sentences[n]) + 1
+                    chosen.add(n)
+            text = " ".join(sentences[n] for n in sorted(chosen))
+        page = r["source_type"] == "website"
+        if page:
+            head = [f"[Website] {r['org_name'] + ': ' if r['org_name'] else ''}{r['title']}"] if r["title"] else []
+            head += [f"URL: {r['url']}"] if r["url"] else []
+            contact = " | ".join([f"Phone: {r['phone']}"] * bool(r["phone"]) + [f"Email: {r['email']}"] * bool(r["email"]))
+            head += [f"Contact: {contact}"] if contact else []
+            text = "\n".join(head) + ("\n\n" if head else "") + text
+        parts.append(text)
+        sources.append(r["url"] if page and r["url"] else f"{r['doc_key']}{' (line ' + str(r['line_start']) + ')' if r['line_start'] else ''}" if r["doc_key"] not in (None, "unknown") else f"Document chunk {i + 1}")
+    whole = "\n\n---\n\n".join(parts)
+    return whole[:8000] + "\n[Context truncated]" * (len(whole) > 8000), sources
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contexts_are_as_by_hand(spark, seed):
+    from docweave.operators import flow
+
+    rnd = random.Random(seed)
+    table, want = [], {}
+    for q in range(12):
+        rows = []
+        for rank in range(1, rnd.randrange(2, 14)):
+            text = " ".join("".join(rnd.choice("abcdefg ") for _ in range(rnd.randrange(3, 400))) + rnd.choice(".!?") for _ in range(rnd.randrange(1, 8)))
+            if rows and rnd.random() < 0.3:
+                text = rows[-1]["text"] + "."
+            web = rnd.random() < 0.4
+            rows.append({
+                "query_id": q, "rank": rank, "chunk_id": 100 * q + rank, "doc_key": rnd.choice(["a.txt", "b.txt", "unknown", "c.txt"]), "text": text, "score": rnd.choice([1.0, 0.5, -0.1]) if q else -1.0,
+                "source_type": "website" if web else None, "url": rnd.choice(["http://x/1", "http://x/2", ""]) if web else None, "title": rnd.choice(["Home", None]), "org_name": rnd.choice(["Org", None, ""]),
+                "phone": rnd.choice(["123", None]), "email": rnd.choice(["a@b.c", None]), "line_start": rnd.choice([None, 7]),
+            })
+        table += rows
+        want[q] = brute_context(rows)
+    columns = "query_id long, rank int, chunk_id long, doc_key string, text string, score double, source_type string, url string, title string, org_name string, phone string, email string, line_start int"
+    df = spark.createDataFrame([tuple(r.values()) for r in table], columns)
+    got = {r["query_id"]: (r["context"], r["sources"]) for r in flow.build_context(flow.select_passages(df)).collect()}
+    assert got == want
+    assert flow.build_context(flow.select_passages(df.limit(0))).count() == 0
+
+
+def test_questions_keep_their_rows(spark):
+    from docweave.operators import flow
+
+    chunks = spark.createDataFrame([(1, "a.txt", "The licence of node:7 is open. It ends soon.", ["user", "admin"]), (2, "b.txt", "secret licence", ["admin"])], "chunk_id long, doc_key string, text string, access_roles array<string>")
+    for i in range(3, 9):
+        chunks = chunks.unionByName(spark.createDataFrame([(i, "z", f"other words x{i}x", ["user"])], chunks.schema))
+    edges = spark.createDataFrame([("node:7", "OWNS", "node:9")], "from_node string, relation string, to_node string")
+    asked = spark.createDataFrame([(1, "What is the licence of NODE:7?"), (2, "nothing here matches qqq"), (3, None)], "query_id long, query string")
+    got = {r["query_id"]: r for r in flow.ask(asked, chunks, edges, "user").collect()}
+    assert sorted(got) == [1, 2, 3] and got[1]["sources"] == ["a.txt"] and got[1]["query_type"] == "fact"
+    assert got[1]["context"].startswith("[Knowledge Graph]\nnode:7 --[OWNS]--> node:9\n\n[Documents]\nThe licence") and got[1]["confidence"] == 93
+    assert not got[2]["accessible"] and got[2]["context"] == "" and not got[3]["accessible"]
