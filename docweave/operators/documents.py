@@ -186,18 +186,21 @@ def classify_documents(docs: DataFrame, text_col: str = "text", name_col: str =
 
 
 def char_chunks(docs: DataFrame, size: int = 2000, step: int = 1600, id_col: str = "doc_id", text_col: str = "text", strip: bool = True) -> DataFrame:
-    """(id, n, char_start, char_end, line_start, chunk): overlapping pieces of size characters, every step characters."""
-    length = F.length(text_col)
-    starts = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    # steps of the text, each with the line ends before it: a running sum, so that no step is read twice
-    breaks = F.transform(starts, lambda at: F.regexp_count(F.substring(F.col(text_col), at + 1, F.lit(step)), F.lit("\n")))
-    lines = F.aggregate(breaks, F.array(F.lit(1)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
-    rows = docs.select(id_col, text_col, length.alias("_len"), lines.alias("_lines"), F.posexplode(starts).alias("n", "char_start"))
-    piece = F.substring(F.col(text_col), F.col("char_start") + 1, F.lit(size))
-    return rows.select(
-        id_col, "n", "char_start", F.least(F.col("char_start") + size, F.col("_len")).alias("char_end"),
-        F.col("_lines")[F.col("n")].alias("line_start"), (F.trim(piece) if strip else piece).alias("chunk"),
-    )
+    """(id, n, char_start, char_end, line_start, chunk): overlapping pieces of size characters, every step characters.
+
+    The text is cut into steps in one pass; a piece is its step and the start of the next ones, so that neither
+    the text nor its steps stand in every row, and no step is looked for from the text's beginning.
+    """
+    rows = docs.select(id_col, F.length(text_col).alias("_len"), F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_steps"))
+    rows = rows.withColumn("_breaks", F.transform("_steps", lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))))
+
+    def piece(own: Column, n: Column) -> Column:
+        text = F.substring(F.array_join(F.slice("_steps", n + 1, F.lit(-(-size // step))), ""), 1, size)
+        line = F.aggregate(F.slice("_breaks", F.lit(1), n), F.lit(1), lambda total, x: total + x)
+        end = F.least(n * step + size, F.col("_len"))
+        return F.struct((n * step).alias("char_start"), end.alias("char_end"), line.alias("line_start"), (F.trim(text) if strip else text).alias("chunk"))
+
+    return rows.select(id_col, F.posexplode(F.transform("_steps", piece)).alias("n", "p")).select(id_col, "n", "p.*")
 
 
 def rebuild(chunks: DataFrame, step: int = 1600, id_col: str = "doc_id") -> DataFrame:
@@ -210,12 +213,35 @@ def rebuild(chunks: DataFrame, step: int = 1600, id_col: str = "doc_id") -> Data
 
 def token_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, token_start, token_count, chunk): windows of white-space tokens; the last one ends the text."""
-    words = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
-    rows = docs.select(id_col, words.alias("_w")).where(F.size("_w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - overlap - 1), F.lit(size - overlap))
-    rows = rows.select(id_col, "_w", F.posexplode(starts).alias("n", "token_start"))
-    piece = F.slice("_w", F.col("token_start") + 1, F.lit(size))
-    return rows.select(id_col, "n", "token_start", F.size(piece).alias("token_count"), F.array_join(piece, " ").alias("chunk"))
+    return token_windows(docs, size, overlap, id_col, text_col).select(id_col, "n", "token_start", "token_count", F.regexp_replace("chunk", r"\s+", " ").alias("chunk"))
+
+
+def token_windows(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As token_chunks, with char_start, char_end, line_start and line_end; chunk is the text between its places as it stands.
+
+    Words with the spaces after them are cut once, into steps of size - overlap; a window is its step and the
+    start of the next ones, and its place the length of the steps before it.
+    """
+    step = size - overlap
+    text = F.regexp_replace(F.col(text_col), r"^\s+", "")
+    lead = F.substring(F.col(text_col), F.lit(1), F.length(text_col) - F.length(text))
+    lines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    added = lambda c, k: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0), lambda total, x: total + x)
+    rows = docs.select(id_col, lead.alias("_lead"), F.regexp_extract_all(text, F.lit(r"(?s)\S+\s*"), F.lit(0)).alias("_words")).where(F.size("_words") > 0)
+    starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))
+    rows = rows.withColumn("_steps", F.transform(starts, lambda at: F.array_join(F.slice("_words", at + 1, F.lit(step)), "")))
+    rows = rows.withColumns({"_lengths": F.transform("_steps", lambda s: F.length(s)), "_breaks": F.transform("_steps", lines)})
+
+    def window(at: Column, n: Column) -> Column:
+        chunk = F.regexp_replace(F.array_join(F.slice("_words", at + 1, F.lit(size)), ""), r"\s+$", "")
+        start, line = F.length("_lead") + added("_lengths", n), lines(F.col("_lead")) + added("_breaks", n) + 1
+        return F.struct(
+            at.alias("token_start"), F.least(F.lit(size), F.size("_words") - at).alias("token_count"), start.alias("char_start"), (start + F.length(chunk)).alias("char_end"),
+            line.alias("line_start"), (line + lines(chunk)).alias("line_end"), chunk.alias("chunk"),
+        )
+
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_words") - overlap - 1), F.lit(step)), window)
+    return rows.select(id_col, F.posexplode(windows).alias("n", "w")).select(id_col, "n", "w.*")
 
 
 def sentence_packs(pages: DataFrame, id_col: str, text_col: str, most: int = 800, overlap: int = 20, least: int = 50) -> DataFrame:

@@ -119,20 +119,28 @@ def risk(events: DataFrame) -> DataFrame:
     return s.select("lifecycle_id", score.alias("risk_score"), risk_level(score).alias("risk_label"), F.array_join(some, "; ").alias("drivers"))
 
 
-def risk_trend(events: DataFrame) -> DataFrame:
+def risk_trend(events: DataFrame, revisions: DataFrame | None = None) -> DataFrame:
     """Scores of the first 20, 40, 60, 80 and 100 % of a lifecycle's events, none above the last.
 
-    Halves go up at the second decimal (1e-9 settles binary ties). Running counts over the ordered events give every prefix at once; five of them are kept.
+    Halves go up at the second decimal (1e-9 settles binary ties). revisions(lifecycle_id, ts, event_id) are the
+    moments from which a revision is known, an upload that repeats its document for instance: each event counts
+    those up to its own moment (as-of). Both go into one ordered run, so that running counts give every prefix at
+    once; five of them are kept.
     """
-    order = W.partitionBy("lifecycle_id").orderBy("ts", "event_id")
+    order = W.partitionBy("lifecycle_id").orderBy("ts", "event_id", F.desc("_revision"))
     upto = order.rowsBetween(W.unboundedPreceding, 0)
-    days = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.first("ts").over(upto))) / SECONDS_A_DAY)
+    both = events.select("lifecycle_id", "ts", "event_id", "event_type", F.lit(0).alias("_revision"))
+    if revisions is not None:
+        both = both.unionByName(revisions.select("lifecycle_id", "ts", "event_id", F.lit(None).cast("string").alias("event_type"), F.lit(1).alias("_revision")))
+    own = F.col("_revision") == 0
+    days = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.min(F.when(own, F.col("ts"))).over(upto))) / SECONDS_A_DAY)
     rows = (
-        events.withColumn("n", F.row_number().over(order))
-        .withColumn("all", F.count("*").over(W.partitionBy("lifecycle_id")))
-        .withColumn("changes", F.sum(holds(F.col("event_type"), "CHANGE", "MODIFY").cast("int")).over(upto))
-        .withColumn("score", F.round(risk_score(F.col("n"), F.lit(0.0), F.col("changes"), F.lit(0.0), days) + 1e-9, 2))
-    )
+        both.withColumn("n", F.sum(1 - F.col("_revision")).over(upto))
+        .withColumn("all", F.sum(1 - F.col("_revision")).over(W.partitionBy("lifecycle_id")))
+        .withColumn("changes", F.sum(F.when(holds(F.col("event_type"), "CHANGE", "MODIFY"), 1).otherwise(0)).over(upto))
+        .withColumn("revised", F.sum("_revision").over(upto)).where(own)
+        .withColumn("score", F.round(risk_score(F.col("n"), F.col("revised"), F.col("changes"), F.lit(0.0), days) + 1e-9, 2))
+    )
     steps = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.greatest(F.lit(1), F.ceil(F.col("all") * p / 100)).alias("at")) for p in (20, 40, 60, 80, 100)]))
     kept = rows.withColumn("step", steps).where(F.col("n") == F.col("step.at")).select("lifecycle_id", F.col("step.percent").alias("percent"), "score")
     last = F.max_by("score", "percent").over(W.partitionBy("lifecycle_id"))

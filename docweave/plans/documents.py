@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import cdc as C
 from docweave.operators import documents as D
+from docweave.operators import lifecycle as L
 from docweave.operators import revisions as R
 from docweave.plans.views import PO, po_items, po_versions, table
 
@@ -29,6 +30,11 @@ def token_chunks(spark, sf_dir):
     return D.token_chunks(_docs(spark, sf_dir)).select("doc_id", "n", "token_start", "token_count", F.md5("chunk").alias("md5"))
 
 
+def token_windows(spark, sf_dir):
+    w = D.token_windows(_docs(spark, sf_dir))
+    return w.select("doc_id", "n", "token_start", "token_count", "char_start", "char_end", "line_start", "line_end", F.md5("chunk").alias("md5"))
+
+
 def sentence_packs(spark, sf_dir):
     p = D.page_parts(table(spark, sf_dir, "pages"))
     return D.sentence_packs(p, "page_id", "main_text").select("page_id", "n", F.length("chunk").alias("chars"))
@@ -83,6 +89,12 @@ def _uploads(spark, sf_dir):
     )
 
 
+def risk_trend_revised(spark, sf_dir):
+    """Risk trends of all customers' uploads, with the revisions known at each."""
+    up = _uploads(spark, sf_dir)
+    return L.risk_trend(up, R.revision_rows(up).where("n > 1"))
+
+
 def po_item_changes(spark, sf_dir):
     v = po_versions(spark, sf_dir).where("prev_orderkey is not null")
     pairs = v.select(F.col("o_orderkey").alias("pair_id"), F.col("prev_orderkey").alias("prev_id"), F.col("o_orderkey").alias("curr_id"))
@@ -208,9 +220,9 @@ _SOURCES = f"""src as (select s_suppkey as source_id, case s_suppkey % 3 when 0
 QUERIES = {
     f.__name__: f
     for f in (
-        document_classes, char_chunks, token_chunks, sentence_packs, text_hashes, version_upsert, page_parts, page_types, url_priority,
+        document_classes, char_chunks, token_chunks, token_windows, sentence_packs, text_hashes, version_upsert, page_parts, page_types, url_priority,
         page_links, revision_groups, revision_changes, po_item_changes, po_total_changes, parsed_orders, delta_actions, delta_applied,
-        page_changes, due_sources, after_run, document_types, source_register,
+        risk_trend_revised, page_changes, due_sources, after_run, document_types, source_register,
     )
 }
 _FAMILIES = " ".join(f"when regexp_matches(x, '{words}') then {score}" for score, words in D.URL_PRIORITY)
@@ -234,6 +246,11 @@ select doc_id, cast(char_start / 1600 as int) as n, cast(char_start as int) as c
   cast(length(substring(text, 1, char_start)) - length(replace(substring(text, 1, char_start), chr(10), '')) + 1 as int) as line_start, md5(trim(substring(text, char_start + 1, 2000), ' ')) as md5 from s""",
     "token_chunks": r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents), s as (select doc_id, w, unnest(generate_series(0, greatest(0, len(w) - 101), 400)) as a from w where len(w) > 0)
 select doc_id, cast(a / 400 as int) as n, cast(a as int) as token_start, cast(len(w[a + 1 : a + 500]) as int) as token_count, md5(array_to_string(w[a + 1 : a + 500], ' ')) as md5 from s""",
+    "token_windows": r"""with w as (select doc_id, text, length(text) - length(regexp_replace(text, '^\s+', '')) as lead, regexp_extract_all(regexp_replace(text, '^\s+', ''), '(?s)\S+\s*') as w from documents),
+s as (select *, unnest(generate_series(0, greatest(0, len(w) - 101), 400)) as a from w where len(w) > 0),
+p as (select doc_id, text, a, len(w[a + 1 : a + 500]) as k, lead + length(array_to_string(w[1 : a], '')) as c, lead + length(regexp_replace(array_to_string(w[1 : a + 500], ''), '\s+$', '')) as e from s)
+select doc_id, cast(a / 400 as int) as n, cast(a as int) as token_start, cast(k as int) as token_count, cast(c as int) as char_start, cast(e as int) as char_end,
+  cast(1 + length(substring(text, 1, c)) - length(replace(substring(text, 1, c), chr(10), '')) as int) as line_start, cast(1 + length(substring(text, 1, e)) - length(replace(substring(text, 1, e), chr(10), '')) as int) as line_end, md5(substring(text, c + 1, e - c)) as md5 from p""",
     "text_hashes": "select sha256(coalesce(text, '')) as sha, count(*) as n, min(doc_id) as first_id from documents group by 1",
     "version_upsert": """with u as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '!' else text end) as h, sha256(text) as o from documents)
 select cast(doc_id as varchar) as doc_key, case when doc_id % 3 = 0 then 'new' when h = o then 'unchanged' else 'updated' end as action, case when doc_id % 3 = 0 or h = o then 1 else 2 end as version from u""",
@@ -249,6 +266,12 @@ select pair_id, item_no, 'quantity' as change, oq as old, nq as new from b where
 union all select pair_id, item_no, 'added', null, nq from b where oq is null""",
     "po_total_changes": f"with {PO} select o_orderkey, round((o_totalprice - prev_total) / prev_total * 100, 6) as percent from versions where prev_total <> o_totalprice",
     "parsed_orders": f"with {PO} select l_orderkey as order_id, item_no, quantity, unit_price from items",
+    "risk_trend_revised": f"""with {_UPLOADS}, r as (select u.lifecycle_id, row_number() over w as n, count(*) over (partition by u.lifecycle_id) as total, sum(case when rows.n > 1 then 1 else 0 end) over w as revised,
+  cast(floor((epoch(u.o_orderdate) - epoch(first_value(u.o_orderdate) over w)) / 86400) as bigint) as d from up u left join rows using (o_orderkey) window w as (partition by u.lifecycle_id order by u.o_orderdate, u.o_orderkey rows between unbounded preceding and current row)),
+sc as (select *, round(least(cast(0.95 as double), cast(0.2 as double) + least(cast(0.15 as double), n * cast(0.03 as double)) + least(cast(0.25 as double), revised * cast(0.1 as double))
+  + case when n <= 1 then cast(0 as double) when d > 0 then least(cast(0.15 as double), n / d * cast(0.05 as double)) else cast(0.1 as double) end) + cast(1e-9 as double), 2) as score from r),
+k as (select lifecycle_id, p as percent, score from sc cross join (values (20), (40), (60), (80), (100)) t(p) where n = greatest(1, ceil(total * p / 100)))
+select lifecycle_id, percent, least(score, max_by(score, percent) over (partition by lifecycle_id)) as score from k""",
     "delta_actions": f"with {_DELTA} select * from act",
     "delta_applied": f"""with {_DELTA} select item_id, name, size from known where item_id not in (select item_id from act where action in ('delete', 'update', 'rename'))
 union all select item_id, name, size from delta where item_id in (select item_id from act where action in ('insert', 'update', 'rename'))""",
