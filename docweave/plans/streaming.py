@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from docweave.plans.documents import ORACLES as DELTA_ORACLES
 from docweave.plans.documents import _delta, _known
+from docweave.plans.security import ORACLES as LIMITED_ORACLES
 from docweave.plans.views import table
 from docweave.sources import versioned
 from docweave.sources.shared import new_folder
 from docweave.streaming import events as S
-from docweave.streaming import sync
+from docweave.streaming import stateful, sync
+
+#: Where a session names the store of its streams' state.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +72,22 @@ def files_rolled_back(spark, sf_dir):
     return versioned.read(spark, path).select("item_id", "name", "size")
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, delta_synced, files_rolled_back)}
+def stream_admissions(spark, sf_dir):
+    """All events as requests, 3 an hour for each user, admitted as a stream whose state goes with the windows."""
+    requests = _live(spark, sf_dir).select("user_id", F.col("event_id").alias("request_id"), "ts")
+    path, before = new_folder(spark, "admissions"), spark.conf.get(PROVIDER, None)
+    stateful.use_rocksdb(spark)
+    try:
+        sink = stateful.admissions(requests, 3, 3600).writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}"))
+        sink.option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return spark.read.schema("user_id long, request_id long, allowed boolean").parquet(f"{path}/out").select("user_id", "request_id", "allowed")
+
+
+QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, delta_synced, files_rolled_back, stream_admissions)}
 ORACLES = {
+    "stream_admissions": f"select user_id, request_id, allowed from ({LIMITED_ORACLES['rate_limited']})",
     "delta_synced": DELTA_ORACLES["delta_applied"],
     "files_rolled_back": "select o_orderkey as item_id, 'f' || o_orderkey || '.pdf' as name, o_custkey as size from orders where o_orderkey % 3 <> 0",
     "stream_daily_counts": "select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2",

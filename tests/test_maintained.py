@@ -320,3 +320,63 @@ def test_questions_keep_their_rows(spark):
     assert sorted(got) == [1, 2, 3] and got[1]["sources"] == ["a.txt"] and got[1]["query_type"] == "fact"
     assert got[1]["context"].startswith("[Knowledge Graph]\nnode:7 --[OWNS]--> node:9\n\n[Documents]\nThe licence") and got[1]["confidence"] == 93
     assert not got[2]["accessible"] and got[2]["context"] == "" and not got[3]["accessible"]
+
+
+def run_stream(spark, df, mode, path):
+    from docweave.streaming import stateful
+
+    stateful.use_rocksdb(spark)
+    rows = []
+    query = df.writeStream.outputMode(mode).foreachBatch(lambda out, _: rows.extend(map(tuple, out.collect()))).option("checkpointLocation", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return rows
+
+
+def live(spark, rows, schema, path):
+    """Rows as a stream of one file a batch, in the order of their times, and a last batch much later."""
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_admission_state_goes_with_its_window(spark):
+    from datetime import datetime, timedelta
+
+    from docweave.operators import security
+    from docweave.streaming import stateful
+
+    rnd, start, path = random.Random(2), datetime(2024, 1, 1), shared.new_folder(spark, "adm")
+    schema = "user_id long, request_id long, ts timestamp"
+    first = sorted((rnd.randrange(5), i, start + timedelta(seconds=rnd.randrange(7200))) for i in range(120))
+    first.sort(key=lambda r: (r[2], r[1]))
+    batches = [first[i : i + 40] for i in range(0, 120, 40)] + [[(99, 1000, start + timedelta(days=2))], [(99, 1001, start + timedelta(days=2, seconds=1))]]
+    got = run_stream(spark, stateful.admissions(live(spark, batches, schema, f"{path}/in"), 3, 3600), "append", f"{path}/state")
+    everything = spark.createDataFrame([r for b in batches for r in b], schema).withColumn("role", F.lit("user"))
+    assert sorted(got) == sorted(map(tuple, security.admitted(everything, 3, 3600).select("user_id", "request_id", "allowed").collect()))
+    stateful.use_rocksdb(spark)
+    state = spark.read.format("statestore").option("path", f"{path}/state").option("stateVarName", "held").load()
+    assert {r["key"]["user_id"] for r in state.collect()} <= {99}  # the windows of two days before are gone
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_status_state_goes_when_done(spark):
+    from datetime import datetime, timedelta
+
+    from docweave.operators import lifecycle
+    from docweave.streaming import stateful
+
+    rnd, start, path = random.Random(3), datetime(2024, 1, 1), shared.new_folder(spark, "status")
+    schema = "lifecycle_id string, event_id long, event_type string, ts timestamp"
+    kinds = ["INVOICE_PAID", "CONTRACT_UPLOADED", "CHANGE_ORDER", "RISK_ALERT"]
+    rows = [(f"l{rnd.randrange(6)}", i, rnd.choice(kinds), start + timedelta(minutes=i)) for i in range(90)]
+    batches = [rows[i : i + 30] for i in range(0, 90, 30)] + [[("late", 500, "CHANGE_ORDER", start + timedelta(days=200))], [("late", 501, "CHANGE_ORDER", start + timedelta(days=200, seconds=9))]]
+    got = run_stream(spark, stateful.statuses(live(spark, batches, schema, f"{path}/in")), "update", f"{path}/state")
+    last = {r[0]: r[1:] for r in got}  # a later batch replaces an earlier one
+    want = {r["lifecycle_id"]: (r["status"], r["reopen_count"]) for r in lifecycle.status_fold(spark.createDataFrame([r for b in batches for r in b], schema)).collect()}
+    assert last == want
+    stateful.use_rocksdb(spark)
+    state = spark.read.format("statestore").option("path", f"{path}/state").option("stateVarName", "status").load()
+    left = {r["key"]["lifecycle_id"] for r in state.collect()}
+    assert left == {k for k, v in want.items() if v[0] == "active"}  # completed ones were forgotten
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
