@@ -323,6 +323,25 @@ def page_meta(pages: DataFrame, html_col: str = "html") -> DataFrame:
     })
 
 
+def linked_data(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", deepest: int = 6) -> DataFrame:
+    """(id, type, name) of the nodes of JSON-LD blocks: a row for each type of a node, nested in arrays, @graph or other nodes up to deepest levels.
+
+    Blocks are parsed as variants; what is not JSON is skipped. Nodes without a name are left out, a node that is
+    repeated on a page comes once.
+    """
+    spark = pages.sparkSession
+    block = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+    level = pages.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(block), F.lit(1))).alias("t"))
+    level = level.select("id", F.try_parse_json("t").alias("v")).where("v is not null")
+    every = level
+    for _ in range(deepest):
+        level = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("id", F.col("value").alias("v"))
+        every = every.unionByName(level)
+    kinds = F.coalesce(F.try_variant_get("v", '$["@type"]', "array<string>"), F.array(F.try_variant_get("v", '$["@type"]', "string")))
+    found = every.select("id", F.explode(kinds).alias("type"), F.trim(F.try_variant_get("v", "$.name", "string")).alias("name"))
+    return found.where("type is not null and name <> ''").distinct().withColumnRenamed("id", id_col)
+
+
 def same_domain(url: Column, domain: Column) -> Column:
     """Whether an address is on the domain, with or without www."""
     host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))

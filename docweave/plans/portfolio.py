@@ -171,6 +171,27 @@ def page_meta(spark, sf_dir):
     return made.select("page_id", "description", "og_title", F.element_at("nav_links", 1).alias("first_link"), F.size("json_ld") >= 1, F.element_at("people", 1).alias("person")).toDF("page_id", "description", "og_title", "first_link", "has_json", "person")
 
 
+def page_navigation(spark, sf_dir):
+    """The navigation of all pages, from their own html."""
+    made = D.page_meta(table(spark, sf_dir, "pages"))
+    return made.select("page_id", F.size("nav_links").alias("n"), F.array_join("nav_links", " | ").alias("links"))
+
+
+def linked_data(spark, sf_dir):
+    """Persons and organisations of JSON-LD made of all pages' own titles and addresses: a graph, a list, a nested member, and blocks cut short."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id") % 4
+    title = F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r'[\\"]', "")
+    person = F.concat(F.lit('{"name": "'), title, F.lit('", "@type": "Person"}'))
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"@graph": [{"@type": ["Organization", "Brand"], "name": "'), "url", F.lit('", "employee": ['), person, F.lit("]}]}")))
+        .when(k == 1, F.concat(F.lit("["), person, F.lit(', {"@type": "Organization", "name": " '), "url", F.lit(' "}, 7, null]')))
+        .when(k == 2, F.concat(F.lit('{"@type": "WebPage", "author": {"@type": "Person", "worksFor": {"@type": "Organization", "name": "'), "url", F.lit('"}}}')))
+        .otherwise(F.concat(F.lit('{"@graph": ['), person))
+    )
+    html = F.concat(F.lit("<script type='application/ld+json'> "), body, F.lit(" </script>"), F.coalesce("html", F.lit("")))
+    return D.linked_data(p.withColumn("html", html))
+
+
 def url_parts(spark, sf_dir):
     u = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://"), F.when(F.col("c_custkey") % 2 == 0, "www.").otherwise(""), F.lit("acme"), (F.col("c_custkey") % 3).cast("string"), F.lit(".com/p/#top")).alias("url"))
     return u.select("c_custkey", D.normal_url(F.col("url")).alias("url"), D.same_domain(F.col("url"), F.lit("acme1.com")).alias("own"), D.organisation(F.col("url")).alias("name"))
@@ -205,7 +226,7 @@ QUERIES = {
     for f in (
         lifecycle_parts, newest_lifecycles, own_event_documents, lifecycle_subgraph, retro_evaluation, retro_counts, invoice_outcomes, change_outcomes,
         outcome_extraction, outcome_list, full_metrics, full_risk, lifecycle_details, upload_stats, lifecycle_counts, lifecycle_export, document_links,
-        document_neighbours, graph_export, bounded_hops, page_meta, url_parts, crawl_order,
+        document_neighbours, graph_export, bounded_hops, page_meta, page_navigation, linked_data, url_parts, crawl_order,
     )
 }
 _RISK = f"""s as (select lifecycle_id, count(*) as n, count(*) filter (where regexp_matches(upper(event_type), 'CHANGE|MODIFY')) as c, {_DAYS} as d from lc group by 1),
@@ -259,6 +280,18 @@ union all (select distinct from_node || '>' || relation || '>' || to_node as lin
 h1 as (select distinct b as name from few where a = 'supplier:2'), h2 as (select distinct b as name from few join h1 on a = name where b <> 'supplier:2' and b not in (select name from h1))
 select * from (select name, 1 as hop from h1 union all select name, 2 from h2) order by hop, name limit 30""",
     "page_meta": "select page_id, 'About us' as description, 'Big & Co' as og_title, 'One two → /a' as first_link, true as has_json, 'Ada L' as person from pages where page_id % 2 = 0",
+    "page_navigation": r"""with n as (select page_id, regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1) as nav from pages),
+l as (select page_id, list_filter(list_transform(list_zip(regexp_extract_all(nav, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2), regexp_extract_all(nav, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)),
+  lambda m: {'label': trim(regexp_replace(regexp_replace(m[1], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 'to': m[2]}), lambda m: m.label <> '')[1:25] as l from n)
+select page_id, cast(len(l) as int) as n, array_to_string(list_transform(l, lambda m: m.label || ' → ' || m.to), ' | ') as links from l""",
+    "linked_data": r"""with recursive p as (select page_id, url, page_id % 4 as k, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\"]', '', 'g') as t from pages),
+b as (select page_id, case k when 0 then '{"@graph": [{"@type": ["Organization", "Brand"], "name": "' || url || '", "employee": [{"name": "' || t || '", "@type": "Person"}]}]}'
+  when 1 then '[{"name": "' || t || '", "@type": "Person"}, {"@type": "Organization", "name": " ' || url || ' "}, 7, null]'
+  when 2 then '{"@type": "WebPage", "author": {"@type": "Person", "worksFor": {"@type": "Organization", "name": "' || url || '"}}}' else '{"@graph": [' end as j from p),
+n(page_id, j, d) as (select page_id, cast(j as json), 0 from b where json_valid(j)
+  union all select page_id, unnest(case json_type(j) when 'ARRAY' then json_extract(j, '$[*]') when 'OBJECT' then json_extract(j, '$.*') else [] end), d + 1 from n where d < 6),
+t as (select page_id, unnest(case json_type(j, '$."@type"') when 'ARRAY' then json_extract_string(j, '$."@type"[*]') else [json_extract_string(j, '$."@type"')] end) as type, trim(json_extract_string(j, '$.name'), ' ') as name from n where json_type(j) = 'OBJECT')
+select distinct page_id, type, name from t where type is not null and name <> ''""",
     "url_parts": """with u as (select c_custkey, case when c_custkey % 2 = 0 then 'www.' else '' end || 'acme' || c_custkey % 3 || '.com' as h from customer)
 select c_custkey, 'https://' || h || '/p' as url, h in ('acme1.com', 'www.acme1.com') as own, 'Acme' || c_custkey % 3 as name from u""",
     "crawl_order": f"""with recursive t as (select cast(1 as bigint) as k, 0 as depth union all select unnest(range(6 * k - 4, 6 * k + 2)), depth + 1 from t where depth < 6 and k in (select c_custkey from customer) and k % 3 <> 2),

@@ -380,3 +380,14 @@ def test_status_state_goes_when_done(spark):
     left = {r["key"]["lifecycle_id"] for r in state.collect()}
     assert left == {k for k, v in want.items() if v[0] == "active"}  # completed ones were forgotten
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_linked_data_of_odd_blocks(spark):
+    from docweave.operators.documents import linked_data
+
+    block = lambda t: f'<script type="application/ld+json">{t}</script>'
+    deep = '{"a": ' * 9 + '{"@type": "Person", "name": "too deep"}' + "}" * 9
+    pages = [(1, block('{"@type": ["Person", "Chef"], "name": " Ana "}') + block("{broken") + block('[[{"@type": "Person", "name": "Bo"}, 1, "x", null]]')), (2, None), (3, "<p>none"), (4, block('{"@type": "Person", "name": 5}') + block('{"@type": "Person"}')), (5, block(deep)), (1, block('{"name": "Ana", "@type": "Person"}'))]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    assert rows_of(linked_data(df), "page_id", "type", "name") == [(1, "Chef", "Ana"), (1, "Person", "Ana"), (1, "Person", "Bo"), (4, "Person", "5")]
+    assert linked_data(df.limit(0)).count() == 0
