@@ -79,6 +79,12 @@ def set_roles(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     return chunks.join(new, "doc_key", "left").withColumn("access_roles", F.coalesce("_roles", "access_roles")).drop("_roles")
 
 
+def rename_files(chunks: DataFrame, renames: DataFrame) -> DataFrame:
+    """chunks with the new names of renames(doc_key, new_key); of several for a document the least counts, chains are not followed."""
+    new = renames.where("new_key <> ''").groupBy("doc_key").agg(F.min("new_key").alias("_new"))
+    return chunks.join(new, "doc_key", "left").withColumn("doc_key", F.coalesce("_new", "doc_key")).drop("_new").select(*chunks.columns)
+
+
 def of_file(chunks: DataFrame, doc_key: str | None) -> DataFrame:
     """Chunks of one document, or all, that are not blank."""
     rows = chunks.where(F.trim(F.coalesce("text", F.lit(""))) != "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators.graph import checkpoint
 
-from docweave.operators.revisions import ITEM
+from docweave.operators.revisions import ITEM, revision_changes
 
 Texts = tuple[Column, Column]
 BRACKETED = r"\[.*?\]"
@@ -294,6 +294,21 @@ def routed_notes(rows: DataFrame, notes_col: str = "notes") -> DataFrame:
     return reduce(DataFrame.unionByName, parts).drop("_form", "_both")
 
 
+def change_records(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """(lifecycle_id, revision_key, n, from_file, to_file, details): what each revision changed, from revision_rows() and documents(lifecycle_id, file_name, text).
+
+    Details are the notes of the contents' difference; where there are none, the note on the version, if any. A
+    file that is stored more than once counts with its largest text; one without a text gives no content notes.
+    """
+    texts = documents.groupBy("lifecycle_id", "file_name").agg(F.max("text").alias("text"))
+    side = lambda name, column: texts.select("lifecycle_id", F.col("file_name").alias(name), F.col("text").alias(column))
+    pairs = revision_changes(rows).withColumn("doc_type", F.substring_index("revision_key", "|", 1))
+    both = pairs.join(side("from_file", "prev"), ["lifecycle_id", "from_file"], "left").join(side("to_file", "curr"), ["lifecycle_id", "to_file"], "left")
+    noted = routed_notes(both, "_notes")
+    details = F.when(F.size("_notes") > 0, F.col("_notes")).otherwise(F.array_compact(F.array("note")))
+    return noted.select("lifecycle_id", "revision_key", "n", "from_file", "to_file", details.alias("details"))
+
+
 def largest_percent(notes: Column) -> Column:
     """Of all percentages that the notes give, the one of the largest size; null without one."""
     found = F.transform(F.regexp_extract_all(F.array_join(notes, "\n"), F.lit(r"([+-]?\d+(?:\.\d+)?)%"), F.lit(1)), lambda x: x.cast("double"))

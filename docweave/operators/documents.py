@@ -509,3 +509,35 @@ def lifecycle_id_in(text: Column) -> Column:
     head = F.array_join(F.slice(F.split(text, "\n"), 1, 50), "\n")
     found = [F.regexp_replace(F.trim(F.regexp_extract(head, "(?im)" + p, 1)), r"[^\w-]", "") for p in LIFECYCLE_IDS]
     return F.coalesce(*[F.when(F.length(f) >= 3, F.lower(f)) for f in found])
+
+
+#: Where a site's map is looked for, in this order; sub-maps of an index that are followed.
+MAP_PLACES, SUB_MAPS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/robots.txt"), 5
+
+
+def site_seeds(sites: DataFrame, fetched: DataFrame, deepest: int = 3) -> DataFrame:
+    """(site, seq, url): the addresses that the maps of sites(site) list, in the order of the documents, each once.
+
+    fetched(url, text) are the texts of maps and robots files. Of the places of a map the first that lists
+    anything counts; a robots file names maps by Sitemap lines. A map gives all its addresses, then those of its
+    first five sub-maps, one after the other, down to deepest levels. An address has its place as an array of
+    numbers, so that the order needs no walk.
+    """
+    texts = fetched.groupBy("url").agg(F.max("text").alias("text"))
+    places = F.array(*[F.struct(F.lit(i).alias("at"), F.concat("site", F.lit(p)).alias("url")) for i, p in enumerate(MAP_PLACES)])
+    top = sites.select("site", F.explode(places).alias("p")).select("site", "p.at", "p.url").join(texts, "url")
+    named = F.regexp_extract_all("text", F.lit(r"(?im)^sitemap:[ \t]*(\S+)"), F.lit(1))
+    robots = top.where(F.col("at") == len(MAP_PLACES) - 1).select("site", "at", F.posexplode(named).alias("i", "url")).join(texts, "url")
+    maps = top.where(F.col("at") < len(MAP_PLACES) - 1).select("site", "at", F.array("at").alias("place"), "text").unionByName(robots.select("site", "at", F.array("at", "i").alias("place"), "text"))
+    found = None
+    for level in range(deepest + 1):
+        urls = maps.select("site", "at", "place", F.posexplode(F.regexp_extract_all("text", F.lit(r"<loc>\s*(https?://[^\s<]+)\s*</loc>"), F.lit(1))).alias("i", "url"))
+        urls = urls.select("site", "at", F.concat("place", F.array(F.lit(0), F.col("i"))).alias("place"), "url")
+        found = urls if found is None else found.unionByName(urls)
+        if level < deepest:
+            subs = F.slice(F.regexp_extract_all("text", F.lit(r"(?s)<sitemap>.*?<loc>(https?://[^\s<]+)</loc>.*?</sitemap>"), F.lit(1)), 1, SUB_MAPS)
+            maps = maps.select("site", "at", "place", F.posexplode(subs).alias("i", "url")).join(texts, "url").select("site", "at", F.concat("place", F.array(F.lit(1), F.col("i"))).alias("place"), "text")
+    found = checkpoint(found)
+    first = found.groupBy("site").agg(F.min("at").alias("at"))
+    once = found.join(first, ["site", "at"]).groupBy("site", "url").agg(F.min("place").alias("place"))
+    return once.select("site", F.row_number().over(W.partitionBy("site").orderBy("place", "url")).alias("seq"), "url")

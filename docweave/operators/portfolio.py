@@ -223,3 +223,11 @@ def status_counts(lifecycles: DataFrame) -> DataFrame:
 def as_json(rows: DataFrame) -> DataFrame:
     """(json): every row as one JSON object, for an export."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def as_csv(rows: DataFrame) -> DataFrame:
+    """(n, line): the names of the columns (n is 0), then every row as one line of CSV by its first column; cells with commas or quotes are quoted, nulls are empty."""
+    first = rows.columns[0]
+    lines = rows.select(F.to_csv(F.struct(*[F.col(c).cast("string") for c in rows.columns]), {"quote": '"', "escape": '"'}).alias("line"), F.lit(1).alias("n"), F.col(first).cast("string").alias("key"))
+    head = rows.sparkSession.createDataFrame([(",".join(rows.columns), 0, None)], "line string, n int, key string")
+    return head.unionByName(lines).orderBy("n", "key", "line").select("n", "line")

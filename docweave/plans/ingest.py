@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from docweave.operators import answering as A
 from docweave.operators import cdc as K
 from docweave.operators import context as C
+from docweave.operators import diffs as X
 from docweave.operators import documents as D
 from docweave.operators import ingest as I
+from docweave.operators import portfolio as P
 from docweave.operators import retrieval as R
 from docweave.operators import revisions as V
 from docweave.operators import security as S
+from docweave.plans.documents import _UPLOADS, _uploads
 from docweave.plans.documents import ORACLES as DOCUMENTS
 from docweave.plans.retrieval import _HEAD, probes, user_chunks
 from docweave.plans.security import _ASKED, _any, _asked
-from docweave.plans.views import LOG, chat_log, table
+from docweave.plans.views import LOG, chat_log, chunks, table
 
 
 def ingested_files(spark, sf_dir):
@@ -154,3 +157,54 @@ select c as lifecycle_id, f as file_name, s as stored_name, t as text from n joi
 qualify row_number() over (partition by c, f order by s <> f, seq) = 1""",
     "recent_jobs": "select o_orderkey as job_id from orders order by o_orderdate desc, o_orderkey desc limit 20",
 }
+
+
+def change_records(spark, sf_dir):
+    """What every revision of the purchase orders changed: their timeline where it became shorter, else their version."""
+    up = _uploads(spark, sf_dir)
+    rows = V.revision_rows(up)
+    text = F.concat(F.lit("Timeline: "), F.col("event_id") % 9 + 1, F.lit(" days\n"))
+    documents = up.select("lifecycle_id", V.file_in_summary(F.col("summary")).alias("file_name"), text.alias("text"))
+    found = X.change_records(rows, documents)
+    return found.select("lifecycle_id", "revision_key", "n", "from_file", "to_file", F.array_join("details", " | ").alias("details"))
+
+
+def exported_csv(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    rows = s.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit(', "old"'))).when(F.col("s_suppkey") % 3 == 1, F.col("s_name")).alias("name"))
+    return P.as_csv(rows)
+
+
+def renamed_files(spark, sf_dir):
+    c = chunks(spark, sf_dir, False)
+    renames = c.select("doc_key", F.concat(F.lit("new/"), "doc_key").alias("new_key")).distinct().where(F.col("doc_key").endswith("1"))
+    return A.rename_files(c, renames).groupBy("doc_key").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (change_records, exported_csv, renamed_files)}
+ORACLES |= {
+    "change_records": f"""with {_UPLOADS}, p as (select *, lag(file_name) over w as from_file, lag(version) over w as before, lag(o_orderkey) over w % 9 + 1 as a, o_orderkey % 9 + 1 as b from rows window w as (partition by lifecycle_id, revision_key order by n))
+select lifecycle_id, revision_key, n, from_file, file_name as to_file, case when b < a then 'Timeline compressed: ' || a || ' days → ' || b || ' days' else 'Version updated: v' || before || ' → v' || version end as details from p where n > 1""",
+    "exported_csv": "select 0 as n, 's_suppkey,name' as line union all select 1, s_suppkey || ',' || case s_suppkey % 3 when 0 then '\"' || s_name || ', \"\"old\"\"\"' when 1 then s_name else '' end from supplier",
+    "renamed_files": """select case when source like '%1' then 'new/' || source else source end as doc_key, count(*) as n from documents group by 1""",
+}
+
+
+def site_seeds(spark, sf_dir):
+    """Maps made of all pages' addresses: a site for each tenth page, its index, and a sub-map for each page of the ten; every third by its robots file."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    site, loc = F.concat(F.lit("https://s"), F.floor(k / 10)), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))
+    sub = F.concat(site, F.lit("/m"), k, F.lit(".xml"))
+    subs = p.select(sub.alias("url"), F.concat(F.lit("<urlset>"), loc(F.col("url")), loc(F.concat(F.col("url"), F.lit("#x"))), F.lit("</urlset>")).alias("text"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, sub.alias("u")))), lambda x: F.concat(F.lit("<sitemap> "), loc(x["u"]), F.lit(" </sitemap>"))), "\n")
+    index = p.groupBy(site.alias("site"), (F.floor(k / 10) % 3 == 0).alias("robots")).agg(listed.alias("text"))
+    places = index.select(F.concat("site", F.when(F.col("robots"), "/hidden.xml").otherwise("/sitemap_index.xml")).alias("url"), "text")
+    robots = index.where("robots").select(F.concat("site", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: "), "site", F.lit("/hidden.xml\nsitemap: https://gone\n")).alias("text"))
+    return D.site_seeds(index.select("site"), subs.unionByName(places).unionByName(robots))
+
+
+QUERIES["site_seeds"] = site_seeds
+ORACLES["site_seeds"] = """with p as (select page_id as k, 'https://s' || page_id // 10 as site, url, row_number() over (partition by page_id // 10 order by page_id) as r from pages),
+u as (select site, 0 as a, k as b, 0 as c, site || '/m' || k || '.xml' as url from p union all select site, 1, k, unnest([0, 1]), unnest([url, url || '#x']) from p where r <= 5),
+m as (select site, url, min({'a': a, 'b': b, 'c': c}) as place from u group by 1, 2)
+select site, row_number() over (partition by site order by place, url) as seq, url from m"""

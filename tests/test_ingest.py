@@ -49,3 +49,29 @@ def test_names_cards_feedback_and_sites(spark):
     assert [tuple(r) for r in urls.select(*I.site_of(F.col("u"))).collect()] == [("h.com", "a"), (None, None), (None, None)]
     moments = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05.25+02:00",), ("2024-01-02",), ("2024-13-02",), ("x",), (None,)], "t string")
     assert [str(r[0]) for r in moments.select(I.moment_of(F.col("t"))).collect()] == ["2024-01-02 03:04:05", "2024-01-02 03:04:05.250000", "2024-01-02 00:00:00", "None", "None", "None"]
+
+
+def test_seeds_come_in_the_order_of_the_maps(spark):
+    loc = lambda *urls: "".join(f"<loc> {u} </loc>" for u in urls)
+    index = "".join(f"<sitemap><loc>https://a/m{i}.xml</loc></sitemap>" for i in range(7))
+    fetched = [
+        ("https://a/sitemap.xml", "<html>no map</html>"), ("https://a/sitemap_index.xml", index + loc("https://a/own")), ("https://a/robots.txt", "Sitemap: https://a/other.xml"), ("https://a/other.xml", loc("https://a/never")),
+        *[(f"https://a/m{i}.xml", loc(f"https://a/p{9 - i}", "https://a/own")) for i in range(7)],
+        ("https://b/robots.txt", "User-agent: *\nSITEMAP: https://b/two.xml\nsitemap:https://b/one.xml"), ("https://b/one.xml", loc("https://b/1")), ("https://b/two.xml", loc("https://b/2", "ftp://x", "https://b/1")), ("https://c/sitemap.xml", None),
+        ("https://d/sitemap.xml", "<sitemap><loc>https://d/sitemap.xml</loc></sitemap>"),
+    ]
+    sites = spark.createDataFrame([(f"https://{s}",) for s in "abcde"], "site string")
+    got = {}
+    for r in D.site_seeds(sites, spark.createDataFrame(fetched, "url string, text string")).orderBy("site", "seq").collect():
+        got.setdefault(r["site"][-1], []).append(r["url"].removeprefix(r["site"] + "/"))
+    assert got == {"a": [*[f"m{i}.xml" for i in range(7)], "own", "p9", "p8", "p7", "p6", "p5"], "b": ["2", "1"], "d": ["sitemap.xml"]}
+
+
+def test_changes_have_the_notes_of_their_contents(spark):
+    from docweave.operators import diffs, revisions
+
+    up = [("l", i, "PURCHASE_ORDER_UPLOADED", f"2024-01-0{i}", f"Document PO_2024_A_v{i}.txt uploaded.") for i in range(1, 4)]
+    events = spark.createDataFrame(up, "lifecycle_id string, event_id long, event_type string, ts string, summary string").withColumn("ts", F.to_timestamp("ts"))
+    texts = spark.createDataFrame([("l", "PO_2024_A_v1.txt", "Timeline: 9 days"), ("l", "PO_2024_A_v2.txt", "Timeline: 4 days"), ("l", "PO_2024_A_v2.txt", None)], "lifecycle_id string, file_name string, text string")
+    got = diffs.change_records(revisions.revision_rows(events), texts).orderBy("n").collect()
+    assert [r["details"] for r in got] == [["Timeline compressed: 9 days → 4 days"], ["Version updated: v2 → v3"]]
