@@ -391,3 +391,15 @@ def test_linked_data_of_odd_blocks(spark):
     df = spark.createDataFrame(pages, "page_id long, html string")
     assert rows_of(linked_data(df), "page_id", "type", "name") == [(1, "Chef", "Ana"), (1, "Person", "Ana"), (1, "Person", "Bo"), (4, "Person", "5")]
     assert linked_data(df.limit(0)).count() == 0
+
+
+def test_equal_long_strings_are_looked_up_once(spark):
+    from docweave.operators.containment import contained
+
+    short = spark.createDataFrame([(1, "alpha"), (2, "alpha"), (3, "gone")], "short_id long, s string")
+    long = spark.range(600).selectExpr("id as long_id", "if(id % 2 = 0, 'an alpha here', 'nothing') as t")
+    pairs = contained(short, long)
+    assert pairs.count() == 600 and pairs.distinct().count() == 600
+    # the pieces of a text are made after equal texts have become one
+    explode = next(line for line in pairs._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)[1].split("\n") if "Aggregate" in line or "Relation" in line or "Range" in line)
+    assert "Aggregate" in explode
