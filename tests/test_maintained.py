@@ -1,6 +1,7 @@
 """Versioned tables, restartable feeds, kept postings, containment joins, entity classes, word boundaries."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -403,3 +404,14 @@ def test_equal_long_strings_are_looked_up_once(spark):
     # the pieces of a text are made after equal texts have become one
     explode = next(line for line in pairs._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)[1].split("\n") if "Aggregate" in line or "Relation" in line or "Range" in line)
     assert "Aggregate" in explode
+
+
+def test_queries_of_one_wording_are_compared_once(spark):
+    from docweave.operators.context import mentioned_files
+
+    names = spark.createDataFrame([("annual_report.pdf",), ("Annual-Report.txt",), ("report.md",)], "doc_key string")
+    asked = spark.range(500).selectExpr("id as query_id", "if(id % 2 = 0, 'ANNUAL of report', 'nothing') as query")
+    found = mentioned_files(asked, names)
+    assert rows_of(found, "query_id", "doc_key", "score") == sorted(((i, "Annual-Report.txt", 1.0) for i in range(0, 500, 2)), key=str)
+    words = [part.split("Range")[0] for part in found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1:]]
+    assert all("Aggregate" in w for w in words)
