@@ -415,3 +415,27 @@ def test_queries_of_one_wording_are_compared_once(spark):
     assert rows_of(found, "query_id", "doc_key", "score") == sorted(((i, "Annual-Report.txt", 1.0) for i in range(0, 500, 2)), key=str)
     words = [part.split("Range")[0] for part in found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1:]]
     assert all("Aggregate" in w for w in words)
+
+
+def test_navigation_by_common_words(spark):
+    from docweave.operators.context import navigation_match
+
+    rnd, common = random.Random(5), [f"w{i}" for i in range(9)]
+    pages = [(f"u{rnd.randrange(60)}", " ".join(rnd.choices(common, k=rnd.randrange(0, 7)))) for _ in range(120)]
+    asked = [(i, "The " + " ".join(rnd.choices([*common, "none"], k=rnd.randrange(0, 6)))) for i in range(80)]
+    want = []
+    for i, q in asked:
+        totals = {}
+        for url, title in pages:
+            if n := len((set(q.lower().split()) - {"the"}) & set(title.split())):
+                totals[url] = totals.get(url, 0) + n
+        if totals:
+            want.append((i, *min(((-n, u) for u, n in totals.items()))[::-1]))
+    got = navigation_match(spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(pages, "url string, title string"), ("the",))
+    assert rows_of(got, "query_id", "url", "shared") == sorted(((i, u, -n) for i, u, n in want), key=str)
+    # 6,000 titles with forty words that all have: by every word they would meet 1.4 billion times
+    many = spark.range(6000).selectExpr("id as query_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('c', i)), id) as title", "concat('u', id) as url")
+    began = time.perf_counter()
+    got = navigation_match(many.selectExpr("query_id", "title as query"), many, ())
+    assert got.where("url = concat('u', query_id) and shared = 41").count() == 6000
+    assert time.perf_counter() - began < 40
