@@ -14,6 +14,16 @@ TERMINAL = (
 SECONDS_A_DAY = 86400
 
 
+def seconds_of(ts: Column) -> Column:
+    """Seconds since 1970 with their fraction: whole seconds would add a day or a minute where only the fraction falls short of it."""
+    return F.unix_micros(ts) / 1_000_000
+
+
+def days_between(first: Column, last: Column) -> Column:
+    """Whole days of 24 hours from first to last, to the microsecond."""
+    return F.floor((F.unix_micros(last) - F.unix_micros(first)) / F.lit(SECONDS_A_DAY * 1_000_000))
+
+
 def holds(event_type: Column, *words: str) -> Column:
     return F.upper(event_type).rlike("|".join(words))
 
@@ -72,7 +82,7 @@ def evaluate(events: DataFrame) -> DataFrame:
 def spans(events: DataFrame) -> DataFrame:
     """(lifecycle_id, n_events, whole days from first to last event, event-type counts by class)."""
     t = F.col("event_type")
-    days = F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / SECONDS_A_DAY)
+    days = days_between(F.min("ts"), F.max("ts"))
     return events.groupBy("lifecycle_id").agg(
         F.count("*").alias("n_events"),
         days.alias("days"),
@@ -133,7 +143,7 @@ def risk_trend(events: DataFrame, revisions: DataFrame | None = None) -> DataFra
     if revisions is not None:
         both = both.unionByName(revisions.select("lifecycle_id", "ts", "event_id", F.lit(None).cast("string").alias("event_type"), F.lit(1).alias("_revision")))
     own = F.col("_revision") == 0
-    days = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.min(F.when(own, F.col("ts"))).over(upto))) / SECONDS_A_DAY)
+    days = days_between(F.min(F.when(own, F.col("ts"))).over(upto), F.col("ts"))
     rows = (
         both.withColumn("n", F.sum(1 - F.col("_revision")).over(upto))
         .withColumn("all", F.sum(1 - F.col("_revision")).over(W.partitionBy("lifecycle_id")))
@@ -164,7 +174,7 @@ def mean_cycle(events: DataFrame) -> DataFrame:
 def notifications(events: DataFrame, as_of: Column, most: int = 10) -> DataFrame:
     """Newest events with a class and how long ago they were."""
     t = F.col("event_type")
-    seconds = F.unix_timestamp(as_of) - F.unix_timestamp("ts")
+    seconds = seconds_of(as_of) - seconds_of(F.col("ts"))
     age = (
         F.when(seconds < 60, "just now")
         .when(seconds < 3600, F.format_string("%d minutes ago", F.floor(seconds / 60)))
@@ -198,7 +208,7 @@ def activity(events: DataFrame) -> DataFrame:
     """(lifecycle_id, n_events, latest, sentence): how much happened over how many whole days."""
     s = events.groupBy("lifecycle_id").agg(
         F.count("*").alias("n_events"), F.max("ts").alias("latest"),
-        F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / SECONDS_A_DAY).alias("days"),
+        days_between(F.min("ts"), F.max("ts")).alias("days"),
     )
     last = F.date_format("latest", "yyyy-MM-dd")
     over = F.format_string("%d events recorded over %d days. Last activity: %s.", "n_events", "days", last)
