@@ -201,8 +201,8 @@ def crawl_order(spark, sf_dir):
     """A crawl of up to 500 pages over a tree of addresses of all customers: customer k links to six others."""
     url = lambda k: F.concat(F.lit("https://a.com/"), F.when(k % 3 == 0, "about/").when(k % 3 == 1, "blog/").otherwise("p"), k.cast("string"), F.when(k % 3 == 2, ".pdf").otherwise(""))
     k = F.col("c_custkey")
-    links = table(spark, sf_dir, "customer").select(url(k).alias("url"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: url(6 * k - 4 + i))).alias("link"))
-    return D.crawl(spark.range(1).select(url(F.lit(1)).alias("url")), links).select("url", "depth", "seq")
+    pages, link = table(spark, sf_dir, "customer").select(url(k).alias("url"), k), F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: url(6 * k - 4 + i)))
+    return D.crawl(spark.range(1).select(url(F.lit(1)).alias("url")), pages, link=link).select("url", "depth", "seq")
 
 
 _CLOSED = "('" + "', '".join(P.CLOSED_STATUSES) + "')"
