@@ -14,6 +14,7 @@ from docweave.operators import answering as A
 from docweave.operators import retrieval as R
 from docweave.operators.containment import contained
 from docweave.operators.context import key_sentences
+from docweave.operators.graph import checkpoint
 
 #: Passages and characters of a context, passages of a document and of a page, the line between passages and the mark of a cut.
 PASSAGES, CHARACTERS, OF_DOCUMENT, OF_PAGE = 8, 8000, 2, 1
@@ -84,7 +85,9 @@ def graph_lines(queries: DataFrame, edges: DataFrame, most: int = 50) -> DataFra
     A node is named if its name stands in the question, without regard to case (a containment join).
     """
     ends = edges.select(F.col("from_node").alias("name")).unionByName(edges.select(F.col("to_node").alias("name"))).distinct()
+    edges = edges.select("from_node", "relation", "to_node")
     named = contained(ends.select(F.col("name").alias("short_id"), F.lower("name").alias("s")), queries.select(F.col("query_id").alias("long_id"), F.lower("query").alias("t")))
+    named = checkpoint(named)  # small where questions are few: then the edges stay where they are
     line = F.concat("from_node", F.lit(" --["), "relation", F.lit("]--> "), "to_node")
     at = lambda end: edges.select(F.col(end).alias("short_id"), line.alias("line"))
     lines = named.join(at("from_node").unionByName(at("to_node")), "short_id").select(F.col("long_id").alias("query_id"), "line").distinct()
@@ -101,9 +104,9 @@ def ask(queries: DataFrame, chunks: DataFrame, edges: DataFrame, role: str, k: i
     """
     parts = queries.select("query_id", F.posexplode(A.question_parts(F.col("query"))).alias("part", "text"))
     readable = R.governed(chunks, role)
-    hits = A.multi_hop(parts, readable, k)
+    hits = checkpoint(A.multi_hop(parts, readable, k))  # read more than once, and k rows a question: texts need not move
     texts = readable.select("chunk_id", "text", *[c for c in PAGE_COLUMNS if c in readable.columns])
-    found = build_context(select_passages(hits.join(texts, "chunk_id")))
+    found = build_context(select_passages(checkpoint(hits.join(texts, "chunk_id"))))
     rows = queries.join(found, "query_id", "left").join(graph_lines(queries, edges), "query_id", "left")
     some, kind = F.col("passages").isNotNull(), R.classify(F.col("query"))
     no = F.lit(False)
