@@ -2,6 +2,8 @@
 
 The index is a versioned folder. A version names segments of postings (term, chunk_id, doc_key, length, tf)
 whose counts are signed: what an increment adds is positive, what it takes away negative, so a merge is a sum.
+Beside them stands a row for every chunk with its terms and their counts, made where the text is read: postings are
+these rows told apart, and a removal reads the rows of its chunks, not the postings.
 The terms (term, df) are written whole for every version, with the number of chunks, their length and the mean
 idf (over all terms) in its manifest: a search reads the asked terms only. Both are sorted by term inside buckets of terms, so a
 filter on terms prunes folders and row groups.
@@ -10,9 +12,12 @@ filter on terms prunes folders and row groups.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,11 @@ from docweave.operators.retrieval import BROADCAST_TERMS, tokens
 from docweave.sources import versioned
 
 POSTINGS = "term string, chunk_id {id}, doc_key {key}, length int, tf long"
+ROWS = "chunk_id {id}, doc_key {key}, n long, texts long, length int, terms array<string>, counts array<int>"
+#: Parts into which the chunks of a term are dealt for writing.
+DEALT = 16
+#: Chunks whose terms are counted at once in a task.
+STEP = 256
 #: An index of more segments is merged into one.
 SEGMENTS = 8
 
@@ -28,22 +38,43 @@ def term_bucket(buckets: int, term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """Postings of chunks(chunk_id, doc_key, text); a chunk without a token has none."""
-    docs = chunks.select("chunk_id", "doc_key", tokens(F.col("text")).alias("t"))
-    rows = docs.select("chunk_id", "doc_key", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "chunk_id", "doc_key", "length").agg(F.count("*").alias("tf"))
+def counted(chunks: DataFrame, types: dict[str, str]) -> DataFrame:
+    """A row (chunk_id, doc_key, n, texts, length, terms, counts) for each of chunks(chunk_id, doc_key, text): its terms, and how often each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP):
+                batch = whole.slice(a, STEP)
+                lists = batch.column("tokens").fill_null([])
+                words = lists.flatten().dictionary_encode()
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                size = max(1, len(words.dictionary))
+                keys, counts = np.unique(of * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                ends = pa.array(np.searchsorted(keys, np.arange(len(lists) + 1) * size), pa.int32())
+                terms = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(keys % size)))
+                counts = pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))
+                columns = [*(batch.column(c) for c in ("chunk_id", "doc_key", "n", "texts", "length")), terms, counts]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "doc_key", "n", "texts", "length", "terms", "counts"])
 
-def _put(rows: DataFrame, path: str, buckets: int, order: list[str]) -> str:
-    """Write rows by buckets of terms, sorted; a term that all chunks have is dealt to several tasks by its chunks."""
+    one = F.lit(1).cast("long").alias("n")
+    docs = chunks.select("chunk_id", "doc_key", one, F.col("text").isNotNull().cast("long").alias("texts"), tokens(F.col("text")).alias("tokens"))
+    return docs.withColumn("length", F.when(F.col("tokens").isNull(), 0).otherwise(F.size("tokens"))).mapInArrow(run, ROWS.format(**types))
+
+
+def _put(rows: DataFrame, path: str, buckets: int, order: list[str], deal: list[Column]) -> str:
+    """Write rows by buckets of terms, sorted in every file; deal tells which rows of a bucket go to one task."""
     place = f"data/{uuid.uuid4().hex}"
     rows = rows.withColumn("bucket", term_bucket(buckets))
     by = ["bucket", *order]
-    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/{place}")
+    rows.repartition("bucket", *deal).sortWithinPartitions(*by).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/{place}")
     return place
 
 
+def _put_postings(rows: DataFrame, path: str, buckets: int) -> str:
+    """Write postings; a term that all chunks have is dealt to several tasks by its chunks."""
+    return _put(rows, path, buckets, ["term", "chunk_id"], [F.pmod(F.xxhash64("chunk_id"), F.lit(DEALT))])
+
+
 def _segments(spark: SparkSession, path: str, now: dict[str, Any]) -> DataFrame:
     schema = POSTINGS.format(**now["types"]) + ", bucket int"
     parts = [spark.read.schema(schema).parquet(f"{path}/{p}") for p in now["segments"]]
@@ -53,10 +84,14 @@ def _segments(spark: SparkSession, path: str, now: dict[str, Any]) -> DataFrame:
     return out
 
 
+def _rows(spark: SparkSession, path: str, places: list[str], types: dict[str, str]) -> DataFrame:
+    """The chunks' rows of some increments; n is negative for a chunk that was taken away."""
+    return spark.read.schema(ROWS.format(**types)).parquet(*[f"{path}/{p}" for p in places])
+
+
 def _docs(spark: SparkSession, path: str, now: dict[str, Any]) -> DataFrame:
     """(chunk_id, n, texts) of what is in the index: how often a chunk is, and how often it has a text."""
-    parts = spark.read.schema(f"chunk_id {now['types']['id']}, n long, texts long").parquet(*[f"{path}/{p}" for p in now["chunks"]])
-    return parts.groupBy("chunk_id").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where("n > 0")
+    return _rows(spark, path, now["rows"], now["types"]).groupBy("chunk_id").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where("n > 0")
 
 
 def _terms(spark: SparkSession, path: str, now: dict[str, Any]) -> DataFrame:
@@ -66,45 +101,43 @@ def _terms(spark: SparkSession, path: str, now: dict[str, Any]) -> DataFrame:
 def refresh(spark: SparkSession, path: str, added: DataFrame | None = None, removed: DataFrame | None = None, at: float = 0.0, buckets: int = 64) -> int:
     """A new version with the chunks of added(chunk_id, doc_key, text), without those of removed(chunk_id); the number of chunks.
 
-    Builds the index where there is none. A chunk that changed is in both. Removed chunks' postings are found
-    by one pass over the postings; additions read nothing but themselves. Chunks that are added twice count twice,
+    Builds the index where there is none. A chunk that changed is in both. Removed chunks' postings are made
+    from their rows; additions read nothing but themselves, and them once. Chunks that are added twice count twice,
     as in bm25; chunks without a text count, but not in the mean length.
     """
     now = versioned.manifest(spark, path)
     segments, docs, texts, length = (list(now["segments"]), now["docs"], now["texts"], now["length"]) if now else ([], 0, 0, 0)
-    held = list(now["chunks"]) if now else []
+    held = list(now["rows"]) if now else []
     buckets = now["of"] if now else buckets
     types = now["types"] if now else {"id": dict(added.dtypes)["chunk_id"], "key": dict(added.dtypes)["doc_key"]}
-    changes, chunks = [], []
+    changes = []
     if added is not None:
-        changes.append(counted(added))
-        chunks.append(added.select("chunk_id", F.lit(1).cast("long").alias("n"), F.col("text").isNotNull().cast("long").alias("texts")))
+        changes.append(counted(added, types))
     if removed is not None and now:
         ids = removed.select("chunk_id").distinct()
-        whole = _segments(spark, path, now).join(ids, "chunk_id", "left_semi").groupBy("term", "chunk_id", "doc_key", "length").agg(F.sum("tf").alias("tf"))
-        changes.append(whole.where("tf <> 0").withColumn("tf", -F.col("tf")))
-        chunks.append(_docs(spark, path, now).join(ids, "chunk_id", "left_semi").select("chunk_id", (-F.col("n")).alias("n"), (-F.col("texts")).alias("texts")))
+        same = ["chunk_id", "doc_key", "length", "terms", "counts"]
+        gone = _rows(spark, path, held, types).join(ids, "chunk_id", "left_semi").groupBy(*same).agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+        changes.append(gone.where("n <> 0").withColumns({"n": -F.col("n"), "texts": -F.col("texts")}))
     if not changes:
         return docs
-    segments.append(_put(reduce(DataFrame.unionByName, changes), path, buckets, ["term", "chunk_id"]))
     held.append(f"data/{uuid.uuid4().hex}")
-    reduce(DataFrame.unionByName, chunks).write.option("compression", "zstd").parquet(f"{path}/{held[-1]}")
-    here = spark.read.parquet(f"{path}/{held[-1]}").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
-    docs, texts = docs + here[0], texts + here[1]
-    made = {"segments": segments[-1:], "types": types}
-    new = _segments(spark, path, made)
-    length += new.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    df = new.groupBy("term").agg(F.sum(F.signum("tf")).cast("long").alias("df"))
+    reduce(DataFrame.unionByName, changes).write.option("compression", "zstd").parquet(f"{path}/{held[-1]}")
+    new = _rows(spark, path, held[-1:], types)
+    here = new.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n"), F.col("texts"), F.col("n") * F.col("length")))).first()
+    docs, texts, length = docs + here[0], texts + here[1], length + here[2]
+    postings = new.select("chunk_id", "doc_key", "length", "n", F.inline(F.arrays_zip("terms", "counts"))).withColumnRenamed("terms", "term")
+    segments.append(_put_postings(postings.select("term", "chunk_id", "doc_key", "length", (F.col("counts") * F.col("n")).alias("tf")), path, buckets))
+    df = new.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0")
     if now:
         df = df.unionByName(_terms(spark, path, now).select("term", "df")).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    terms = _put(df, path, buckets, ["term"])
+    terms = _put(df, path, buckets, ["term"], [])
     kept = _terms(spark, path, {"terms": terms})
     raw = F.ln((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean, size = kept.agg(F.avg(raw), F.count("*")).first()
     if len(segments) > SEGMENTS:
         merged = _segments(spark, path, {"segments": segments, "types": types}).groupBy("term", "chunk_id", "doc_key", "length").agg(F.sum("tf").alias("tf"))
-        segments = [_put(merged.where("tf <> 0"), path, buckets, ["term", "chunk_id"])]
-    content = {"segments": segments, "chunks": held, "terms": terms, "docs": docs, "texts": texts, "length": length, "mean_idf": mean, "vocabulary": size, "of": buckets, "types": types, "at": at}
+        segments = [_put_postings(merged.where("tf <> 0"), path, buckets)]
+    content = {"segments": segments, "rows": held, "terms": terms, "docs": docs, "texts": texts, "length": length, "mean_idf": mean, "vocabulary": size, "of": buckets, "types": types, "at": at}
     versioned.commit(spark, path, content, now["version"] if now else 0)
     return docs
 
