@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._shared import materialise, sorted_groups, text_or_empty
+from docweave.llm._shared import drop_since, mark, materialise, sorted_groups, text_or_empty
 
 #: Fingerprints of one block of a crowded bucket.
 BLOCK = 512
@@ -61,9 +61,14 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
     return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, fp long")
 
 
+def word_rows(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints as rows of words, also those of one word."""
+    return fps if fps.ndim == 2 else fps[:, None]
+
+
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows, one per bit; lane i of a row is that bit of fingerprint i, 64 lanes to a word."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """A row for each bit of the fingerprints (of one word, or a row of words each); lane i of a row is that bit of fingerprint i, 64 lanes to a word."""
+    bits = np.unpackbits(np.ascontiguousarray(word_rows(fps)).view(np.uint8), axis=1, bitorder="little").T
     pad = -len(fps) % 64
     lanes = np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1, bitorder="little")
     return np.ascontiguousarray(lanes).view(np.uint64)
@@ -107,12 +112,12 @@ def near_lanes(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarr
 
     Queries with only far lanes leave early.
     """
-    out = np.zeros((len(queries), planes.shape[1]), np.uint64)
+    out, words = np.zeros((len(queries), planes.shape[1]), np.uint64), word_rows(queries)
     alive, counters = np.arange(len(queries)), Counters(out.shape, radius)
-    for p in range(0, 64, 2):
-        q = queries[alive]
-        counters.add(*(planes[i][None, :] ^ (np.uint64(0) - (q >> np.uint64(i) & np.uint64(1)))[:, None] for i in (p, p + 1)))
-        if p % 16 == 14 and p < 62:
+    for p in range(0, len(planes), 2):
+        q = words[alive, p >> 6]
+        counters.add(*(planes[i][None, :] ^ (np.uint64(0) - (q >> np.uint64(i & 63) & np.uint64(1)))[:, None] for i in (p, p + 1)))
+        if p % 16 == 14 and radius < p < len(planes) - 2:
             some = counters.within().any(axis=1)
             if not some.all():
                 alive = alive[some]
@@ -130,9 +135,9 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     planes = bit_planes(left) ^ bit_planes(right)
     out = np.zeros(planes.shape[1], np.uint64)
     alive, counters = np.arange(len(out)), Counters(out.shape, radius)
-    for p in range(0, 64, 2):
+    for p in range(0, len(planes), 2):
         counters.add(planes[p, alive], planes[p + 1, alive])
-        if p % 16 == 14 and p < 62:
+        if p % 16 == 14 and radius < p < len(planes) - 2:
             some = counters.within() != 0
             if not some.all():
                 alive = alive[some]
@@ -235,8 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches.
 
     Large-star and small-star steps in turn; the edges become stars around the smallest nodes in
-    about log2(nodes) rounds. Each round is written to the shared folder.
+    about log2(nodes) rounds. Each round is written to the shared folder; only the last one stays there.
     """
+    place = mark()
     edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -251,6 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
             if after.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
                 break
         edges = after
+    drop_since(after.sparkSession, place)
     return after.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )

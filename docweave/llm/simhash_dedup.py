@@ -1,12 +1,14 @@
 """SimHash near-deduplication of a corpus: bit-sliced fingerprints propose, shingle sets decide.
 
 A link is a Jaccard index of the texts' word shingles of the similarity or more. At 0.8 two
-fingerprints of 64 bits differ in about ten, too many for parts of the bits as keys. So texts meet
+fingerprints of 128 bits differ in about twenty, too many for parts of the bits as keys. So texts meet
 by shingles instead: a text keeps the few of its shingles that come first in one order of all (rare
 ones before those that a sample finds often), and two sets of the similarity share a kept shingle.
 Of the texts that meet, bit planes of 64 pairs at a time are counted with carry-save adders, and
 words of only far pairs are abandoned; the radius is the least that a pair at the similarity
-exceeds once in a million. What is left is compared by its shingles. A bucket first sends stars
+exceeds once in a million. With 64 bits that is 25, which one unrelated pair in twenty is within: texts
+that share a line would then make families that grow with the square of the corpus; with 128 it is 41, one
+in 40 000. What is left is compared by its shingles. A bucket first sends stars
 around a few of its members, whose pairs are verified. Where a bucket then still holds several
 components, those with fingerprints within the radius make a family (a spanning forest is sent, not
 the pairs); the texts of a family meet in one task, or block by block if they are many, and
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._chunks import squeeze, unsqueeze
-from docweave.llm._shared import ROW, materialise, numbered, sorted_groups, text_or_empty
-from docweave.llm.simhash import bit_planes, components, edges_of, majority, near_lanes, near_pairs
+from docweave.llm._shared import ROW, drop_since, mark, materialise, numbered, sorted_groups, text_or_empty
+from docweave.llm.simhash import bit_planes, components, edges_of, near_lanes, near_pairs
 
 #: Texts of the sample that tells often met shingles, and how many of those are told to the tasks.
 SAMPLE, OFTEN = 16_384, 200_000
@@ -36,6 +38,10 @@ STARS = 4
 SALTS = 64
 #: Pairs held before they are compared and sent, and texts of one block of a family.
 PAIRS, BLOCK = 1 << 17, 4096
+#: Members up to which a bucket's fingerprints are compared word by word: setting up bit planes takes longer.
+FEW = 512
+#: Words of 64 bits of a fingerprint.
+WORDS = 2
 #: Most bits, as a power of two, of the map that tells which texts may be compared (8 MB).
 MAP_BITS = 26
 
@@ -54,7 +60,26 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([h(flat[a:b]) for a, b in spans], np.uint64))
 
 
-def radius_for(similarity: float, miss: float = 1e-6, bits: int = 64) -> int:
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """WORDS words of bits, each set where over half of the hashes, or of what they are mixed to for a later word, have it."""
+    words, ones = [hashes], np.zeros(64 * WORDS, np.int64)
+    while len(words) < WORDS:
+        h = words[-1] + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        words.append(h ^ h >> np.uint64(31))
+    lanes = np.stack(words, axis=1).view(np.uint8)
+    for at in range(0, len(lanes), 8192):
+        ones += np.unpackbits(lanes[at : at + 8192], axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def words_of(fps: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of words; each item may hold several."""
+    return np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
+
+
+def radius_for(similarity: float, miss: float = 1e-6, bits: int = 64 * WORDS) -> int:
     """The least number of differing bits that two sets of the similarity exceed with no more than this probability.
 
     Sets of equal size are the worst case: their angle has cosine 2 s / (1 + s), and a bit differs
@@ -90,39 +115,36 @@ def _often(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["h"])
 
     met = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    top = met.orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
+    top = materialise(met.orderBy(F.desc("n"), "h").limit(OFTEN), "similar-often").toPandas()
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """(members, sizes, fps): int64 arrays as binary, by member, of every kept shingle that two sets or more share."""
+    """(h1, h2, members): int64 arrays as binary, by member, of every kept shingle of reps(rep, keys) that two sets or more share; h1, h2 name the members."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(k, np.int64) for k in batch.column(3).to_pylist()]
-            n = [len(k) for k in keys]
-            own = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), *own], ["key", "rep", "size", "fp"])
+            keys = [np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()]
+            rep = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(rep)], ["key", "rep"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 2
         seen: set[bytes] = set()
 
         def gather(cut: int) -> pa.RecordBatch:
-            key, rep, size, fp = (x[:cut] for x in held)
+            key, rep = (x[:cut] for x in held)
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if cut else np.zeros(1, np.int64)
-            members, sizes, fps = [], [], []
+            members = []
             for i in np.flatnonzero(np.diff(edges) > 1):
                 m = rep[edges[i] : edges[i + 1]].tobytes()
                 if (d := xxhash.xxh128_digest(m)) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(d)
                     members.append(m)
-                    sizes.append(size[edges[i] : edges[i + 1]].tobytes())
-                    fps.append(fp[edges[i] : edges[i + 1]].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (members, sizes, fps)], ["members", "sizes", "fps"])
+            return pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["members"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -134,11 +156,28 @@ def _buckets(reps: DataFrame) -> DataFrame:
                 held = [x[cut:] for x in held]
         yield gather(len(held[0]))
 
-    dealt = reps.select("rep", "size", "fp", "keys").mapInArrow(deal, "key long, rep long, size long, fp long")
-    met = dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(meet, "members binary, sizes binary, fps binary")
-    return met.groupBy(F.xxhash64("members", F.lit(1)).alias("h1"), F.xxhash64("members", F.lit(2)).alias("h2")).agg(
-        F.first("members").alias("members"), F.first("sizes").alias("sizes"), F.first("fps").alias("fps")
-    )
+    # only the shingle and the number move for all kept shingles; sizes and fingerprints go to the few that meet
+    dealt = reps.select("rep", "keys").mapInArrow(deal, "key long, rep long")
+    met = dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(meet, "members binary")
+    return met.groupBy(F.xxhash64("members", F.lit(1)).alias("h1"), F.xxhash64("members", F.lit(2)).alias("h2")).agg(F.first("members").alias("members"))
+
+
+def _described(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h1, h2, members, sizes, fps) of the buckets: with the set size and fingerprint of each member, from nodes(rep, size, fp)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [np.frombuffer(m, np.int64) for m in batch.column(2).to_pylist()]
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), [len(m) for m in members])) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([np.zeros(0, np.int64), *members]))], ["h1", "h2", "rep"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (h1, h2), rows in sorted_groups(batches, ["h1", "h2"]):
+            own = [rows["rep"].to_numpy().tobytes(), rows["size"].to_numpy().tobytes(), b"".join(rows["fp"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([h1]), pa.array([h2]), *[pa.array([x], pa.binary()) for x in own]], ["h1", "h2", "members", "sizes", "fps"])
+
+    rows = buckets.select("h1", "h2", "members").mapInArrow(spread, "h1 long, h2 long, rep long").join(nodes.select("rep", "size", "fp"), "rep").select("h1", "h2", "rep", "size", "fp")
+    return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "rep").mapInArrow(gather, "h1 long, h2 long, members binary, sizes binary, fps binary")
 
 
 def fitting(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -154,22 +193,24 @@ def _stars(buckets: DataFrame, similarity: float, radius: int) -> DataFrame:
         size_held = 0
 
         def near() -> pa.RecordBatch:
-            a, b, left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held) if held else ((),) * 4))
-            keep = near_pairs(left.view(np.uint64), right.view(np.uint64), radius)
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[c] for x in held)]) for c in (0, 1))
+            left, right = (np.concatenate([np.zeros((0, WORDS), np.uint64), *(x[c] for x in held)]) for c in (2, 3))
+            keep = near_pairs(left, right, radius)
             pairs = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                rep, size, fp = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(3))
+                rep, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(2))
+                fp = words_of([batch.column(2)[i].as_py()])
                 mixed = rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 centres = {int(np.argmin(mixed * np.uint64(2 * i + 1) ^ mixed >> np.uint64(29))) for i in range(STARS)} if len(rep) > 2 else {0}
                 for c in centres:
                     fits = fitting(size, size[c], similarity)
                     fits[c] = False
                     n = int(fits.sum())
-                    held.append((np.full(n, rep[c]), rep[fits], np.full(n, fp[c]), fp[fits]))
+                    held.append((np.full(n, rep[c]), rep[fits], np.repeat(fp[c : c + 1], n, axis=0), fp[fits]))
                     size_held += n
                 if size_held > PAIRS:
                     yield near()
@@ -203,11 +244,14 @@ def apart(own: np.ndarray, size: np.ndarray, fp: np.ndarray, similarity: float,
     """(i, places) for members outside the largest component: those of other components that fit in size and fingerprint."""
     kinds, number, count = np.unique(own, return_inverse=True, return_counts=True)
     queries = np.flatnonzero(number != count.argmax())
-    planes, step = bit_planes(fp.view(np.uint64)), max(1, (1 << 22) // len(own))
+    planes, step = bit_planes(fp) if len(own) > FEW else None, max(1, (1 << 22) // len(own))
     for at in range(0, len(queries), step):
         part = queries[at : at + step]
-        lanes = near_lanes(fp[part].view(np.uint64), planes, radius)
-        bits = np.unpackbits(lanes.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")[:, : len(own)].astype(bool)
+        if planes is None:
+            bits = np.bitwise_count(fp[part][:, None] ^ fp).sum(axis=2) <= radius
+        else:
+            lanes = near_lanes(fp[part], planes, radius)
+            bits = np.unpackbits(lanes.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")[:, : len(own)].astype(bool)
         bits &= (own[part][:, None] != own) & fitting(size[part][:, None], size, similarity)
         for i, row in zip(part.tolist(), bits):
             if row.any():
@@ -220,22 +264,23 @@ def _ties(buckets: DataFrame, labels: DataFrame, similarity: float, radius: int)
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = [np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (2, 3, 4)]
+                own = [np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (2, 3)]
                 columns = [np.full(len(own[0]), batch.column(c)[i].as_py()) for c in (0, 1)] + own
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "rep", "size", "fp"])
+                fp = pa.array([x.tobytes() for x in words_of([batch.column(4)[i].as_py()])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], fp], ["h1", "h2", "rep", "size", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: set[tuple[int, int]] = set()
         tied = Sets()  # components that earlier buckets of this task have tied are not compared again
         for _, rows in sorted_groups(batches, ["h1", "h2"]):
-            rep, size, fp, own = (rows[c].to_numpy() for c in ("rep", "size", "fp", "component"))
+            rep, size, own = (rows[c].to_numpy() for c in ("rep", "size", "component"))
             if (own == own[0]).all():
                 continue
             kinds, number = np.unique(own, return_inverse=True)
             own = np.array([tied.find(k) for k in kinds.tolist()], np.int64)[number]
             if (own == own[0]).all():
                 continue
-            for i, places in apart(own, size, fp, similarity, radius):
+            for i, places in apart(own, size, words_of(rows["fp"].to_pylist()), similarity, radius):
                 _, first = np.unique(own[places], return_index=True)
                 edges |= {(int(rep[i]), int(rep[j])) for j in places[first].tolist() if tied.join(int(own[i]), int(own[j]))}
             if len(edges) > PAIRS:
@@ -244,7 +289,7 @@ def _ties(buckets: DataFrame, labels: DataFrame, similarity: float, radius: int)
         yield edges_of(sorted(edges))
 
     # of two members the star was the only pair
-    rows = buckets.where(F.octet_length("members") > 16).select("h1", "h2", "members", "sizes", "fps").mapInArrow(spread, "h1 long, h2 long, rep long, size long, fp long")
+    rows = buckets.where(F.octet_length("members") > 16).select("h1", "h2", "members", "sizes", "fps").mapInArrow(spread, "h1 long, h2 long, rep long, size long, fp binary")
     rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", "size", "fp", F.coalesce("component", "rep").alias("component"))
     return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(run, "a long, b long").distinct()
 
@@ -259,7 +304,7 @@ def _family_links(members: DataFrame, similarity: float, radius: int, shingle: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), rows in sorted_groups(batches, keys):
-            rep, size, fp, own, mine = (rows[c].to_numpy() for c in ("rep", "size", "fp", "component", "mine"))
+            rep, size, own, mine = (rows[c].to_numpy() for c in ("rep", "size", "component", "mine"))
             joined, found, number = Sets(), [], own.tolist()
             texts = rows["text"].cast(pa.binary()).to_pylist()
             shingles: dict[int, np.ndarray] = {}
@@ -269,7 +314,7 @@ def _family_links(members: DataFrame, similarity: float, radius: int, shingle: i
                     shingles[i] = shingle_set(texts[i] or b"", shingle)
                 return shingles[i]
 
-            for i, places in apart(own, size, fp, similarity, radius):
+            for i, places in apart(own, size, words_of(rows["fp"].to_pylist()), similarity, radius):
                 for j in places.tolist():
                     if (lo == hi or mine[i] != mine[j]) and joined.find(number[i]) != joined.find(number[j]):
                         both = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
@@ -322,12 +367,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
                 keep.append(both >= similarity * (len(of_last) + len(other) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    place = mark()
     texts = materialise(_compared(pairs, texts), "similar-texts")
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     left = salted.select("a", "salt").distinct().join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("ta")), "a")
     right = salted.join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(left, ["a", "salt"]).select("a", "b", "ta", "tb")
-    return materialise(both.mapInArrow(run, "a long, b long"), "similar-pairs")
+    found = materialise(both.mapInArrow(run, "a long, b long"), "similar-pairs")
+    drop_since(found.sparkSession, place)
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -336,9 +384,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Similarity is the Jaccard index of the sets of shingles (see shingle_set); links reach on. A pair
     at the similarity itself is missed with a probability of at most 1e-6 (see radius_for). Blank
     and null texts are equal to each other. The row with the smallest id stays, null ids last; of
-    rows with one id the first.
+    rows with one id the first. Of what is written on the way the numbered rows and the numbers of those
+    that stay are left.
     """
-    docs, radius = numbered(docs), radius_for(similarity)
+    docs, radius, spark = numbered(docs), radius_for(similarity), docs.sparkSession
+    place = mark()
     often, counts = _often(docs, text_col, shingle)
     slim = docs.select(ROW, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -348,15 +398,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keys = [prefix(s, similarity, often, counts).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), pa.array(keys, pa.binary())],
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array(keys, pa.binary())],
                 [ROW, "id", "sig", "size", "fp", "keys"],
             )
 
-    rows = materialise(slim.mapInArrow(run, f"{ROW} long, id {dict(slim.dtypes)['id']}, sig binary, size long, fp long, keys binary"), "similar-sets")
+    rows = materialise(slim.mapInArrow(run, f"{ROW} long, id {dict(slim.dtypes)['id']}, sig binary, size long, fp binary, keys binary"), "similar-sets")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW).alias("row")))
-    nodes = materialise(rows.groupBy("sig").agg(first.alias("best")).select("best", F.col("best.row").alias("rep")), "similar-nodes")
-    reps = rows.join(nodes.select("rep"), rows[ROW] == nodes["rep"]).select("rep", "size", "fp", "keys")
-    buckets = materialise(_buckets(reps), "similar-buckets")
+    nodes = rows.groupBy("sig").agg(first.alias("best"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    nodes = materialise(nodes.select("best", F.col("best.row").alias("rep"), "size", "fp"), "similar-nodes")
+    buckets = materialise(_buckets(rows.join(nodes.select("rep"), rows[ROW] == nodes["rep"]).select("rep", "keys")), "similar-members")
+    drop_since(spark, place, keep=2)
+    buckets = materialise(_described(buckets, nodes), "similar-buckets")
 
     texts = slim.select(ROW, "text")
     tried = materialise(_stars(buckets, similarity, radius), "similar-stars")
@@ -369,10 +421,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         of_family = families.join(some, "component", "left_semi").select(F.col("node").alias("rep"), F.col("component").alias("family"))
         of_family = materialise(of_family.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "similar-families")
         near = materialise(_compared(of_family.select(F.col("rep").alias("a"), F.col("rep").alias("b")), texts), "similar-texts")
-        members = of_family.join(rows.select(F.col(ROW).alias("rep"), "size", "fp"), "rep").join(near.withColumnRenamed(ROW, "rep"), "rep")
+        members = of_family.join(nodes.select("rep", "size", "fp"), "rep").join(near.withColumnRenamed(ROW, "rep"), "rep")
         more = materialise(_family_links(members, similarity, radius, shingle), "similar-more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     of = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("best", F.coalesce("component", "rep").alias("component"))
-    stays = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW))
+    stays = materialise(of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW)), "similar-stays")
+    drop_since(spark, place)
     return docs.join(stays, ROW, "left_semi").drop(ROW)
