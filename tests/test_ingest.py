@@ -75,3 +75,18 @@ def test_changes_have_the_notes_of_their_contents(spark):
     texts = spark.createDataFrame([("l", "PO_2024_A_v1.txt", "Timeline: 9 days"), ("l", "PO_2024_A_v2.txt", "Timeline: 4 days"), ("l", "PO_2024_A_v2.txt", None)], "lifecycle_id string, file_name string, text string")
     got = diffs.change_records(revisions.revision_rows(events), texts).orderBy("n").collect()
     assert [r["details"] for r in got] == [["Timeline compressed: 9 days → 4 days"], ["Version updated: v2 → v3"]]
+
+
+def test_words_added_to_an_upload_do_not_change_its_class(spark, tmp_path):
+    import duckdb
+
+    from docweave.plans import ingest
+
+    text = "liability warranty " + " ".join(f"w{i}" for i in range(97))  # two key words of 99, less than the least share with two words more
+    docs = [(33, text, "en", "src1"), (22, text, "en", "src1"), (44, text, "en", "src1"), (9, text, "en", "src1"), (66, None, "en", "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, ingest.ingested_files(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(ingest.ORACLES["ingested_files"]).fetchall())
+    assert {(r[0], r[5]) for r in got if r[2] in ("new", "updated")} == {("in/src1/33.TXT", "legal"), ("in/src1/44.TXT", "legal"), ("in/src1/9.TXT", "legal")}
